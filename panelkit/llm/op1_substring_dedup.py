@@ -149,7 +149,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Windows as text: a smaller document id anywhere with the same 50 words; exact, for the sizes that SQL is run on.
 OP1_SQL = r"""
 WITH w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM documents
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
 ), win AS (
   SELECT doc_id, u.i AS pos, array_to_string(ws[u.i:u.i + 49], ' ') AS k
   FROM w, LATERAL (SELECT unnest(range(1, len(ws) - 48)) AS i) u WHERE len(ws) >= 50
@@ -159,7 +159,7 @@ WITH w AS (
 ), lists AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id
 ), kept AS (
   SELECT w.doc_id, len(ws) AS n_words, coalesce(len(ps), 0) AS n_removed,
-    CASE WHEN ps IS NULL THEN ws ELSE list_transform(list_filter(range(1, len(ws) + 1), i -> NOT list_contains(ps, i)), i -> ws[i]) END AS left_
+    CASE WHEN ps IS NULL THEN ws ELSE list_transform(list_filter(range(1, len(ws) + 1), lambda i: NOT list_contains(ps, i)), lambda i: ws[i]) END AS left_
   FROM w LEFT JOIN lists USING (doc_id)
 )
 SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(array_to_string(left_, ' ')) AS kept_sha256 FROM kept
