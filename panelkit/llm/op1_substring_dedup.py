@@ -6,9 +6,10 @@ minimisers into the cells of a count-min sketch (sparse: only cells in use are s
 and a bitmap of the cells with a count of two or more returns to the tasks. Its size is bounded by `max_bits`.
 
 Pass 2. A window whose minimiser has a count under two in any row of the sketch starts in one document only and is
-skipped. The others, as 128-bit hashes with document and position, are grouped exactly: the smallest doc_id of each is a
+skipped. The others, as 96-bit hashes with document and position, are grouped exactly: the smallest doc_id of each is a
 partial aggregate (a window that a third of the documents share leaves each task as one row), and a join, whose skewed
-partitions Spark splits, marks the windows of later documents. Each document gets its own marks back and drops the words.
+partitions Spark splits, marks the windows of later documents. Texts of documents with marks meet them in a join; the
+others, as a bitmap of the marked ids tells, are never shuffled.
 """
 
 from __future__ import annotations
@@ -22,9 +23,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelkit.llm import kernels as K
-from panelkit.llm.common import bitmap, clean_text, has_bit, table
+from panelkit.llm.common import bitmap, clean_text, has_bit, staged, table
 
-GRAM, ROWS = 10, 2
+GRAM, ROWS, ID_BITS = 10, 2, 26
 
 
 def _windows(codes: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,13 +88,22 @@ def estimated_repeats(docs: DataFrame, window: int, bits: int, cells: np.ndarray
                     keep &= has_bit(shared.value, c)
                 at, index, row = at[keep], index[keep], row[keep]
                 if len(index):
-                    one, two = K.runs(codes, window)[index], K.runs(codes, window, second=True)[index]
+                    one, two = K.runs(codes, window)[index], K.runs(codes, window, second=True)[index] >> np.uint64(32)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(ids[start:end][row]), pa.array(at.astype(np.int32))],
+                        [pa.array(one.view(np.int64)), pa.array(two.astype(np.uint32).view(np.int32)), pa.array(ids[start:end][row]), pa.array(at.astype(np.int32))],
                         ["hash1", "hash2", "doc_id", "at"],
                     )
 
-    return docs.where("doc_id is not null").mapInArrow(find, "hash1 long, hash2 long, doc_id long, at int")
+    return docs.where("doc_id is not null").mapInArrow(find, "hash1 long, hash2 int, doc_id long, at int")
+
+
+def _id_cell(ids: np.ndarray) -> np.ndarray:
+    return K.mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - ID_BITS)
+
+
+def id_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(_id_cell(batch.column("doc_id").to_numpy()).view(np.int64))], ["cell"])
 
 
 def dedup_substrings(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 30) -> DataFrame:
@@ -111,9 +121,11 @@ def dedup_substrings(docs: DataFrame, window: int = 50, id_col: str = "doc_id",
     bits = sketch_bits(docs, "text", max_bits)
     repeats = estimated_repeats(docs, window, bits, repeated_cells(docs, window, bits))
     first = repeats.groupBy("hash1", "hash2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    marks = (
-        repeats.join(first, ["hash1", "hash2"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_set("at").alias("marks"))
+    # written, so that both sides of the join are plain exchanges, of which Spark splits large partitions
+    marks = staged(
+        repeats.join(staged(first), ["hash1", "hash2"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_set("at").alias("marks"))
     )
+    marked = docs.sparkSession.sparkContext.broadcast(bitmap(marks.mapInArrow(id_cells, "cell long"), ID_BITS))
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,7 +150,19 @@ def dedup_substrings(docs: DataFrame, window: int = 50, id_col: str = "doc_id",
                 ["doc_id", "n_words", "n_removed", "kept_text"],
             )
 
-    return docs.join(marks, "doc_id", "left").select("doc_id", "text", "marks").mapInArrow(drop, "doc_id long, n_words long, n_removed long, kept_text string")
+    def part(batches: Iterator[pa.RecordBatch], with_marks: bool) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc_id")
+            found = has_bit(marked.value, _id_cell(ids.fill_null(0).to_numpy())) & ids.is_valid().to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(found if with_marks else ~found))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = pa.list_(pa.int32())
+        return drop(b.append_column("marks", pa.nulls(len(b), none)) for b in part(batches, False))
+
+    schema = "doc_id long, n_words long, n_removed long, kept_text string"
+    cut = docs.mapInArrow(lambda it: part(it, True), "doc_id long, text string").join(marks, "doc_id", "left")
+    return docs.mapInArrow(whole, schema).unionByName(cut.select("doc_id", "text", "marks").mapInArrow(drop, schema))
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
