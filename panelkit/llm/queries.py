@@ -3,9 +3,17 @@
 from __future__ import annotations
 
 from panelkit.llm.op1_substring_dedup import OP1_SQL, op1_substring_dedup
+from panelkit.llm.op2_token_store import op2_token_store
+from panelkit.llm.op8_private_data import op8_private_data
+from panelkit.llm.op9_toxicity import op9_toxicity
+from panelkit.llm.op10_decontaminate import op10_decontaminate
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_token_store": op2_token_store,
+    "op8_private_data": op8_private_data,
+    "op9_toxicity": op9_toxicity,
+    "op10_decontaminate": op10_decontaminate,
 }
 SQL = {
     "op1_substring_dedup": OP1_SQL,
