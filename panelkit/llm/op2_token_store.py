@@ -16,7 +16,9 @@ payloads: chunk files are hashed where they are read, and a document's digest is
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -32,13 +34,25 @@ from panelkit.llm import kernels as K
 from panelkit.llm.common import clean_text, shared_dir, table
 
 REACH, MEAN, LEAST, MOST = 16, 512, 64, 4096
-KEPT_WORDS = 300_000
+KEPT_WORDS = 700_000
 _ZEROS = memoryview(bytes(4 * MOST))
+_PLAIN = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)").fullmatch
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable character by which byte-level vocabularies write each byte: itself, or the next one from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(own)))}
 
 
 class _Encoder:
     """Ids of texts, word by word. The tokenizer drops white space and never joins what stands on its two sides, so a
-    text's ids are those of its words; each distinct word is encoded once for as long as it is kept."""
+    text's ids are those of its words; each distinct word is encoded once for as long as it is kept.
+
+    A word of Latin letters, with ASCII signs after them at most, is two parts at most to the tokenizer, which its own steps
+    before the model leave as they are but for case, so the model alone gives their ids. Whether that holds for a tokenizer
+    is tried once on some words.
+    """
 
     loaded: dict[str, _Encoder] = {}
 
@@ -48,6 +62,10 @@ class _Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
+        self.letters = _byte_letters()
+        self.clear()
+        probes = [b"The", b"then,", b"que.&&&", b"it'", b"de***", "\u00c9tait.".encode(), "stra\u00dfe".encode(), b"onwhingin", b"a", "\u00e7\u00f1,".encode()]
+        self.by_model = [self._by_model(w) for w in probes] == self._whole(probes)
         self.clear()
 
     @classmethod
@@ -58,8 +76,25 @@ class _Encoder:
 
     def clear(self) -> None:
         self.code: dict[bytes, int] = {}
+        self.parts: dict[str, bytes] = {}
         self.ids, self.lens = np.zeros(0, self.width), np.zeros(0, np.int64)
 
+    def _whole(self, words: list[bytes]) -> list[bytes]:
+        return [np.array(e.ids, self.width).tobytes() for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+
+    def _model(self, letters: str) -> bytes:
+        got = self.parts.get(letters)
+        if got is None:
+            tokens = self.tokenizer.model.tokenize(letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.letters))
+            got = self.parts[letters] = np.array([t.id for t in tokens], self.width).tobytes()
+        return got
+
+    def _by_model(self, word: bytes) -> bytes | None:
+        """Ids by the model alone; None if the word isn't plain."""
+        text = word.decode()
+        plain = _PLAIN(text) or _PLAIN(text.lower())
+        return self._model(plain[1]) + (self._model(plain[2]) if plain[2] else b"") if plain else None
+
     def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, with end_id after each text, and the texts' bounds in them."""
         if len(self.code) > KEPT_WORDS:
@@ -67,18 +102,20 @@ class _Encoder:
         found = [t.split() for t in texts]
         new = list(set().union(*found).difference(self.code))
         if new:
-            got = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)]
+            got: list[bytes] = [self._by_model(w) for w in new] if self.by_model else [None] * len(new)
+            rest = [k for k, g in enumerate(got) if g is None]
+            for k, g in zip(rest, self._whole([new[k] for k in rest])):
+                got[k] = g
             self.code.update(zip(new, range(len(self.code), len(self.code) + len(new))))
-            self.ids = np.concatenate([self.ids, *(np.array(g, self.width) for g in got)])
-            self.lens = np.concatenate([self.lens, np.fromiter(map(len, got), np.int64, len(got))])
-        n = sum(map(len, found))
-        code = np.fromiter((c for w in found for c in map(self.code.__getitem__, w)), np.int64, n)
+            size = np.fromiter(map(len, got), np.int64, len(got)) // self.width.itemsize
+            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(got), self.width)])
+            self.lens = np.concatenate([self.lens, size])
+        count = np.fromiter(map(len, found), np.int64, len(found))
+        code = np.fromiter(map(self.code.__getitem__, itertools.chain.from_iterable(found)), np.int64, count.sum())
         size = self.lens[code]
         into = np.cumsum(size) - size
-        words = np.zeros(len(found) + 1, np.int64)
-        np.cumsum([len(w) for w in found], out=words[1:])
         plain = self.ids[np.repeat((np.cumsum(self.lens) - self.lens)[code] - into, size) + np.arange(size.sum())]
-        bounds = np.append(into, size.sum())[words]
+        bounds = np.append(into, size.sum())[np.concatenate([[0], np.cumsum(count)])]
         return np.insert(plain, bounds[1:], np.array(end_id, self.width)), bounds + np.arange(len(bounds))
 
 
@@ -128,6 +165,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_
         for batch in batches:
             for start, end, raw, bounds in K.slices(batch.column("text")):
                 data = raw.tobytes()
+                if b"<|" not in data and encoder.by_model:  # case makes no difference but in special tokens
+                    data = K.LOWER[raw].tobytes()
                 ids, at = encoder.encode([data[a:b] for a, b in zip(bounds[:-1], bounds[1:])], end_id)
                 recipes, payloads = [], {}
                 for cuts in _cuts(ids, at):
