@@ -149,6 +149,9 @@ def merkle_root(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
+_PARTS = "kind string, key binary, row long, payload binary, doc_id long, n_tokens long, keys array<binary>, root binary"
+
+
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes docs into a new store at path.
 
@@ -157,7 +160,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), clean_text(text_col).alias("text"))
-    schema = "kind string, key binary, row long, payload binary, doc_id long, n_tokens long, keys array<binary>, root binary"
+    schema = _PARTS
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _Encoder.of(tokenizer)
@@ -216,7 +219,8 @@ def _part_roots(recipes: DataFrame) -> DataFrame:
 
 
 def _tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/parts/kind=chunk"), spark.read.parquet(f"{path}/recipes"), spark.read.parquet(f"{path}/manifest")
+    chunks = spark.read.schema(_PARTS).parquet(f"{path}/parts").where("kind = 'chunk'").select("key", "payload")
+    return chunks, spark.read.parquet(f"{path}/recipes"), spark.read.parquet(f"{path}/manifest")
 
 
 def read_digests(spark: SparkSession, path: str, tokenizer: str) -> DataFrame:

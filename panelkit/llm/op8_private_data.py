@@ -37,6 +37,8 @@ SPELLED = {
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
     "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
 }
+# The last labels with which an address in words may end; none is a word of the documents' languages.
+ENDINGS = frozenset("com org net edu gov mil info biz io co ai app dev tv uk de fr es eu nl ch pl cz se fi dk ie pt br mx ca au nz jp cn ru".split())
 _NUM = "(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + r"|[0-9])"
 _IN = r"[A-Za-z0-9%+\-]"
 _DOT = r"(?:\s*[\[({<]\s*(?:dot|punkt|punto|point|\.)\s*[\])}>]\s*|\s+(?:dot|punkt|punto|point)\s+|\.)"
@@ -133,8 +135,8 @@ def rewrite(text: str) -> tuple[str, np.ndarray, np.ndarray]:
         at = _AT_TOKEN.search(text, m.start(), m.end())
         tokens = [(at.span(), "@"), *((d.span(), ".") for a, b in ((m.start(), at.start()), (at.end(), m.end())) for d in _DOT_TOKEN.finditer(text, a, b))]
         bare = at[0].isspace() or at[0].strip().lower() == "at"
-        if bare and not any(w == "." and len(text[a:b]) > 1 for (a, b), w in tokens if a > at.end() - 1):
-            continue  # "at" in words counts only with a dot in words
+        if bare and text[tokens[-1][0][1] : m.end()].lower() not in ENDINGS:
+            continue  # "at" in words is a word of the language, too: the address has to end as addresses do
         for (a, b), new in sorted(tokens):
             tape.put(a, b, new)
     text, start, end = tape.close()
