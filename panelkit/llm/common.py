@@ -4,11 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelkit.llm import kernels as K
+
+#: Bits of the bitmaps of document ids: 8 MB.
+ID_BITS = 26
 #: Words, as the operators on words see them: maximal runs of anything but ASCII white space.
 NOT_WORD = r"[\x20\x09-\x0D]+"
 
@@ -58,3 +64,13 @@ def bitmap(cells: DataFrame, bits: int) -> np.ndarray:
 
 def has_bit(words: np.ndarray, cell: np.ndarray) -> np.ndarray:
     return (words[cell >> np.uint64(6)] >> (cell & np.uint64(63))) & np.uint64(1) != 0
+
+
+def id_cell(ids: np.ndarray) -> np.ndarray:
+    return K.mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - ID_BITS)
+
+
+def id_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The column doc_id as cells of a bitmap of ids; a bitmap may hold other ids, too, and so only rules out."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(id_cell(batch.column("doc_id").to_numpy()).view(np.int64))], ["cell"])

@@ -104,9 +104,28 @@ def runs(code: np.ndarray, size: int, second: bool = False) -> np.ndarray:
     return mix((total[size:] - total[:-size]) * powers(inverse(step), len(code) - size + 1))
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted, each once."""
+    values = np.sort(values)
+    new = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    return values[new]
+
+
 def shingles(code: np.ndarray, size: int) -> np.ndarray:
     """Sorted distinct hashes of the runs of size words; with fewer words, of the whole sequence; without words, none."""
-    return np.unique(runs(code, size)) if len(code) >= size else runs(code, len(code)) if len(code) else np.zeros(0, np.uint64)
+    return distinct(runs(code, size)) if len(code) >= size else runs(code, len(code)) if len(code) else np.zeros(0, np.uint64)
+
+
+def shingle_sets(raw: np.ndarray, bounds: np.ndarray, size: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Row and shingles (A-Z as a-z) of each row that has words."""
+    codes, _, _, first = words(raw, bounds, fold=True)
+    every = runs(codes, size)
+    for row, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
+        if b - a >= size:
+            yield row, distinct(every[a : b - size + 1])
+        elif b > a:
+            yield row, shingles(codes[a:b], size)
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:

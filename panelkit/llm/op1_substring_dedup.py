@@ -23,9 +23,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelkit.llm import kernels as K
-from panelkit.llm.common import bitmap, clean_text, has_bit, staged, table
+from panelkit.llm.common import ID_BITS, bitmap, clean_text, has_bit, id_cell, id_cells, staged, table
 
-GRAM, ROWS, ID_BITS = 10, 2, 26
+GRAM, ROWS = 10, 2
 
 
 def _windows(codes: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,15 +97,6 @@ def estimated_repeats(docs: DataFrame, window: int, bits: int, cells: np.ndarray
     return docs.where("doc_id is not null").mapInArrow(find, "hash1 long, hash2 int, doc_id long, at int")
 
 
-def _id_cell(ids: np.ndarray) -> np.ndarray:
-    return K.mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - ID_BITS)
-
-
-def id_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(_id_cell(batch.column("doc_id").to_numpy()).view(np.int64))], ["cell"])
-
-
 def dedup_substrings(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 30) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text: each document without the words that a repeated window covers.
 
@@ -153,7 +144,7 @@ def dedup_substrings(docs: DataFrame, window: int = 50, id_col: str = "doc_id",
     def part(batches: Iterator[pa.RecordBatch], with_marks: bool) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id")
-            found = has_bit(marked.value, _id_cell(ids.fill_null(0).to_numpy())) & ids.is_valid().to_numpy(zero_copy_only=False)
+            found = has_bit(marked.value, id_cell(ids.fill_null(0).to_numpy())) & ids.is_valid().to_numpy(zero_copy_only=False)
             yield batch.filter(pa.array(found if with_marks else ~found))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
