@@ -1,4 +1,4 @@
 """The registered queries of the panel, risk and valuation jobs."""
 
-QUERIES = {}
-SQL = {}
+from panelkit.plans import series_jobs  # noqa: F401
+from panelkit.plans.registry import QUERIES, SQL  # noqa: F401
