@@ -54,7 +54,7 @@ def tail_count_cvar(df: DataFrame, r: str, keys: list[str], alpha: float, tie: s
 
 def characteristics(df: DataFrame, r: str, keys: list[str], alpha: float = 0.95, tau: float = 0.0) -> DataFrame:
     """Mean, deviation, mean absolute deviation, VaR and CVaR (strictly beyond it), lower partial moment, semivariance."""
-    first = df.groupBy(*keys).agg(F.avg(r).alias("mean"), F.percentile(r, 1 - alpha).alias("quantile"))
+    first = df.groupBy(*keys).agg(F.avg(r).alias("mean"), F.percentile(r, round(1 - alpha, 12)).alias("quantile"))
     x, below = F.col(r) - F.col("mean"), F.greatest(F.lit(tau) - F.col(r), F.lit(0.0))
     sums = df.join(first, keys).groupBy(*keys).agg(
         F.first("mean").alias("mean"), F.stddev_pop(r).alias("sd"), F.avg(F.abs(x)).alias("mad"), (-F.first("quantile")).alias("var"),
