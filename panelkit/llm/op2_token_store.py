@@ -21,6 +21,7 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,7 @@ from panelkit.llm import kernels as K
 from panelkit.llm.common import clean_text, shared_dir, table
 
 REACH, MEAN, LEAST, MOST = 16, 512, 64, 4096
-KEPT_WORDS = 700_000
+KEPT_WORDS = 900_000
 _ZEROS = memoryview(bytes(4 * MOST))
 _PLAIN = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)").fullmatch
 
@@ -45,6 +46,19 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(own)))}
 
 
+class _Codes(dict):
+    """Numbers for words, in the order in which they are first asked for; new has those since it was last emptied."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self.new.append(word)
+        code = self[word] = len(self)
+        return code
+
+
 class _Encoder:
     """Ids of texts, word by word. The tokenizer drops white space and never joins what stands on its two sides, so a
     text's ids are those of its words; each distinct word is encoded once for as long as it is kept.
@@ -62,6 +76,7 @@ class _Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
+        self.kind = "H" if self.width.itemsize == 2 else "I"
         self.letters = _byte_letters()
         self.clear()
         probes = [b"The", b"then,", b"que.&&&", b"it'", b"de***", "\u00c9tait.".encode(), "stra\u00dfe".encode(), b"onwhingin", b"a", "\u00e7\u00f1,".encode()]
@@ -75,7 +90,7 @@ class _Encoder:
         return cls.loaded[path]
 
     def clear(self) -> None:
-        self.code: dict[bytes, int] = {}
+        self.code = _Codes()
         self.parts: dict[str, bytes] = {}
         self.ids, self.lens = np.zeros(0, self.width), np.zeros(0, np.int64)
 
@@ -86,7 +101,7 @@ class _Encoder:
         got = self.parts.get(letters)
         if got is None:
             tokens = self.tokenizer.model.tokenize(letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.letters))
-            got = self.parts[letters] = np.array([t.id for t in tokens], self.width).tobytes()
+            got = self.parts[letters] = array(self.kind, [t.id for t in tokens]).tobytes()
         return got
 
     def _by_model(self, word: bytes) -> bytes | None:
@@ -100,18 +115,16 @@ class _Encoder:
         if len(self.code) > KEPT_WORDS:
             self.clear()
         found = [t.split() for t in texts]
-        new = list(set().union(*found).difference(self.code))
-        if new:
+        count = np.fromiter(map(len, found), np.int64, len(found))
+        code = np.fromiter(map(self.code.__getitem__, itertools.chain.from_iterable(found)), np.int64, count.sum())
+        if new := self.code.new:
             got: list[bytes] = [self._by_model(w) for w in new] if self.by_model else [None] * len(new)
             rest = [k for k, g in enumerate(got) if g is None]
             for k, g in zip(rest, self._whole([new[k] for k in rest])):
                 got[k] = g
-            self.code.update(zip(new, range(len(self.code), len(self.code) + len(new))))
-            size = np.fromiter(map(len, got), np.int64, len(got)) // self.width.itemsize
             self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(got), self.width)])
-            self.lens = np.concatenate([self.lens, size])
-        count = np.fromiter(map(len, found), np.int64, len(found))
-        code = np.fromiter(map(self.code.__getitem__, itertools.chain.from_iterable(found)), np.int64, count.sum())
+            self.lens = np.concatenate([self.lens, np.fromiter(map(len, got), np.int64, len(got)) // self.width.itemsize])
+            self.code.new = []
         size = self.lens[code]
         into = np.cumsum(size) - size
         plain = self.ids[np.repeat((np.cumsum(self.lens) - self.lens)[code] - into, size) + np.arange(size.sum())]
