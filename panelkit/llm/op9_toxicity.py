@@ -61,7 +61,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, most_rows: int) -> DataFra
     labels = labels.where("doc_id is not null and toxic is not null and crc32(cast(doc_id as string)) % 3 != 1").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     share = min(1.0, most_rows / max(1, labels.count()))
     sample = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(1_000_003 * share))
-    return staged(docs.join(F.broadcast(sample), "doc_id").select("text", "toxic"))  # bounded by most_rows
+    # copies of one text are one piece of evidence
+    return staged(docs.join(F.broadcast(sample), "doc_id").select("text", "toxic").dropDuplicates())  # bounded by most_rows
 
 
 def learn_lexicon(rows: DataFrame, least_docs: int = 4, least_odds: float = 20.0) -> dict[str, float]:
