@@ -194,3 +194,42 @@ def b17_driver_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = S.convert(r.where("asset <> 'N'"), fx, ["date"]).select("date", "asset", F.col("r_converted").alias("r"))
     cash = fx.join(own.select("date").distinct(), "date", "left").select("date", F.lit("cash").alias("asset"), F.log1p(F.abs("fx") * 100 / 1200).alias("r"))
     return S.to_panel(own.unionByName(cash), ["A", "R", "cash"]).select("date", F.col("A").alias("a"), F.col("R").alias("r"), "cash")
+
+
+@query(
+    """WITH p AS (SELECT trim(p_brand || ' ' || p_type) AS name, p_partkey, p_retailprice FROM part WHERE trim(p_type) <> '' AND NOT starts_with(lower(trim(p_brand)), 'total')), n AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY p_partkey) AS k FROM p) SELECT name, p_partkey, p_retailprice FROM n WHERE k = 1""",
+    "p_retailprice",
+)
+def c13_l9_industry_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = read(spark, sf_dir, "part").where((F.trim("p_type") != "") & ~F.lower(F.trim("p_brand")).startswith("total"))
+    return S.first_rows(p.select(F.trim(F.concat_ws(" ", "p_brand", "p_type")).alias("name"), "p_partkey", "p_retailprice"), ["name"], ["p_partkey"])
+
+
+@query(
+    f"""WITH w AS (SELECT asset, date, close / sum(close) OVER (PARTITION BY date) AS a, dividends / sum(dividends) OVER (PARTITION BY date) AS b FROM ({SQL_monthly()})) SELECT date, sum(abs(a - b)) AS l1, max(abs(a - b)) AS widest, count(*)::BIGINT AS n FROM w GROUP BY 1""",
+    "l1 widest",
+)
+def a35_disagreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two setups' weights on each date: the L1 distance between them."""
+    w = monthly(spark, sf_dir).select("asset", "date", S.share("close", "date").alias("a"), S.share("dividends", "date").alias("b"))
+    gap = F.abs(F.col("a") - F.col("b"))
+    return w.groupBy("date").agg(F.sum(gap).alias("l1"), F.max(gap).alias("widest"), F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH w AS (SELECT asset, avg(close) AS close, avg(dividends) AS dividends FROM ({SQL_monthly()}) GROUP BY 1) SELECT asset, close / sum(close) OVER () AS weight, dividends / sum(dividends) OVER () AS yield_weight, abs(close - 1500) <= 1e-8 + 0.2 * 1500 AS in_slice FROM w""",
+    "weight yield_weight",
+)
+def b10_c14_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = monthly(spark, sf_dir).groupBy("asset").agg(F.avg("close").alias("close"), F.avg("dividends").alias("dividends")).withColumn("all", F.lit(1))  # one row for each asset
+    return w.select("asset", S.share("close", "all").alias("weight"), S.share("dividends", "all").alias("yield_weight"), (F.abs(F.col("close") - 1500) <= 1e-8 + 0.2 * 1500).alias("in_slice"))
+
+
+@query(
+    f"""WITH f AS (SELECT asset, date, CASE WHEN close >= 1500 THEN 'high' ELSE 'low' END AS regime, lead(close) OVER ({QW}) / close - 1 AS nxt FROM ({SQL_monthly()})) SELECT date, coalesce(avg(nxt) FILTER (regime = 'high'), avg(nxt)) AS picked, avg(nxt) AS every, count(*) FILTER (regime = 'high')::BIGINT AS n_high, exp(sum(ln(1 + nxt / 100))) - 1 AS compound FROM f WHERE nxt IS NOT NULL GROUP BY 1""",
+    "picked every compound",
+)
+def l2_a5_select_or_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = monthly(spark, sf_dir).withColumns({"regime": F.when(F.col("close") >= 1500, "high").otherwise("low"), "nxt": S.forward("close", S.by("asset"), 1)}).where("nxt is not null")
+    high = F.avg(F.when(F.col("regime") == "high", F.col("nxt")))
+    return m.withColumn("small", F.col("nxt") / 100).groupBy("date").agg(F.coalesce(high, F.avg("nxt")).alias("picked"), F.avg("nxt").alias("every"), F.count_if(F.col("regime") == "high").alias("n_high"), R.compound("small").alias("compound"))

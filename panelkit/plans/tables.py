@@ -58,3 +58,23 @@ def SQL_returns(key: str = "l_returnflag", unit: str = "day") -> str:  # noqa: N
 
 SQL_scenarios = "SELECT vec_id AS scen_id, (label + 1.0)::DOUBLE / sum(label + 1.0) OVER () AS q, list_transform(embedding[1:4], lambda x: x::DOUBLE / 10) AS r FROM embeddings"
 SQL_lattice = "SELECT a * 121 + b * 11 + c AS cand_id, [a / 10, b / 10, c / 10, (10 - a - b - c) / 10]::DOUBLE[] AS w FROM range(11) t1(a), range(11) t2(b), range(11) t3(c) WHERE a + b + c <= 10"
+
+
+def dirichlet_candidates(spark: SparkSession, n_assets: int, draws: int, cap: float = 1.0, seed: int = 42) -> DataFrame:
+    """cand_id, w: equal weights, corners and 60/40 pairs, and uniform draws from the simplex, none over the cap.
+
+    A draw is exponentials of a hash of (seed, draw, asset), normalised, so any executor makes the same one again. Rows that
+    agree to twelve digits are one (U6).
+    """
+    k = F.sequence(F.lit(0), F.lit(n_assets - 1))
+    unit = lambda i: (F.pmod(F.xxhash64(F.lit(seed), F.col("id"), i), F.lit(1 << 52)) + 1) / float((1 << 52) + 1)
+    raw = F.transform(k, lambda i: -F.log(unit(i)))
+    total = F.aggregate(F.col("raw"), F.lit(0.0), lambda s, x: s + x)
+    drawn = spark.range(draws).withColumn("raw", raw).select("id", F.transform("raw", lambda x: x / total).alias("w"))
+    fixed = [[1 / n_assets] * n_assets]
+    for i in range(n_assets):
+        fixed.append([1.0 if j == i else 0.0 for j in range(n_assets)])
+        fixed += [[0.6 if j == i else 0.4 if j == o else 0.0 for j in range(n_assets)] for o in range(n_assets) if o != i]
+    rows = spark.range(len(fixed)).select((F.col("id") - len(fixed)).alias("id"), F.element_at(F.lit(fixed), (F.col("id") + 1).cast("int")).alias("w"))
+    every = rows.unionByName(drawn).where(F.array_max("w") <= cap + 1e-12).withColumn("w", F.transform("w", lambda x: F.round(x, 12)))
+    return every.groupBy("w").agg(F.min("id").alias("cand_id")).select("cand_id", "w")

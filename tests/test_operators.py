@@ -220,3 +220,14 @@ def test_entropy_bounds_and_terminal_returns(spark):
     p = spark.createDataFrame([(1, "a", m, 0.01) for m in range(1, 61)], "scen_id int, asset string, month int, log_ret double")
     t = R.terminal_returns(p, ["scen_id", "asset"], (12, 60)).first()
     assert abs(t.ret_12 - math.expm1(0.12)) < 1e-12 and abs(t.yearly_60 - math.expm1(0.12)) < 1e-12
+
+
+def test_candidate_weights(spark):
+    from panelkit.plans.tables import dirichlet_candidates
+
+    c = dirichlet_candidates(spark, 5, 400, cap=0.6).collect()
+    assert all(abs(sum(r.w) - 1) < 1e-9 and max(r.w) <= 0.6 + 1e-12 and min(r.w) >= 0 for r in c)
+    assert len({tuple(r.w) for r in c}) == len(c) > 150 and [0.2] * 5 in [r.w for r in c] and [0.6, 0.4, 0, 0, 0] in [r.w for r in c]
+    assert sorted(map(str, c)) == sorted(map(str, dirichlet_candidates(spark, 5, 400, cap=0.6).collect()))
+    means = np.mean([r.w for r in dirichlet_candidates(spark, 3, 4000).where("cand_id >= 0").collect()], axis=0)
+    assert np.allclose(means, 1 / 3, atol=0.02)
