@@ -105,3 +105,21 @@ def test_linked_sets_always_share_a_signature():
 
 def test_crc_is_that_of_the_ids():
     assert brute.crc_of_ids([1, 2]) == zlib.crc32(b"\x01\0\0\0\x02\0\0\0")
+
+
+@pytest.mark.parametrize(("few", "block"), [(1, 3), (2, 1000), (10**6, 5)])
+def test_families_compared_in_blocks_lose_no_link(spark, monkeypatch, few, block):
+    """Copies of one text, some linked and most too far apart, by blocks, by joins and by both."""
+    from panelkit.llm import op7_jaccard_join as op7
+
+    monkeypatch.setattr(op7, "FEW", few)
+    monkeypatch.setattr(op7, "BLOCK", block)
+    rng = random.Random(11)
+    base = [f"b{k}" for k in range(140)]
+    rows = []
+    for k in range(40):
+        w = list(base)
+        for _ in range(rng.choice([1, 4, 8, 12])):
+            w[rng.randrange(len(w))] = f"x{k}-{rng.random()}"
+        rows.append((k, " ".join(w)))
+    assert sorted(map(tuple, near_duplicates(make_docs(spark, rows)).collect())) == sorted(brute.jaccard_components(rows))
