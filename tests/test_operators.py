@@ -57,7 +57,7 @@ def test_currency_carry_and_cash(spark):
 
 
 def test_index_file_with_lines_before_its_data(spark, tmp_path):
-    (tmp_path / "i.csv").write_text("MSCI Index Performance\nIndex: X\nCurrency: USD\n\nDate,Index Level\nDec-86,100.00\nJan-87,103.42\nJan-87,999\n")
+    (tmp_path / "i.csv").write_text("Index Performance\nIndex: X\nCurrency: USD\n\nDate,Index Level\nDec-86,100.00\nJan-87,103.42\nJan-87,999\n")
     rows = sorted(files.read_index_csv(spark, f"{tmp_path}/i.csv").collect())
     assert [tuple(r) for r in rows] == [(dt.date(1986, 12, 1), 100.0), (dt.date(1987, 1, 1), 103.42)]
 
