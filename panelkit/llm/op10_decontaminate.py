@@ -1,16 +1,17 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of what they join.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of what they join.
 
 1. The items' runs of four words are the seeds. A bitmap of fixed size tells the tasks which runs of a document may be one.
-2. A first pass counts the seeds in the corpus. A seed is rare if it isn't far more frequent than its item's others: a
-   leaked item raises the counts of all its seeds alike, so no leak is lost for being common; function words drop out.
-3. A second pass cuts a passage around each cluster of rare seeds, with room for the longest item on both sides. A join on
-   the seed gives pairs of passage and item, each once.
+2. One pass cuts a passage around each cluster of seeds, with room for the longest item on both sides. No seed is left out
+   for being frequent. Equal passages are one from here on, so what very many documents repeat is aligned once.
+3. A join on the seed gives pairs of passage and item, each once. A pair goes on if the passage has as many of the item's
+   words as the score has to be, which no alignment can do without.
 4. Words of passage and item are aligned locally (match 1, mismatch -1, gap -1). The alignment's score decides, so copies
-   with words replaced, dropped, added or put in between are found, too.
+   with words replaced, dropped, added or put in between are found, too. A join gives the documents of each passage.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -77,24 +78,9 @@ def _hits(batch: pa.RecordBatch, cells: np.ndarray) -> Iterator[tuple[int, np.nd
             yield start + int(r), codes[first[r] : first[r + 1]], own - first[r], runs[own]
 
 
-def rare_seeds(docs: DataFrame, seeds: DataFrame) -> DataFrame:
-    """item_id, seed of the seeds whose count in docs is at most four times the median of their item's, or eight."""
-    cells = docs.sparkSession.sparkContext.broadcast(_may_be(seeds))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [runs for _, _, _, runs in _hits(batch, cells.value)]
-            seed, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([_long(seed), pa.array(n)], ["seed", "n"])
-
-    counts = docs.select("text").mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-    counted = staged(seeds.join(counts, "seed"))
-    usual = counted.groupBy("item_id").agg(F.percentile_approx("n", 0.5).alias("usual"))
-    return counted.join(usual, "item_id").where(F.col("n") <= F.greatest(F.lit(8), 4 * F.col("usual"))).select("item_id", "seed")
-
-
 def passages(docs: DataFrame, seeds: DataFrame, reach: int) -> DataFrame:
-    """doc_id, row, start, words, seeds: clusters of seeds with reach words around them."""
+    """doc_id, row, start, passage, words, seeds: clusters of seeds with reach words around them; passage is a hash of words,
+    and seeds follow from words."""
     cells = docs.sparkSession.sparkContext.broadcast(_may_be(seeds))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,11 +89,12 @@ def passages(docs: DataFrame, seeds: DataFrame, reach: int) -> DataFrame:
             for r, codes, at, runs in _hits(batch, cells.value):
                 for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) > 2 * reach) + 1):
                     a, b = max(0, int(at[part[0]]) - reach), min(len(codes), int(at[part[-1]]) + SEED + reach)
-                    out.append((batch.column("doc_id")[r].as_py(), batch.column("row")[r].as_py(), a, codes[a:b].view(np.int64), np.unique(runs[part]).view(np.int64)))
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [()] * 5, types)], ["doc_id", "row", "start", "words", "seeds"])
+                    words = codes[a:b].view(np.int64)
+                    out.append((batch.column("doc_id")[r].as_py(), batch.column("row")[r].as_py(), a, hashlib.blake2b(words.tobytes(), digest_size=16).digest(), words, np.unique(runs[part]).view(np.int64)))
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [()] * 6, types)], ["doc_id", "row", "start", "passage", "words", "seeds"])
 
-    return docs.mapInArrow(cut, "doc_id long, row long, start long, words array<long>, seeds array<long>")
+    return docs.mapInArrow(cut, "doc_id long, row long, start long, passage binary, words array<long>, seeds array<long>")
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
@@ -140,27 +127,31 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), clean_text(text_col).alias("text"))
     items = staged(item_words(benchmark).withColumn("item", F.monotonically_increasing_id()))
     by_row = items.select(F.col("item").alias("item_id"), "words")
-    seeds = staged(rare_seeds(docs, staged(item_seeds(by_row))))
+    seeds = staged(item_seeds(by_row).withColumnRenamed("item_id", "item"))
     reach = items.agg(F.max(F.size("words"))).first()[0] or 0
     found = staged(passages(docs, seeds, reach))
-    pairs = found.select("row", "start", F.explode("seeds").alias("seed")).join(seeds, "seed").select("row", "start", F.col("item_id").alias("item")).distinct()
-    both = pairs.join(found.drop("seeds"), ["row", "start"]).join(items.withColumnRenamed("words", "item_words"), "item")
+    each = staged(found.groupBy("passage").agg(F.first("words").alias("words"), F.first("seeds").alias("seeds")))
+    pairs = each.select("passage", F.explode("seeds").alias("seed")).join(seeds, "seed").select("passage", "item").distinct()
+    both = pairs.join(each.drop("seeds"), "passage").join(items.withColumnRenamed("words", "item_words"), "item")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for i, (item, passage) in enumerate(zip(batch.column("item_words"), batch.column("words"))):
                 item, passage = item.values.to_numpy(), passage.values.to_numpy()
+                if np.isin(passage, item).sum() < least_score(len(item)):
+                    continue
                 best, end = align(item, passage)
                 if best >= least_score(len(item)):
                     _, back = align(item[::-1], passage[:end][::-1])
                     out.append((i, best, best / len(item), end - back, end))
             i, best, share, a, b = zip(*out) if out else [()] * 5
-            kept = batch.select(["doc_id", "row", "item", "item_id", "start"]).take(pa.array(i, pa.int64()))
+            kept = batch.select(["passage", "item", "item_id"]).take(pa.array(i, pa.int64()))
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(best, pa.int64()), pa.array(share, pa.float64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], [*kept.schema.names, "score", "likeness", "a", "b"])
 
-    schema = "doc_id long, row long, item long, item_id long, start long, score long, likeness double, a long, b long"
-    hits = both.select("doc_id", "row", "item", "item_id", "start", "words", "item_words").mapInArrow(score, schema)
+    schema = "passage binary, item long, item_id long, score long, likeness double, a long, b long"
+    scored = staged(both.select("passage", "item", "item_id", "words", "item_words").mapInArrow(score, schema))
+    hits = found.select("doc_id", "row", "start", "passage").join(scored, "passage")
     best = hits.groupBy("row", "item").agg(F.max(F.struct("score", (-F.col("start")).alias("early"), "doc_id", "item_id", "likeness", (F.col("start") + F.col("a")).alias("start_word"), (F.col("start") + F.col("b")).alias("end_word"))).alias("x"))
     return best.select("x.doc_id", "row", "x.item_id", "x.score", "x.likeness", "x.start_word", "x.end_word")
 

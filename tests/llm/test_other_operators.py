@@ -265,6 +265,18 @@ def test_leaks_are_found_and_nothing_else(spark):
     assert find_leaks(docs.limit(0), benchmark).collect() == [] and find_leaks(docs, benchmark.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("around", [0, 1])
+def test_leaks_of_frequent_seeds_are_found(spark, around):
+    """One intact copy and many edited ones, equal or each in its own text: the seeds of the edited ones are far more frequent than the item's others."""
+    rng = random.Random(21)
+    item = [f"i{k}" for k in range(36)]
+    edited = [f"e{k}" if k % 6 == 5 else w for k, w in enumerate(item)]
+    rows = [(0, " ".join(item)), *((k, " ".join([f"o{rng.random()}" for _ in range(50 * around)] + edited)) for k in range(1, 21)), (30, " ".join(f"n{k}" for k in range(60)))]
+    docs, benchmark = make_docs(spark, rows), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    assert {(r.doc_id, r.score) for r in find_leaks(docs, benchmark).collect()} == {(0, 36), *((k, brute.local_score(item, rows[k][1].split())) for k in range(1, 21))}
+    assert {r.doc_id for r in drop_leaks(docs, benchmark).collect()} == {30}
+
+
 def test_edited_hash_is_of_utf8(spark):
     (r,) = spark.createDataFrame([("é",)], "t string").select(F.sha2("t", 256)).collect()
     assert r[0] == hashlib.sha256("é".encode()).hexdigest()
