@@ -1,9 +1,9 @@
 """Personal data, also in disguise, as spans of the original text.
 
-Base spans come from four patterns on the text as it is. A transducer then rewrites texts that show a disguise - letters
-and digits of other scripts or widths, invisible characters, spelled digits, "at" and "dot" in words or brackets - and
-keeps, for each character it writes, which source characters it stands for. The same patterns run on the rewritten text,
-and what they find maps back to source spans. Base spans always stay; a mapped span is added unless a base one of its kind
+Base spans come from four patterns on the text as it is. A transducer then rewrites every text without its disguises -
+letters and digits of other scripts or widths, invisible characters, spelled digits, "at" and "dot" in words or brackets -
+and keeps, for each character it writes, which source characters it stands for. The same patterns run on the rewritten
+text, and what they find maps back to source spans. Base spans always stay; a mapped span is added unless a base one of its kind
 holds it.
 """
 
@@ -46,10 +46,13 @@ _AT = r"(?:\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|\s+at\s+|@)"
 #: An address with some part in words or brackets: at least one domain dot in any form.
 _ADDRESS = re.compile(rf"(?<!{_IN}){_IN}{{1,64}}(?:{_DOT}{_IN}{{1,64}}){{0,4}}{_AT}[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{1,63}}){{1,5}}(?!{_IN})", re.I)
 _AT_TOKEN, _DOT_TOKEN = re.compile(_AT, re.I), re.compile(_DOT, re.I)
-#: Five digits or more, some of them spelled, with the signs that numbers have between them.
-_NUMBER = re.compile(rf"(?<![^\W_])(?:\+|plus\s+)?{_NUM}(?:(?:[\s.,()\-]|\sdot\s)*(?<![^\W\d_])(?:{_NUM})(?![^\W\d_])){{4,40}}", re.I)
-_NUM_TOKEN = re.compile(rf"(?P<plus>plus\s+)|(?P<dot>\s*\bdot\b\s*)|(?P<num>{_NUM})(?:[\s,]+(?={_NUM}(?![^\W\d_])))?", re.I)
-_HINT = re.compile(r"[^\x00-ͯ]|­|[\[({<]\s*(?:at|@|dot|punkt|punto|point|\.)\s*[\])}>]|\sat\s+\S+\s+(?:dot|punkt|punto|point)\s|@\S+\s+dot\s|" + rf"(?:(?<![^\W_])(?:{'|'.join(SPELLED)})[\s,\-]+){{3}}", re.I)
+_BRACKET_DOT = r"[\[({<]\s*(?:dot|punkt|punto|point|\.)\s*[\])}>]"
+#: What numbers have between them: a dot in words or brackets, signs. None begins a number, so its run is never cut short.
+_SIGN = rf"(?:\s(?:dot|punkt|punto|point)\s|{_BRACKET_DOT}|[\s.,()\-])"
+#: Five digits or more, some of them spelled, with such signs between them.
+_NUMBER = re.compile(rf"(?<![^\W_])(?:\+|plus\s+)?{_NUM}(?:{_SIGN}*+(?<![^\W\d_])(?:{_NUM})(?![^\W\d_])){{4,40}}", re.I)
+_NUM_TOKEN = re.compile(rf"(?P<plus>plus\s+)|(?P<dot>\s*(?:\b(?:dot|punkt|punto|point)\b|{_BRACKET_DOT})\s*)|(?P<num>{_NUM})(?:[\s,]+(?={_NUM}(?![^\W\d_])))?", re.I)
+_NUMBER_DISGUISE = re.compile(rf"[^\W\d_]|{_BRACKET_DOT}")
 
 
 def _plain(c: str) -> str:
@@ -142,7 +145,7 @@ def rewrite(text: str) -> tuple[str, np.ndarray, np.ndarray]:
     text, start, end = tape.close()
     tape = _Tape(text, start, end)
     for m in _NUMBER.finditer(text):
-        if not re.search(r"[^\W\d_]", m[0]):
+        if not _NUMBER_DISGUISE.search(m[0]):
             continue
         for t in _NUM_TOKEN.finditer(text, m.start(), m.end()):
             if t["num"]:
@@ -157,13 +160,12 @@ def find_all(text: str) -> list[tuple[int, int, int, bool]]:
     """(kind, start, end, is base), in that order."""
     base = find_base(text)
     found = {(*s, True) for s in base}
-    if _HINT.search(text):
-        new, start, end = rewrite(text)
-        if new != text:
-            for kind, a, b in find_base(new):
-                s, e = int(start[a]), int(end[b - 1])
-                if not any(k == kind and x <= s and e <= y for k, x, y in base):
-                    found.add((kind, s, e, False))
+    new, start, end = rewrite(text)
+    if new != text:
+        for kind, a, b in find_base(new):
+            s, e = int(start[a]), int(end[b - 1])
+            if not any(k == kind and x <= s and e <= y for k, x, y in base):
+                found.add((kind, s, e, False))
     return sorted(found)
 
 

@@ -176,6 +176,31 @@ def test_disguises_map_back_to_the_source(text, kind, part):
     assert (KINDS.index(kind), start, start + len(part), False) in find_all(text)
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "part"),
+    [
+        ("write to john.smith at example.com now", "email", "john.smith at example.com"),
+        ("write to anna@example punkt de now", "email", "anna@example punkt de"),
+        ("write to john dot smith@example.com now", "email", "john dot smith@example.com"),
+        ("host 192 dot 168 dot 10 dot 12 now", "ip", "192 dot 168 dot 10 dot 12"),
+        ("host 192 punto 168 punto 10 punto 12 now", "ip", "192 punto 168 punto 10 punto 12"),
+        ("host 192[.]168[.]10[.]12 now", "ip", "192[.]168[.]10[.]12"),
+        ("host 192 (dot) 168 (dot) 10 (dot) 12 now", "ip", "192 (dot) 168 (dot) 10 (dot) 12"),
+        ("card 4111 1111 one one 11 1111 now", "card", "4111 1111 one one 11 1111"),
+        ("ring plus 49 one 7 two 3 four 5 six 7 now", "phone", "plus 49 one 7 two 3 four 5 six 7"),
+    ],
+)
+def test_no_disguise_needs_another_beside_it(text, kind, part):
+    start = text.index(part)
+    assert (KINDS.index(kind), start, start + len(part), False) in find_all(text)
+    assert {s[:3] for s in find_all(text) if not s[3]} == {s[:3] for s in find_all(f"{text} \u200b") if not s[3]}
+
+
+def test_long_runs_of_signs_are_read_in_linear_time():
+    for text in ("1" + "(.)" * 400 + "x", "one " + "( dot ) " * 400 + "x", "dot " * 2000, "a at b " * 2000, "1" + " " * 3000 + "one"):
+        assert find_all(text) == []
+
+
 @pytest.mark.parametrize("text", ["we met at noon dot dot dot", "heat at the dot of nine", "one two three four", "она пришла домой", "look at this. dot com was a boom", "seven eight at nine"])
 def test_clean_texts_stay_clean(text):
     assert find_all(text) == []
