@@ -118,7 +118,7 @@ def t10_t12_currency(spark: SparkSession, sf_dir: str) -> DataFrame:
     fx = r.where("asset = 'N'").select("date", F.col("r").alias("fx"))
     own = r.where("asset <> 'N'")
     both = S.convert(own, fx, ["date"]).withColumnRenamed("r_converted", "additive")
-    both = both.where("exp(r) > 0.2 and (exp(r) - 1) / exp(fx) > -0.9").withColumn("exact", F.log1p(F.expm1("r") / (1 + F.expm1("fx"))))
+    both = both.withColumn("exact", F.log1p(F.expm1("r") / (1 + F.expm1("fx"))))  # null where the quotient is -1 or less
     both = both.withColumns({"home": F.col("fx") * 100, "foreign": F.col("r") * 50, "rate": F.abs("r") * 100})
     return both.select("asset", "date", "additive", "exact", S.hedged("r", "home", "foreign").alias("hedged"), S.cash_return("rate").alias("cash"))
 
