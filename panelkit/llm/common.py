@@ -46,6 +46,39 @@ def clean_text(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
+def text_tie(col: str | Column = "text") -> Column:
+    """A hash of the text, the same for null and for an empty one: with the id it tells a document's rows apart."""
+    return F.xxhash64(clean_text(col), F.octet_length(clean_text(col)))
+
+
+def without(docs: DataFrame, gone: DataFrame, once: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs whose id and text hash gone (doc_id, tie) doesn't have; of those that once has, one for each.
+
+    Rows that a bitmap of both tables rules out, nearly all, pass through: only the others are joined. The bitmap has about
+    eight bits a row, 2 ** 28 at most (32 MB); beyond that it rules out less, with the same result.
+    """
+    named = gone.select("doc_id", "tie", F.lit(True).alias("gone"))
+    if once is not None:
+        named = named.union(once.select("doc_id", "tie", F.lit(False)))
+    named = staged(named)
+    bits = min(28, max(16, (8 * named.count()).bit_length()))
+    cell = lambda i, tie: F.shiftrightunsigned(F.xxhash64(i, tie), 64 - bits)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(named.select(cell(F.col("doc_id"), F.col("tie")).alias("cell")), bits))
+
+    def listed(cells: pa.Array) -> pa.Array:
+        return pa.array(has_bit(shared.value, cells.to_numpy(zero_copy_only=False).view(np.uint64)))
+
+    own_id, own_tie = F.col(id_col).cast("long"), text_tie(text_col)
+    hit = F.arrow_udf(listed, "boolean")(cell(own_id, own_tie))
+    rows = docs.where(hit).select(F.struct("*").alias("doc"), own_id.alias("id"), own_tie.alias("tie"))
+    key = rows["id"].eqNullSafe(named["doc_id"]) & (rows["tie"] == named["tie"])
+    rows = rows.join(named, key, "left").select("doc", "id", rows["tie"], "gone")
+    kept = rows.where("gone is null").select("doc")
+    if once is not None:
+        kept = kept.union(rows.where("not gone").groupBy("id", "tie").agg(F.first("doc").alias("doc")).select("doc"))
+    return docs.where(~hit).union(kept.select([F.col("doc").getField(c).alias(c) for c in docs.columns]))
+
+
 def bitmap(cells: DataFrame, bits: int) -> np.ndarray:
     """Bit set of the column cell (0 to 2 ** bits - 1) as 2 ** (bits - 6) 64-bit words.
 
