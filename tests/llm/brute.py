@@ -47,14 +47,17 @@ def jaccard_components(rows):
             x = parent[x]
         return x
 
+    links = [0] * len(sets)
     for (a, (_, x)), (b, (_, y)) in itertools.combinations(enumerate(sets), 2):
         if x and y and 100 * len(x & y) >= 75 * len(x | y):
             parent[find(a)] = find(b)
+            links[a] += 1
+            links[b] += 1
     least = {}
     for k, (i, _) in enumerate(sets):
         if i is not None:
             least[find(k)] = min(least.get(find(k), i), i)
-    return [(i, len(s), least.get(find(k)) if s else i) for k, (i, s) in enumerate(sets)]
+    return [(i, len(s), least.get(find(k)) if s else i, links[k]) for k, (i, s) in enumerate(sets)]
 
 
 def crc_of_ids(ids):

@@ -15,7 +15,7 @@ from panelkit.llm.op4_fingerprints import containment, fingerprint, range_of
 from panelkit.llm.op5_mixing import mix_plan, mix_sources, realise
 from panelkit.llm.op6_url_filters import RULES, judge_urls, rules_table
 from panelkit.llm.op8_private_data import KINDS, find_all, find_base, find_private
-from panelkit.llm.op9_toxicity import automaton, fold, score_toxicity, weigh
+from panelkit.llm.op9_toxicity import automaton, drop_toxic, features, fit_curve, fold, learn_exceptions, learn_lexicon, score_toxicity, training_rows, weigh
 from panelkit.llm.op10_decontaminate import align, drop_leaks, find_leaks, least_score
 from tests.llm import brute
 from tests.llm.test_text_operators import corpus, make_docs
@@ -215,7 +215,46 @@ def test_lexicon_folds_disguises_and_spares_phrases():
     words = automaton({" idiot": 5.0, f"{fold(' stupid ')}": 4.0, fold(" trash "): 3.0}, ("trash can",))
     assert weigh("an IDIOT, idiotic; stupidly stupid.", words)[0] == 14.0
     assert weigh("1d10t іdіоt ｓｔｕｐｉｄ $tupid", words)[0] == 18.0
-    assert weigh("a trash can and trash", words)[0] == 3.0 and weigh("", words)[0] == 0
+    assert weigh("a trash  can and trash", words)[0] == 3.0 and weigh("", words) == (0, 0)
+    assert weigh("trash can " * 200_000, words) == (0.0, 400_000)  # in linear time
+
+
+def test_exceptions_are_learned(spark):
+    rng = random.Random(5)
+    plain = lambda n: [f"p{rng.randrange(500)}" for _ in range(n)]
+    rows = [(k, " ".join([*plain(6), "blorg", f"t{rng.randrange(99)}", *plain(6)]), 1) for k in range(60)]
+    rows += [(100 + k, " ".join(plain(20) + ["blorg", "fish"] * (k < 2) + plain(3)), 0) for k in range(300)]
+    lexicon = {fold(" blorg "): 4.0}
+    training = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    assert learn_exceptions(training, lexicon, least_docs=3) == []
+    more = training.union(spark.createDataFrame([(900 + k, f"a{k} blorg fish b{k}", 0) for k in range(9)], training.schema))
+    assert learn_exceptions(more, lexicon) == [fold("blorg fish")] and learn_exceptions(more, {}) == []
+
+
+def test_toxicity_equals_its_definition(spark):
+    """Scores of the operator against lexicon, exceptions and curve applied text by text; ties and long texts among them."""
+    rows = toxic_rows()
+    docs = make_docs(spark, [(i, t) for i, t, _ in rows] + [(None, None), (9000, "blorgface " + "so long " * 60_000), rows[0][:2], (rows[1][0] + 5000, rows[1][1])])
+    labels = spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int")
+    training = training_rows(docs, labels, 10**6)
+    lexicon = learn_lexicon(training)
+    seen = {(t, x) for i, t, x in rows if zlib.crc32(str(i).encode()) % 3 != 1}
+    assert {(r.text, r.toxic) for r in training.collect()} == seen
+    counts = {f: [sum(f in features(t) for t, x in seen if x == c) for c in (0, 1)] for f in lexicon}
+    n = [sum(x == c for _, x in seen) for c in (0, 1)]
+    for f, w in lexicon.items():
+        odds = (counts[f][1] + 0.5) / (n[1] + 1) * (n[0] + 1) / (counts[f][0] + 0.5)
+        assert abs(w - math.log(odds)) < 1e-9 and odds >= 20
+    words = automaton(lexicon, learn_exceptions(training, lexicon))
+    facts = np.array([(*weigh(t, words), x) for t, x in seen], float)
+    curve = fit_curve(*facts.T)
+    for r, text in zip(sorted(score_toxicity(docs, labels).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0)), [t or "" for _, t in sorted(((r.doc_id, r.text) for r in docs.collect()), key=lambda r: (r[0] is None, r[0] or 0))]):
+        w, size = weigh(text, words)
+        z = curve[0] + curve[1] * math.log1p(w) + curve[2] * math.log1p(100 * w / (size + 20))
+        assert abs(r.score - 1 / (1 + math.exp(-z))) < 1e-6
+    kept = drop_toxic(docs, labels)
+    scored = score_toxicity(docs, labels)
+    assert kept.columns == docs.columns and kept.count() == scored.where("predicted = 0").count() < docs.count()
 
 
 def toxic_rows():
@@ -286,10 +325,46 @@ def test_leaks_are_found_and_nothing_else(spark):
             words = [w.strip(",").lower() for w in text[r.doc_id].split()]
             assert r.score == brute.local_score(items[r.item_id], words) >= least_score(len(items[r.item_id]))
     kept = drop_leaks(docs, benchmark)
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, _ in rows} - {i for i, _ in expected} | {None, 900, 901}
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, _ in rows} - {i for i, _ in expected} | {900, 901}  # the copy without an id goes, too
     assert find_leaks(docs.limit(0), benchmark).collect() == [] and find_leaks(docs, benchmark.limit(0)).collect() == []
 
 
+def test_short_items_are_found(spark):
+    """Items of four words and more wherever they stand, shorter ones only as whole documents."""
+    items = ["one", "two words", "three word item", "an item of four", "this item has five words", "and this one has all six"]
+    rows = [(10 * k + j, t) for k, item in enumerate(items) for j, t in enumerate((item.upper() + "!", f"before it {item} and after", item.rsplit(" ", 1)[0] + " other"))]
+    docs = make_docs(spark, [*rows, (None, "two, words"), (None, None)])
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = {(r.doc_id, r.item_id, r.score) for r in find_leaks(docs, benchmark).collect()}
+    assert found == {(10 * k, k, len(i.split())) for k, i in enumerate(items)} | {(10 * k + 1, k, len(i.split())) for k, i in enumerate(items) if k > 2} | {(None, 1, 2)}
+    assert sorted(str(r.doc_id) for r in drop_leaks(docs, benchmark).collect()) == sorted([*(str(i) for i, _ in rows if i not in {x[0] for x in found}), "None"])
+
+
+def test_leaks_equal_the_cell_by_cell_alignment_of_every_pair(spark):
+    """Small vocabularies, so that chance matches, ties and gaps abound; long texts and rows that repeat."""
+    rng = random.Random(31)
+    items = [[f"w{rng.randrange(60)}" for _ in range(n)] for n in (4, 5, 7, 9, 14, 26, 40)]
+    rows = []
+    for k in range(60):
+        w = [f"w{rng.randrange(60)}" for _ in range(rng.randrange(0, 80))]
+        item = list(rng.choice(items))
+        for _ in range(rng.randrange(3)):
+            item[rng.randrange(len(item))] = f"w{rng.randrange(60)}"
+        w[len(w) // 2 : len(w) // 2] = item
+        rows.append((k, " ".join(w)))
+    rows += [(70, " ".join(f"x{k}" for k in range(60_000)) + " " + " ".join(items[-1])), rows[0]]
+    docs, benchmark = make_docs(spark, rows), spark.createDataFrame([(j, " ".join(i)) for j, i in enumerate(items)], "item_id long, text string")
+    seeds = {j: {tuple(i[k : k + 4]) for k in range(len(i) - 3)} for j, i in enumerate(items)}
+    expected = []
+    for i, text in rows:
+        w = text.split()[-200:]
+        runs = {tuple(w[k : k + 4]) for k in range(len(w) - 3)}
+        for j, item in enumerate(items):
+            if runs & seeds[j] and (score := brute.local_score(item, w)) >= least_score(len(item)):
+                expected.append((i, j, score))
+    assert sorted((r.doc_id, r.item_id, r.score) for r in find_leaks(docs, benchmark).collect()) == sorted(expected)
+
+
 @pytest.mark.parametrize("around", [0, 1])
 def test_leaks_of_frequent_seeds_are_found(spark, around):
     """One intact copy and many edited ones, equal or each in its own text: the seeds of the edited ones are far more frequent than the item's others."""

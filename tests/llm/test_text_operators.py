@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelkit.llm import kernels as K
 from panelkit.llm.op1_substring_dedup import dedup_substrings
-from panelkit.llm.op7_jaccard_join import drop_near_duplicates, near_duplicates, signatures
+from panelkit.llm.op7_jaccard_join import OPTIONS, band_of, bands_of, drop_near_duplicates, near_duplicates, signatures, too_short
 from tests.llm import brute
 
 #: Columns named as the operators name theirs inside.
@@ -77,30 +77,66 @@ def test_drop_near_duplicates_keeps_columns_and_smallest_ids(spark):
     rows = corpus()
     docs = make_docs(spark, rows)
     kept = drop_near_duplicates(docs)
-    least = {i: c for i, _, c in brute.jaccard_components(rows)}
+    first = {}
+    for i, n, c, _ in brute.jaccard_components(rows):
+        if n:
+            first[c] = min(first.get(c, i), i, key=lambda x: (x is None, x))
+    blank = [i for i, n, _, _ in brute.jaccard_components(rows) if not n]
     assert kept.columns == docs.columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(i) for i, _ in rows if i is None or least[i] == i)
-    assert near_duplicates(make_docs(spark, [])).collect() == []
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [*first.values(), *blank]))
+    assert near_duplicates(make_docs(spark, [])).collect() == [] and drop_near_duplicates(make_docs(spark, [])).collect() == []
+
+
+def test_one_row_stays_of_a_group_without_ids(spark):
+    words = [" ".join(f"{g}{k}" for k in range(30)) for g in "ab"]
+    rows = [(None, words[0]), (None, words[0]), (None, words[0] + " z"), (7, words[1]), (7, words[1]), (7, words[1] + " y"), (None, ""), (None, None), (8, "once")]
+    kept = [(r.doc_id, r.text) for r in drop_near_duplicates(make_docs(spark, rows)).collect()]
+    assert sorted(str(i) for i, _ in kept) == ["7", "8", "None", "None", "None"]
+    assert sum((t or "").startswith("a0") for _, t in kept) == 1
+
+
+@pytest.mark.parametrize("option", [1, 2, 3])
+@pytest.mark.parametrize("mask", [2**64 - 1, 63])
+def test_jaccard_join_by_every_kind_of_index(spark, monkeypatch, option, mask):
+    """Exact contents, single elements and one-deletion neighbourhoods; with 63, most sets share their first hash with others."""
+    from panelkit.llm import op7_jaccard_join as op7
+
+    monkeypatch.setattr(op7, "NODE_MASK", mask)
+    rng = random.Random(option)
+    rows = []
+    for k in range(12):
+        base = [f"b{k}-{j}" for j in range(rng.choice([30, 90, 300, 700]))]
+        for _ in range(6):
+            w = list(base)
+            for _ in range(rng.randrange(len(w) // 18)):
+                w[rng.randrange(len(w))] = f"x{rng.random()}"
+            rows.append((len(rows), " ".join(w)))
+    docs = make_docs(spark, rows).select("doc_id", F.lit(1).cast("long").alias("tie"), "text")
+    found = op7._classes(docs, index_by=option)
+    expected = brute.jaccard_components(rows)
+    assert sorted((r.doc_id, r.n_shingles, r.n_links) for r in found.collect()) == sorted((i, n, links) for i, n, _, links in expected)
+    assert found.select("root").distinct().count() == len({c for _, _, c, _ in expected})
 
 
 def test_linked_sets_always_share_a_signature():
     rng = np.random.default_rng(5)
     classes = rng.integers(0, 3, 1 << 18).astype(np.uint8)
-    for _ in range(300):
-        n = int(rng.integers(3, 400))
-        a = np.unique(rng.integers(1, 2**63, n).astype(np.uint64))
+    seen = set()
+    for _ in range(400):
+        n = int(rng.integers(3, 900))
+        a = np.unique(rng.integers(1, 2**63, n).astype(np.uint64) * np.uint64(2))
         drop = int(rng.integers(0, len(a) // 4 + 1))
         add = int(rng.integers(0, max(1, (len(a) - drop) - len(a) * 3 // 4 + 1)))
         b = np.unique(np.concatenate([rng.permutation(a)[drop:], rng.integers(1, 2**63, add).astype(np.uint64)]))
         if 100 * len(np.intersect1d(a, b)) < 75 * len(np.union1d(a, b)):
             continue
-        from panelkit.llm.op7_jaccard_join import bands_of
-
-        band = max(len(a), len(b))
-        band = (band.bit_length() - 1) // 2
+        band = band_of(max(len(a), len(b)))
         assert band in bands_of(len(a)) and band in bands_of(len(b))
-        share = 0.5 if 4 ** (band + 1) >= 256 else 0.0
-        assert len(np.intersect1d(signatures(a, band, share, classes), signatures(b, band, share, classes)))
+        for option in range(len(OPTIONS)):
+            if not too_short(a, band, option) and not too_short(b, band, option):
+                seen.add(option)
+                assert len(np.intersect1d(signatures(a, band, option, classes), signatures(b, band, option, classes)))
+    assert seen == set(range(len(OPTIONS)))
 
 
 def test_crc_is_that_of_the_ids():
