@@ -1,6 +1,6 @@
 """Vectorised text kernels used inside Spark tasks.
 
-Everything here works on one slice of an Arrow batch (about a megabyte of text), so the memory of a task doesn't depend
+Everything here works on one slice of an Arrow batch (about a quarter of a megabyte of text), so the memory of a task doesn't depend
 on how many rows its partition has. Words are maximal runs of bytes other than the six ASCII white-space characters;
 they are hashed straight from the Arrow buffer, without making Python strings.
 """
@@ -19,7 +19,7 @@ LOWER[65:91] += 32
 _BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256).astype(np.uint64)
 _BASE, _STEP = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 _STEP2 = 0xAF251AF3B0F025B5
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 _powers: dict[int, np.ndarray] = {}
 
 
