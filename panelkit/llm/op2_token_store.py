@@ -7,7 +7,9 @@ A store is a folder of Parquet tables:
   ids of the smallest width that the vocabulary allows).
 * `recipes` - in ascending document order, for each document the keys of its chunks, the number of its ids and the root
   of its Merkle tree; `part` and `slot` say where it stands.
-* `manifest` - for each part its number of ids, the id at which it starts and the root over its documents' roots.
+* `manifest` - for each part its number of ids, the id at which it starts and the root over its documents: their ids,
+  numbers of token ids and roots.
+* `seal` - one row: the root over the whole manifest.
 
 One shuffle writes chunks and recipes: a task sends a payload once, however often it meets it. Reading back never moves
 payloads: chunk files are hashed where they are read, and a document's digest is put together from those of its chunks.
@@ -27,12 +29,12 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelkit.llm import kernels as K
-from panelkit.llm.common import clean_text, shared_dir, table
+from panelkit.llm.common import clean_text, shared_dir, staged, table
 
 REACH, MEAN, LEAST, MOST = 16, 512, 64, 4096
 KEPT_WORDS = 900_000
@@ -220,15 +222,26 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_
     # one row for each part: the number of parts is a setting, not a count of documents
     before = F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     manifest.withColumn("start", F.coalesce(before, F.lit(0))).write.parquet(f"{path}/manifest")
+    _seal(spark.read.parquet(f"{path}/manifest")).write.parquet(f"{path}/seal")
+
+
+def _ordered_root(by: str, leaf: Column) -> Column:
+    leaves = F.transform(F.array_sort(F.collect_list(F.struct(by, leaf.alias("leaf")))), lambda x: x["leaf"])
+    return F.sha2(F.array_join(leaves, ""), 256)
 
 
 def _part_roots(recipes: DataFrame) -> DataFrame:
-    """part, n_tokens, root: documents' roots hash in blocks of 1024 slots first, so no list grows with the corpus."""
+    """part, n_tokens, root: documents hash in blocks of 1024 slots first, so no list grows with the corpus."""
     slot = F.row_number().over(Window.partitionBy("part").orderBy("doc_id", "row")) - 1
-    block = recipes.select("part", "n_tokens", "root", slot.alias("slot")).groupBy("part", F.shiftright("slot", 10).alias("block"))
-    ordered = lambda by, leaf: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, F.hex(leaf).alias("leaf")))), lambda x: x["leaf"]), ""), 256)
-    blocks = block.agg(ordered("slot", "root").alias("root"), F.sum("n_tokens").alias("n_tokens"))
-    return blocks.groupBy("part").agg(ordered("block", "root").alias("root"), F.sum("n_tokens").alias("n_tokens"))
+    document = F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "n_tokens", F.hex("root")), 256)
+    block = recipes.select("part", "n_tokens", document.alias("leaf"), slot.alias("slot")).groupBy("part", F.shiftright("slot", 10).alias("block"))
+    blocks = block.agg(_ordered_root("slot", F.col("leaf")).alias("root"), F.sum("n_tokens").alias("n_tokens"))
+    return blocks.groupBy("part").agg(_ordered_root("block", F.col("root")).alias("root"), F.sum("n_tokens").alias("n_tokens"))
+
+
+def _seal(manifest: DataFrame) -> DataFrame:
+    """seal: the root over all parts in order; one row, also for no parts."""
+    return manifest.agg(_ordered_root("part", F.concat_ws(":", "part", "start", "n_tokens", "root")).alias("seal"))
 
 
 def _tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -240,7 +253,9 @@ def read_digests(spark: SparkSession, path: str, tokenizer: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, verified: every document of a store, from its files.
 
     n_tokens and ids_crc32 (of the ids as little-endian 32-bit integers) come from the stored chunks. verified says that
-    the chunks' contents hash to their keys, these to the document's root, and the documents' roots to their part's.
+    the chunks' contents hash to their keys and these to the document's root, that their ids are as many as the recipe says,
+    that the documents of its part hash to the part's root, and that the store is complete: its parts hash to the seal, and
+    recipes have these parts and no others. So whatever is lost or altered, what comes back incomplete is not verified.
     """
     chunks, recipes, manifest = _tables(spark, path)
 
@@ -273,14 +288,16 @@ def read_digests(spark: SparkSession, path: str, tokenizer: str) -> DataFrame:
             )
 
     read = listed.mapInArrow(combine, "doc_id long, row long, n_tokens long, ids_crc32 long, found_root binary")
-    parts = manifest.join(_part_roots(recipes).select("part", F.col("root").alias("found")), "part").select("part", "start", (F.col("root") == F.col("found")).alias("whole"))
+    found = _part_roots(recipes).select("part", F.col("root").alias("found"), F.lit(True).alias("stored"))
+    parts = staged(manifest.withColumn("listed", F.lit(True)).join(found, "part", "full").select("part", "start", "listed", "stored", (F.col("root") == F.col("found")).alias("whole")))
+    complete = parts.where("listed is null or stored is null").isEmpty() and _seal(manifest).collect() == spark.read.parquet(f"{path}/seal").collect()
     inside = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("doc_id", "row").rowsBetween(Window.unboundedPreceding, -1))
-    placed = recipes.select("doc_id", "row", "root", "part", F.coalesce(inside, F.lit(0)).alias("inside")).join(F.broadcast(parts), "part")  # a row for each part
+    placed = recipes.select("doc_id", "row", "root", F.col("n_tokens").alias("said"), "part", F.coalesce(inside, F.lit(0)).alias("inside"))
+    placed = placed.join(F.broadcast(parts), "part", "left")  # a row for each part
     placed = placed.withColumns({"id": F.coalesce("doc_id", F.lit(0)), "none": F.col("doc_id").isNull()}).drop("doc_id")
     read = read.withColumns({"id": F.coalesce("doc_id", F.lit(0)), "none": F.col("doc_id").isNull()})
-    return read.join(placed, ["id", "none", "row"]).select(
-        "doc_id", (F.col("start") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", (F.col("whole") & (F.col("root") == F.col("found_root"))).alias("verified")
-    )
+    proved = F.col("whole") & (F.col("root") == F.col("found_root")) & (F.col("said") == F.col("n_tokens")) & F.lit(complete)
+    return read.join(placed, ["id", "none", "row"]).select("doc_id", (F.col("start") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", F.coalesce(proved, F.lit(False)).alias("verified"))
 
 
 def read_ids(spark: SparkSession, path: str, tokenizer: str) -> DataFrame:
