@@ -1,14 +1,16 @@
 """Shards by vector bin packing: bytes, tokens and rows balanced together.
 
 Groups of equal texts go to one shard. What is packed is a bounded list of items, whatever the corpus: groups that hold a
-notable share of anything are items of their own, those that hold too much for one shard are split by a hash of the id into
-64 pieces, and all others are collected by hash into a fixed number of units. Items go, largest first, to the shard where
-the dot product of their demand with what is left of each capacity is highest, and swaps level out the bytes. Shares decide at every size, so a small
-corpus is packed group by group and a large one mostly by units.
+notable share of anything are items of their own, one that is larger than a shard is cut into as few equal parts as fit, and
+all others are collected by hash into a fixed number of units. Items go, largest first, to the shard where the dot product of
+their demand with what is left of each capacity is highest, and exchanges level out what is left uneven in any dimension.
+Shares decide at every size, so a small corpus is packed group by group and a large one mostly by units.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +19,10 @@ from pyspark.sql.window import Window
 
 from panelkit.llm.common import clean_text, staged, table
 
-UNITS, PIECES, SPLIT = 256, 64, 8
+UNITS, PIECES = 256, 1024
 DIMENSIONS = ("size", "tokens", "rows")
+ROOM = 0.9  # of a shard that a part of a split group fills at most: the rest is for what evens out the other dimensions
+WEIGHTS = np.array([8.0, 1.0, 1.0])  # the law is that of bytes: they are levelled out before the others
 
 
 def pack(demand: np.ndarray, shards: int) -> np.ndarray:
@@ -35,32 +39,53 @@ def pack(demand: np.ndarray, shards: int) -> np.ndarray:
     return out
 
 
-def level(demand: np.ndarray, shard: np.ndarray, shards: int, rounds: int = 400, within: float = 1e-3) -> np.ndarray:
-    """Swaps between the fullest and the emptiest shard, by the first dimension, until they are within a thousandth.
+def level(demand: np.ndarray, shard: np.ndarray, shards: int, rounds: int = 1000, within: float = 1e-3) -> np.ndarray:
+    """Exchanges between the fullest and the emptiest shard of a dimension, until all dimensions are within a thousandth.
 
-    The swap that comes nearest to half of the gap is made; an item may also move alone. With few items the packing leaves
-    gaps that only exchanges close; with many there is hardly anything to do.
+    An item moves alone or for another. Of those whose difference is nearest to half of the gap, the exchange that leaves
+    the two shards least uneven, in all dimensions together, is made, if that is better than none; the most uneven
+    dimension in which there is such an exchange comes first.
     """
-    shard, size = shard.copy(), demand[:, 0]
+    shard = shard.copy()
     for _ in range(rounds):
-        total = np.bincount(shard, size, shards)
-        high, low = int(total.argmax()), int(total.argmin())
-        gap = total[high] - total[low]
-        if gap * shards <= within:
-            break
-        own, other = np.flatnonzero(shard == high), np.flatnonzero(shard == low)
-        other = other[np.argsort(size[other], kind="stable")]
-        steps = np.append(0.0, size[other])
-        near = np.clip(np.searchsorted(steps, size[own] - gap / 2), 1, len(steps) - 1) if len(steps) > 1 else np.zeros(len(own), int)
-        best = min(((abs(size[i] - steps[k] - gap / 2), i, k) for i, at in zip(own, near) for k in {at, max(0, at - 1)}), default=(gap, 0, 0))
-        if best[0] >= gap / 2 * (1 - 1e-9):
+        total = np.stack([np.bincount(shard, d, shards) for d in demand.T], 1)
+        spread = np.ptp(total, axis=0) * shards
+        if not any(_exchange(demand, shard, total, d) for d in np.argsort(-spread, kind="stable") if spread[d] > within):
             break
-        shard[best[1]] = low
-        if best[2]:
-            shard[other[best[2] - 1]] = high
     return shard
 
 
+def _exchange(demand: np.ndarray, shard: np.ndarray, total: np.ndarray, d: int) -> bool:
+    """Makes the best exchange between the two shards furthest apart in dimension d, if it is better than none."""
+    high, low = int(total[:, d].argmax()), int(total[:, d].argmin())
+    gap = total[high] - total[low]
+    own, other = np.flatnonzero(shard == high), np.append(-1, np.flatnonzero(shard == low))
+    given = np.concatenate([np.zeros((1, demand.shape[1])), demand[other[1:]]])
+    order = np.argsort(given[:, d], kind="stable")
+    at = np.searchsorted(given[order, d], demand[own, d] - gap[d] / 2)
+    near = order[np.clip(at[:, None] + np.arange(-4, 5), 0, len(order) - 1)]
+    left = ((gap - 2 * (demand[own][:, None] - given[near])) ** 2).sum(2)
+    i, k = np.unravel_index(int(left.argmin()), left.shape)
+    if left[i, k] >= (gap**2).sum() * (1 - 1e-9):
+        return False
+    shard[own[i]] = low
+    if other[near[i, k]] >= 0:
+        shard[other[near[i, k]]] = high
+    return True
+
+
+def parts_of(group: np.ndarray, demand: np.ndarray, shards: int) -> np.ndarray:
+    """The part of each piece: a group's pieces go, largest first, to the emptiest of as few parts as each fit a shard with ROOM."""
+    out = np.zeros(len(group), np.int64)
+    for g in np.unique(group):
+        own = np.flatnonzero(group == g)
+        loads = np.zeros(max(1, math.ceil(demand[own].sum(0).max() * shards / ROOM - 1e-9)))
+        for i in own[np.lexsort((own, -demand[own].max(1)))]:
+            out[i] = loads.argmin()
+            loads[out[i]] += demand[i].max()
+    return out
+
+
 def _facts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = clean_text("text")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
@@ -75,28 +100,25 @@ def placement(facts: DataFrame, shards: int) -> tuple[DataFrame, DataFrame, Data
     """Shards of the pieces of split groups, of large groups, and of units: three tables of bounded size."""
     spark = facts.sparkSession
     sums = [F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.sum("rows").alias("rows")]
-    pieces = staged(facts.withColumn("rows", F.lit(1)).groupBy("text_group", "piece").agg(*sums))
-    total = pieces.agg(*sums).first()
-    share = F.greatest(*(F.col(d) / max(1, total[d] or 0) for d in DIMENSIONS))
-    groups = pieces.groupBy("text_group").agg(*sums).withColumn("share", share)
+    facts = facts.withColumn("rows", F.lit(1))
+    groups = staged(facts.groupBy("text_group").agg(*sums))
+    total = groups.agg(*sums).first()
+    shares = [F.col(d) / max(1, total[d] or 0) for d in DIMENSIONS]
+    groups = groups.withColumn("share", F.greatest(*shares))
     units = shards * UNITS
-    split = staged(groups.where(F.col("share") > 1 / (shards * SPLIT)).select("text_group"))  # at most 3 * shards * SPLIT rows
-    own = groups.where((F.col("share") <= 1 / (shards * SPLIT)) & (F.col("share") >= 1 / units)).select("text_group", *DIMENSIONS)  # at most 3 * units rows
+    split = staged(groups.where(F.col("share") > 1 / shards).select("text_group"))  # fewer than 3 * shards rows
+    pieces = facts.join(F.broadcast(split), "text_group").groupBy("text_group", "piece").agg(*sums)  # PIECES for each
+    own = groups.where((F.col("share") <= 1 / shards) & (F.col("share") >= 1 / units)).select("text_group", *DIMENSIONS)  # at most 3 * units rows
     light = groups.where(F.col("share") < 1 / units).groupBy(F.pmod("text_group", F.lit(units)).alias("unit")).agg(*sums)
-    parts = [pieces.join(F.broadcast(split), "text_group").select("text_group", "piece", *DIMENSIONS), own, light]
-    found = [p.toArrow() for p in parts]
-    demand = np.concatenate([np.stack([t[d].to_numpy().astype(float) / max(1, total[d] or 0) for d in DIMENSIONS], 1) for t in found])
-    at, out = 0, []
     keys = [("text_group", "piece"), ("text_group",), ("unit",)]
-    order = [np.lexsort(tuple(t[k].to_numpy() for k in reversed(names))) for t, names in zip(found, keys)]
-    start = np.cumsum([0, *map(len, order)])
-    demand = demand[np.concatenate([o + s for o, s in zip(order, start)])]
-    shard = level(demand, pack(demand, shards), shards) if len(demand) else np.zeros(0, np.int32)
-    for t, names, o in zip(found, keys, order):
-        columns = {k: t[k].take(pa.array(o)).combine_chunks() for k in names}
-        out.append(spark.createDataFrame(pa.table(columns | {"shard": pa.array(shard[at : at + len(o)], pa.int32())})))
-        at += len(o)
-    return tuple(out)
+    found = [t.sort_by([(k, "ascending") for k in names]) for t, names in zip((p.toArrow() for p in (pieces, own, light)), keys)]
+    demand = [np.stack([t[d].to_numpy().astype(float) / max(1, total[d] or 0) for d in DIMENSIONS], 1) for t in found]
+    part = np.unique(np.stack([found[0]["text_group"].to_numpy(), parts_of(found[0]["text_group"].to_numpy(), demand[0], shards)]), axis=1, return_inverse=True)[1].reshape(-1)
+    cut = np.stack([np.bincount(part, d) for d in demand[0].T], 1) if len(part) else demand[0]
+    items = np.concatenate([cut, *demand[1:]])
+    shard = level(items * WEIGHTS, pack(items, shards), shards) if len(items) else np.zeros(0, np.int32)
+    of = [shard[: len(cut)][part], *np.split(shard[len(cut) :], [len(demand[1])])]
+    return tuple(spark.createDataFrame(t.select(list(names)).append_column("shard", pa.array(x, pa.int32()))) for t, names, x in zip(found, keys, of))
 
 
 def _placed(facts: DataFrame, shards: int, places: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
@@ -110,8 +132,8 @@ def assign_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", tex
     """doc_id, size, text_crc32, tokens, shard, slot: a row for each input row.
 
     size is the text's UTF-8 bytes and 8 more; a null text has none. slot counts a shard's rows from 0 without gaps, in
-    blocks by a hash of the id and by id within them, so no task numbers a whole shard. Equal texts share a shard unless
-    their group is over an eighth of one. Repeated rows are rows like others; null ids are allowed. Other columns are
+    blocks by a hash of the id and by id within them, so no task numbers a whole shard. Equal texts share a shard; a group
+    larger than one shard has the fewest that hold it in equal parts of nine tenths of a shard at most. Texts are read whole. Repeated rows are rows like others; null ids are allowed. Other columns are
     ignored; an empty table gives no rows.
     """
     facts = staged(_facts(docs, id_col, text_col))
