@@ -1,14 +1,19 @@
 """URL filters as a sort-merge range join.
 
-A rule is a host and the beginning of a path. With a host's labels reversed, everything that a rule fits under one host is
-an interval of keys. A url is one key for each of its host's endings (a.example.net, example.net, net), so rules for a
-host reach its subdomains. Interval starts, interval ends and keys are sorted together; a sweep over them keeps the stack
-of the rules that are open (one column for each depth of nesting) and reads off its top. The longest of a url's hits wins.
+A rule is a host and the beginning of a path. A host's canonical key has its labels reversed, each closed by a separator, so
+a rule's host and all its subdomains are an interval of keys, and intervals are nested or apart. Starts and ends of the rules'
+intervals and the keys of the urls are sorted together; a sweep over them keeps the stack of the rule hosts that are open (one
+column for each depth of nesting), so every url learns from one sort which rule hosts are above it. A second sweep of the
+same kind, over paths under each of those hosts, reads the rule off the top of its stack: paths that begin alike are
+intervals, too. The longest of a url's hits wins.
+
+Sweeps run in ranges of keys: the first two labels of the host. What is open where a range begins, the rules of one label,
+is opened again in each range, and ranges with very many urls are dealt over salts together with their rules.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -27,8 +32,45 @@ def rules_table(spark: SparkSession, rules: tuple[tuple[str, str, str], ...] = R
     return spark.sql(f"SELECT * FROM VALUES {values} AS t(verdict, host, path)")
 
 
-def _reversed(labels) -> F.Column:
-    return F.array_join(F.reverse(labels), ".")
+def _host_key(labels: Column) -> Column:
+    """The labels in reverse order, each followed by a zero byte, so that a rule's key begins those of all its subdomains."""
+    return F.encode(F.concat(F.array_join(F.reverse(labels), "\0"), F.lit("\0")), "utf-8")
+
+
+def _labels(host: str) -> Column:
+    return F.split(F.replace(F.col(host), F.lit("\0"), F.lit("\uffff")), r"\.")
+
+
+def _range(labels: Column, n: int = 2) -> Column:
+    return F.array_join(F.reverse(F.slice(F.concat(F.array_repeat(F.lit(None).cast("string"), n), labels), -n, n)), "\0")
+
+
+def _events(rules: DataFrame) -> DataFrame:
+    """The start and the end of each rule's interval: what lies between begins with its key (no UTF-8 text has a byte FF)."""
+    return rules.withColumns({"kind": F.lit(0), "step": F.lit(1)}).unionByName(rules.withColumns({"kind": F.lit(0), "step": F.lit(-1), "key": F.concat("key", F.unhex(F.lit("FF")))}))
+
+
+def _sweep(points: DataFrame, rules: DataFrame, within: str, deepest: int) -> DataFrame:
+    """points (within, key, ...) with open: the array of found of all rules (within, key, found) whose keys begin theirs,
+    outermost first; points under no rule are left out."""
+    points = points.join(rules.select(within).distinct(), within, "left_semi")
+    counts = staged(points.groupBy(within).count())
+    total = counts.agg(F.sum("count")).first()[0] or 1
+    salts = counts.withColumn("share", F.col("count") / total).where(F.col("share") > 1 / HOT).select(within, F.ceil(F.col("share") * 2 * HOT).cast("int").alias("salts"))
+    salts = F.broadcast(staged(salts))  # fewer than HOT rows
+    salted = lambda df, salt: df.join(salts, within, "left").withColumn("salt", salt(F.coalesce("salts", F.lit(1)))).drop("salts")
+    events = salted(_events(rules), lambda n: F.explode(F.sequence(F.lit(0), n - 1)))
+    points = salted(points, lambda n: F.pmod(F.xxhash64("page_id", "row"), n).cast("int")).withColumns({"kind": F.lit(1), "step": F.lit(0)})
+    order = Window.partitionBy(within, "salt").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    swept = events.unionByName(points, allowMissingColumns=True).withColumn("depth", F.sum("step").over(order))
+    stack = [F.last(F.when((F.col("step") == 1) & (F.col("depth") == d), F.col("found")), ignorenulls=True).over(order).alias(f"open{d}") for d in range(1, deepest + 1)]
+    swept = swept.select("page_id", "row", "host", "path", "kind", "depth", *stack).where("kind = 1 and depth > 0")
+    return swept.select("page_id", "row", "host", "path", F.slice(F.array(*(f"open{d}" for d in range(1, deepest + 1))), F.lit(1), F.col("depth").cast("int")).alias("open"))
+
+
+def _deepest(rules: DataFrame, within: str) -> int:
+    nested = Window.partitionBy(within).orderBy("key", F.desc("step")).rowsBetween(Window.unboundedPreceding, 0)
+    return _events(rules).select(F.sum("step").over(nested).alias("depth")).agg(F.max("depth")).first()[0] or 0
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, otherwise: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -36,43 +78,32 @@ def judge_urls(pages: DataFrame, rules: DataFrame, otherwise: str = "allow", id_
 
     rules: verdict, host, path. A rule fits its host and all subdomains if the url's path starts with its path; of several
     the longest (then the one with the longer host) wins, of equal ones with two verdicts "block". rule is null and the
-    verdict `otherwise` where none fits. A null url, or one without ://, has an empty host and path and fits no rule.
-    Repeated rows are judged each by itself; null ids are allowed; rules with a null are skipped; other columns are ignored.
-    A host that holds a notable share of all keys is spread over salts, and its rules with it.
+    verdict `otherwise` where none fits. A null url, or one without ://, has an empty host and path and fits no rule but those
+    for an empty host. Repeated rows are judged each by itself; null ids are allowed; rules with a null are skipped; urls are
+    read whole, however long; other columns are ignored. A range or host that holds a notable share of all urls is spread
+    over salts, and its rules with it.
     """
     part = lambda k: F.coalesce(F.regexp_extract(url_col, _URL, k), F.lit(""))
     urls = staged(
         pages.select(F.col(id_col).cast("long").alias("page_id"), F.monotonically_increasing_id().alias("row"), F.translate(part(1), _UPPER, _LOWER).alias("host"), part(2).alias("path"))
     )
     rules = rules.where("verdict is not null and host is not null and path is not null").groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
-    rules = rules.select(_reversed(F.split("host", r"\.")).alias("under"), F.encode("path", "utf-8").alias("key"), F.struct((F.char_length("host") + F.char_length("path")).alias("size"), F.char_length("host").alias("host_size"), F.concat("host", "path").alias("rule"), "verdict").alias("found"))
-
-    labels = F.split("host", r"\.")
-    endings = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.reverse(F.slice(labels, i, F.size(labels))), "."))
-    keys = urls.select("page_id", "row", "host", "path", F.explode(endings).alias("under")).join(rules.select("under").distinct(), "under", "left_semi")
-    keys = keys.withColumn("key", F.encode("path", "utf-8"))
-
-    counts = staged(keys.groupBy("under").count())
-    total = counts.agg(F.sum("count")).first()[0] or 1
-    salts = counts.withColumn("share", F.col("count") / total).where(F.col("share") > 1 / HOT).select("under", F.ceil(F.col("share") * 2 * HOT).cast("int").alias("salts"))
-    salts = F.broadcast(staged(salts))  # fewer than HOT rows
-    salted = lambda df, salt: df.join(salts, "under", "left").withColumn("salt", salt(F.coalesce("salts", F.lit(1)))).drop("salts")
-
-    opened = rules.withColumns({"kind": F.lit(0), "step": F.lit(1)})
-    closed = rules.withColumns({"kind": F.lit(0), "step": F.lit(-1), "key": F.concat("key", F.unhex(F.lit("FF")))})
-    events = salted(opened.unionByName(closed), lambda n: F.explode(F.sequence(F.lit(0), n - 1)))
-    points = salted(keys, lambda n: F.pmod(F.xxhash64("page_id", "row"), n).cast("int")).withColumns({"kind": F.lit(1), "step": F.lit(0)})
-
-    nested = Window.partitionBy("under").orderBy("key", F.desc("step")).rowsBetween(Window.unboundedPreceding, 0)
-    deepest = opened.unionByName(closed).select(F.sum("step").over(nested).alias("depth")).agg(F.max("depth")).first()[0] or 0
-
-    sweep = Window.partitionBy("under", "salt").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    swept = events.unionByName(points, allowMissingColumns=True).withColumn("depth", F.sum("step").over(sweep))
-    stack = [F.last(F.when((F.col("step") == 1) & (F.col("depth") == d), F.col("found")), ignorenulls=True).over(sweep).alias(f"open{d}") for d in range(1, deepest + 1)]
-    top = F.coalesce(*(F.when(F.col("depth") == d, F.col(f"open{d}")) for d in range(1, deepest + 1)), F.lit(None).cast(rules.schema["found"].dataType))
-    hits = swept.select("page_id", "row", "host", "path", "kind", "depth", *stack).where("kind = 1 and depth > 0").select("page_id", "row", "host", "path", top.alias("found"))
-
-    every = urls.select("page_id", "row", "host", "path", F.lit(None).cast(rules.schema["found"].dataType).alias("found"))
+    labels = _labels("host")
+    rules = staged(rules.select("host", "path", "verdict", _host_key(labels).alias("host_key"), F.size(labels).alias("labels"), _range(labels).alias("range"), _range(labels, 1).alias("top")))
+
+    keyed = urls.select("page_id", "row", "host", "path", _range(labels).alias("range"), _range(labels, 1).alias("top"), _host_key(labels).alias("key"))
+    hosts = rules.select("range", "top", "labels", F.col("host_key").alias("key"), F.col("host_key").alias("found")).distinct()
+    ranges = keyed.select("range", "top").distinct()  # a rule of one label is open at the beginning of every range under it
+    carried = ranges.join(hosts.where("labels = 1").select("top", "key", "found"), "top").select("range", "key", "found")
+    opened = staged(carried.union(hosts.where("labels > 1").select("range", "key", "found")))
+    above = _sweep(keyed.drop("top"), opened, "range", _deepest(hosts.select("top", "key", "found"), "top"))
+
+    under = above.select("page_id", "row", "host", "path", F.explode("open").alias("under"), F.encode("path", "utf-8").alias("key"))
+    found = F.struct((F.char_length("host") + F.char_length("path")).alias("size"), F.char_length("host").alias("host_size"), F.concat("host", "path").alias("rule"), "verdict")
+    paths = rules.select(F.col("host_key").alias("under"), F.encode("path", "utf-8").alias("key"), found.alias("found"))
+    hits = _sweep(under, paths, "under", _deepest(paths, "under")).select("page_id", "row", "host", "path", F.element_at("open", -1).alias("found"))
+
+    every = urls.select("page_id", "row", "host", "path", F.lit(None).cast(paths.schema["found"].dataType).alias("found"))
     best = every.unionByName(hits).groupBy("page_id", "row", "host", "path").agg(F.max("found").alias("found"))
     return best.select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.coalesce("found.verdict", F.lit(otherwise)).alias("verdict"))
 
