@@ -42,7 +42,7 @@ ENDINGS = frozenset("com org net edu gov mil info biz io co ai app dev tv uk de
 _NUM = "(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + r"|[0-9])"
 _IN = r"[A-Za-z0-9%+\-]"
 _DOT = r"(?:\s*[\[({<]\s*(?:dot|punkt|punto|point|\.)\s*[\])}>]\s*|\s+(?:dot|punkt|punto|point)\s+|\.)"
-_AT = r"(?:\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|\s+at\s+|@)"
+_AT = r"(?:\s*[\[({<]\s*(?:at|arroba|arobase|@)\s*[\])}>]\s*|\s+(?:at|arroba|arobase)\s+|@)"
 #: An address with some part in words or brackets: at least one domain dot in any form.
 _ADDRESS = re.compile(rf"(?<!{_IN}){_IN}{{1,64}}(?:{_DOT}{_IN}{{1,64}}){{0,4}}{_AT}[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{1,63}}){{1,5}}(?!{_IN})", re.I)
 _AT_TOKEN, _DOT_TOKEN = re.compile(_AT, re.I), re.compile(_DOT, re.I)
@@ -137,9 +137,10 @@ def rewrite(text: str) -> tuple[str, np.ndarray, np.ndarray]:
     for m in _ADDRESS.finditer(text):
         at = _AT_TOKEN.search(text, m.start(), m.end())
         tokens = [(at.span(), "@"), *((d.span(), ".") for a, b in ((m.start(), at.start()), (at.end(), m.end())) for d in _DOT_TOKEN.finditer(text, a, b))]
-        bare = at[0].isspace() or at[0].strip().lower() == "at"
-        if bare and text[tokens[-1][0][1] : m.end()].lower() not in ENDINGS:
-            continue  # "at" in words is a word of the language, too: the address has to end as addresses do
+        bare = at[0].strip().lower() in ("at", "arroba", "arobase")
+        last = text[tokens[-1][0][1] : m.end()].lower()
+        if (bare and last not in ENDINGS) or (last.isdigit() and at[0] != "@"):
+            continue  # "at" in words is a word of the language, too: the address has to end as addresses do, not with a number
         for (a, b), new in sorted(tokens):
             tape.put(a, b, new)
     text, start, end = tape.close()
