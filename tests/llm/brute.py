@@ -5,6 +5,8 @@ import itertools
 import re
 import zlib
 
+import xxhash
+
 SPACE = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -101,3 +103,35 @@ def local_score(item, text):
             here.append(max(0, above[j] + (1 if w == x else -1), above[j + 1] - 1, here[j] - 1))
         best, above = max(best, *here), here
     return best
+
+
+def pack(demand, shards):
+    """Vector bin packing, one item and one shard at a time."""
+    left = [[1 / shards] * len(demand[0]) for _ in range(shards)]
+    out = [None] * len(demand)
+    for i in sorted(range(len(demand)), key=lambda i: (-max(demand[i]), i)):
+        fits = [s for s in range(shards) if all(x >= d for x, d in zip(left[s], demand[i]))]
+        if fits:
+            best = max(fits, key=lambda s: (sum(x * d for x, d in zip(left[s], demand[i])), -s))
+        else:
+            best = max(range(shards), key=lambda s: (min(x - d for x, d in zip(left[s], demand[i])), -s))
+        out[i] = best
+        left[best] = [x - d for x, d in zip(left[best], demand[i])]
+    return out
+
+
+def xxhash_chain(values, seed=42):
+    """What hashing columns one after the other gives: integers of 4 (int) or 8 (long) bytes, strings; nulls are passed over."""
+    for kind, v in values:
+        if v is not None:
+            data = v.encode() if kind == "str" else v.to_bytes(4 if kind == "int" else 8, "little", signed=True)
+            seed = xxhash.xxh64_intdigest(data, seed)
+    return seed - 2**64 if seed >= 2**63 else seed
+
+
+def sketch(text, bits=2, size=5):
+    """Hashes under the threshold of the runs of five words, of the whole sequence if it has fewer."""
+    w = [xxhash_chain([("str", x.decode())]) for x in words(text)]
+    runs = [w[k : k + size] for k in range(len(w) - size + 1)] if len(w) >= size else [w] if w else []
+    found = {xxhash_chain([("long", v) for v in run]) for run in runs}
+    return sorted(h for h in found if h % 2**64 < 2 ** (64 - bits))

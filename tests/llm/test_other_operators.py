@@ -10,7 +10,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelkit.llm.op3_shards import assign_shards, pack, write_shards
+from panelkit.llm.op3_shards import assign_shards, level, pack, write_shards
+from panelkit.llm import op4_fingerprints as op4
+from panelkit.llm import op5_mixing as op5
 from panelkit.llm.op4_fingerprints import containment, fingerprint, range_of
 from panelkit.llm.op5_mixing import mix_plan, mix_sources, realise
 from panelkit.llm.op6_url_filters import RULES, judge_urls, rules_table
@@ -50,6 +52,47 @@ def test_shards_written_hold_whole_rows(spark, tmp_path):
     assert back.schema["doc"].dataType.fieldNames() == docs.columns and back.count() == docs.count()
 
 
+def test_packing_equals_one_item_and_shard_at_a_time():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        demand = rng.pareto(1.5, (int(rng.integers(1, 90)), 3))
+        demand = demand / demand.sum(0)
+        assert list(pack(demand, 7)) == brute.pack(demand.tolist(), 7)
+
+
+def test_exchanges_even_out_every_dimension():
+    rng = np.random.default_rng(7)
+    demand = rng.pareto(2.5, (400, 3))
+    demand = demand / demand.sum(0)
+    spread = lambda shard: max(np.ptp(np.bincount(shard, d, 8)) for d in demand.T)
+    before = rng.integers(0, 8, 400).astype(np.int32)
+    after = level(demand, before, 8)
+    assert spread(after) < 0.01 < spread(before) and len(after) == 400
+
+
+def test_equal_texts_stay_together_unless_no_shard_holds_them(spark):
+    rng = random.Random(3)
+    rows = [(k, f"t{k} " + "w " * rng.randrange(60)) for k in range(900)]
+    groups = {"large " * 30: 300, "middle one " * 9: 60, "small " * 5: 30, "x": 25, None: 20}
+    rows += [(1000 * (j + 1) + k, t) for j, (t, n) in enumerate(groups.items()) for k in range(n)]
+    out = assign_shards(make_docs(spark, rows), 12).collect()
+    total, shards = defaultdict(int), defaultdict(set)
+    for r in out:
+        total[r.text_crc32] += np.array([r.size, r.tokens, 1])
+        shards[r.text_crc32].add(r.shard)
+    whole = sum(total.values())
+    for t, found in shards.items():
+        assert len(found) <= max(1, math.ceil((total[t] / whole).max() * 12 / 0.9)), "as few parts as hold it"
+    assert [t for t, s in shards.items() if len(s) > 1] == [zlib.crc32(b"large " * 30)]
+    sums = [sum(r.size for r in out if r.shard == s) for s in range(12)]
+    assert max(sums) < 1.02 * sum(sums) / 12
+
+
+def test_a_very_long_text_is_one_row_of_a_shard(spark):
+    out = assign_shards(make_docs(spark, [(1, "word " * 400_000), *((k, f"t{k}") for k in range(2, 60))]), 4).collect()
+    assert sorted(r.shard for r in out if r.doc_id == 1) == [next(r.shard for r in out if r.size > 10**6)] and len(out) == 59
+
+
 def test_packing_prefers_the_highest_dot_product():
     assert list(pack(np.array([[0.5, 0.0], [0.0, 0.5], [0.5, 0.0], [0.0, 0.5]]), 2)) == [0, 0, 1, 1]
 
@@ -68,10 +111,31 @@ def test_fingerprints_edit_and_order(spark):
     for i, following in zip(ids, [*ids[1:], ids[0]]):
         n, r = len(text[i]), found[i]
         assert r.n_chars == n and r.edited_text == text[i][: n - n // 3] + text[following][: n // 3]
-        assert r.next_sketch == found[following].sketch and r.sketch == sorted(set(r.sketch))
-        assert 0 <= r.near_edited <= 1 and bool(r.sketch) == bool(text[i].split())
+        assert r.next_sketch == found[following].sketch and r.sketch == brute.sketch(text[i])
+        assert r.edited_sketch == brute.sketch(r.edited_text)
+        both = len(set(r.sketch) & set(r.edited_sketch))
+        assert r.near_edited == (both / min(len(r.sketch), len(r.edited_sketch)) if r.sketch and r.edited_sketch else 0)
 
 
+@pytest.mark.parametrize("step_rows", [1, 7])
+def test_order_runs_through_ranges_and_steps(spark, monkeypatch, step_rows):
+    """Clustered ids, ties and null ids: every row is followed by the next by descending id, then by descending hash."""
+    monkeypatch.setattr(op4, "STEP_ROWS", step_rows)
+    monkeypatch.setattr(op4, "RANGES", 5)
+    rng = random.Random(6)
+    ids = [*range(40), *(rng.randrange(-(2**62), 2**62) for _ in range(40)), *[7] * 5, *[None] * 9]
+    rows = [(i, f"text {k} of {rng.random()}") for k, i in enumerate(ids)]
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, brute.xxhash_chain([("str", r[1])])), reverse=True)
+    expected = sorted((str(i), t[: len(t) - len(t) // 3] + u[: len(t) // 3]) for (i, t), (_, u) in zip(order, [*order[1:], order[0]]))
+    assert sorted((str(r.doc_id), r.edited_text) for r in fingerprint(make_docs(spark, rows)).collect()) == expected
+
+
+def test_sketch_of_joined_texts_is_the_union(spark):
+    texts = [" ".join(f"{g}{k}" for k in range(n)) for g, n in (("a", 5), ("b", 9), ("c", 400), ("d", 3000))]
+    found = {r.doc_id: set(r.sketch) for r in fingerprint(make_docs(spark, [*enumerate(texts), (9, " ".join(texts))])).collect()}
+    inside = set().union(*(found[k] for k in range(4)))
+    assert inside <= found[9] and len(found[9] - inside) <= 3 * 4  # and the runs across the joints
+
 def test_fingerprints_estimate_containment(spark):
     rng = random.Random(8)
     page = [f"p{rng.random()}" for _ in range(600)]
@@ -83,7 +147,9 @@ def test_fingerprints_estimate_containment(spark):
 def test_fingerprints_of_ties_nulls_and_nothing(spark):
     assert len(fingerprints(spark, corpus())) == len(corpus())
     one = fingerprints(spark, [(1, "ein Text für sich")])
-    assert one[0].edited_text == "ein Text für sich"[:12] + "ein T" and one[0].near_next == 1.0
+    assert one[0].edited_text == "ein Text für sich"[:12] + "ein T" and one[0].near_next in (0.0, 1.0)
+    long = fingerprints(spark, [(1, "ein langer Text " * 100_000 + "und noch ein anderer dazu, der viele Wörter hat")])
+    assert long[0].near_next == 1.0 and long[0].n_chars > 10**6
     assert fingerprints(spark, []) == []
 
 
@@ -114,6 +180,74 @@ def test_mixing_meets_entropy_and_budget(spark):
     assert all(abs(sums[s] - w * budget) <= 120 for s, w in weights.items())
 
 
+@pytest.mark.parametrize("row", [1, 2, 4096])
+def test_mixing_takes_what_the_definition_says(spark, monkeypatch, row):
+    """Weights, budgets and every document taken, against a plain version; many blocks, nulls, ties, one long text."""
+    monkeypatch.setattr(op5, "BLOCK_TOKENS", 300)
+    monkeypatch.setattr(op5, "ROW", row)
+    docs, _ = sources(spark)
+    docs = docs.union(spark.createDataFrame([(9000, "long " * 3000, "a", 1, "k", 2)], docs.schema))
+    budget = 60_000
+    plan = mix_plan(docs, target_entropy=0.9, budget=budget, seed=5)
+    rows = [(r.doc_id, r.text, r.source or "\0") for r in docs.collect()]
+    size = Counter()
+    for _, t, s in rows:
+        size[s] += len((t or "").split()) + 1
+    share = {s: n / sum(size.values()) for s, n in size.items()}
+
+    def weights(x):
+        z = sum(p**x for p in share.values())
+        return {s: p**x / z for s, p in share.items()}
+
+    low, high = 0.0, 4.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        entropy = -sum(w * math.log(w) for w in weights(mid).values()) / math.log(len(share))
+        low, high = (low, mid) if entropy <= 0.9 else (mid, high)
+    found = {r.source: r for r in plan.collect()}
+    expected = []
+    for s, w in weights(high).items():
+        r = found[s]
+        assert abs(r.weight - w) < 1e-4 and r.met and abs(r.entropy - 0.9) < 1e-4 and abs(r.exponent - high) < 1e-4
+        assert r.epochs == int(r.repeats + 1e-9) and r.rest == round((r.repeats - r.epochs) * size[s])
+        own = [(i, t) for i, t, x in rows if x == s]
+        keyed = []
+        for i, t in own:
+            text = None if t is None else brute.xxhash_chain([("str", t)])
+            key = brute.xxhash_chain([("int", 5), ("int", r.epochs), ("long", i), ("long", 42 if t is None else text)])
+            keyed.append((key % r.blocks, key, i, len((t or "").split()) + 1))
+        sums, taken = 0, []
+        by_block = Counter()
+        for b, _, _, n in keyed:
+            by_block[b] += n
+        for b in sorted(by_block):
+            inside = sorted(k for k in keyed if k[0] == b)
+            if sums + by_block[b] < r.rest:
+                taken += inside
+            elif sums < r.rest:
+                upto = sums
+                for k in sorted({k[1] for k in inside}):
+                    tied = [x for x in inside if x[1] == k]
+                    upto += sum(x[3] for x in tied)
+                    if upto - tied[0][3] / 2 <= r.rest:
+                        taken += tied
+            sums += by_block[b]
+        expected += [(str(i), r.epochs) for _, _, i, _ in taken] + [(str(i), e) for i, _ in own for e in range(r.epochs)]
+    assert sorted((str(r.doc_id), r.epoch) for r in realise(docs, plan, seed=5).select("doc.doc_id", "epoch").collect()) == sorted(expected)
+
+
+def test_a_target_out_of_reach_is_told(spark):
+    docs = spark.createDataFrame([(k, "a b c", "xyz"[k % 3]) for k in range(30)], "doc_id long, text string, source string")
+    with pytest.warns(UserWarning, match="no exponent meets"):
+        plan = mix_plan(docs, target_entropy=0.5).collect()
+    assert not any(r.met for r in plan) and all(abs(r.entropy - 1) < 1e-9 for r in plan)
+    with pytest.warns(UserWarning, match="no exponent meets"):
+        assert not any(r.met for r in mix_plan(docs, max_repeats=0.5).collect())
+    uneven = docs.union(spark.createDataFrame([(99, "d", "x")], docs.schema))
+    plan = mix_plan(uneven, target_entropy=0.2).collect()  # needs an exponent far over 4
+    assert all(r.met and abs(r.entropy - 0.2) < 1e-2 and r.exponent > 4 for r in plan)
+
+
 def test_mixing_keeps_within_repetitions(spark):
     docs, rows = sources(spark)
     plan = {r.source: r for r in mix_plan(docs, max_repeats=1.5).collect()}
@@ -139,6 +273,8 @@ def test_url_filters_equal_brute_force(spark):
     expected = [(k % 1500 if k % 90 else None, *brute.judge(u, rules)) for k, u in enumerate(urls)]
     assert sorted(map(str, map(tuple, out))) == sorted(map(str, expected))
     assert judge_urls(pages.limit(0), rules_table(spark)).collect() == []
+    long = f"http://{'a.' * 60}net/" + "en/" * 100_000
+    assert [tuple(r) for r in judge_urls(spark.createDataFrame([(1, long)], "page_id long, url string"), rules_table(spark, rules)).collect()] == [(1, *brute.judge(long, rules))]
     assert {r.verdict for r in judge_urls(pages, rules_table(spark).limit(0), "block").collect()} == {"block"}
 
 
@@ -188,6 +324,8 @@ def test_disguises_map_back_to_the_source(text, kind, part):
         ("host 192 (dot) 168 (dot) 10 (dot) 12 now", "ip", "192 (dot) 168 (dot) 10 (dot) 12"),
         ("card 4111 1111 one one 11 1111 now", "card", "4111 1111 one one 11 1111"),
         ("ring plus 49 one 7 two 3 four 5 six 7 now", "phone", "plus 49 one 7 two 3 four 5 six 7"),
+        ("escribe a john arroba ejemplo punto com hoy", "email", "john arroba ejemplo punto com"),
+        ("merci a john (arobase) exemple point fr hier", "email", "john (arobase) exemple point fr"),
     ],
 )
 def test_no_disguise_needs_another_beside_it(text, kind, part):
@@ -196,12 +334,51 @@ def test_no_disguise_needs_another_beside_it(text, kind, part):
     assert {s[:3] for s in find_all(text) if not s[3]} == {s[:3] for s in find_all(f"{text} \u200b") if not s[3]}
 
 
+GLYPHS = {"a": "а", "e": "е", "o": "о", "p": "р", "c": "с", "x": "х", "i": "і"}
+DIGITS = "zero one two three four five six seven eight nine".split()
+
+
+def disguised(rng, kind):
+    """An identifier of the kind and a form of it in which every character or sign may be disguised."""
+    word = lambda: "".join(rng.choice("abcdeopxik") for _ in range(rng.randrange(3, 9)))
+    if kind == "email":
+        glyph = lambda w: "".join(GLYPHS.get(c, c) if rng.random() < 0.3 else c + "\u200b" * (rng.random() < 0.1 and k < len(w) - 1) for k, c in enumerate(w))
+        at, dot = rng.choice([" [at] ", "(at)", " at ", "@", " {at} "]), rng.choice([" dot ", "[dot]", " (dot) ", "."])
+        return glyph(word()) + at + glyph(word()) + dot + "com"
+    if kind == "phone":
+        digits = "49" + "".join(str(rng.randrange(10)) for _ in range(9))
+        spelled = " ".join(DIGITS[int(d)] if rng.random() < 0.6 or k == 3 else d for k, d in enumerate(digits))
+        return rng.choice(["plus ", "+"]) + spelled
+    parts = [str(rng.randrange(10, 256)) for _ in range(4)]
+    return rng.choice([" dot ", "[.]", " (dot) ", " punto "]).join(parts)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_added_spans_equal_what_was_planted(spark, seed):
+    """Disguised identifiers among clean words of the alphabet: found are these spans, whole, and nothing else; also in a very
+    long text."""
+    rng = random.Random(seed)
+    rows, expected = [], {}
+    for k in range(25):
+        text, spans = "", []
+        for _ in range(rng.randrange(1, 5)):
+            text += " ".join("".join(rng.choice("qwrtzüñ") for _ in range(4)) for _ in range(3 + 20_000 * (k == 7))) + "; "
+            kind = rng.choice(["email", "phone", "ip"])
+            form = disguised(rng, kind)
+            spans.append((kind, len(text), len(text) + len(form)))
+            text += form + "; "
+        rows.append((k, text))
+        expected[k] = sorted(spans)
+    for r in find_private(make_docs(spark, rows)).collect():
+        assert sorted((KINDS[s["kind"]], s["start"], s["end"]) for s in r.spans) == expected[r.doc_id]
+
+
 def test_long_runs_of_signs_are_read_in_linear_time():
     for text in ("1" + "(.)" * 400 + "x", "one " + "( dot ) " * 400 + "x", "dot " * 2000, "a at b " * 2000, "1" + " " * 3000 + "one"):
         assert find_all(text) == []
 
 
-@pytest.mark.parametrize("text", ["we met at noon dot dot dot", "heat at the dot of nine", "one two three four", "она пришла домой", "look at this. dot com was a boom", "seven eight at nine"])
+@pytest.mark.parametrize("text", ["we met at noon dot dot dot", "heat at the dot of nine", "one two three four", "она пришла домой", "look at this. dot com was a boom", "seven eight at nine", "we met (at) 3.30 pm", "score [at] 2.1 of 3"])
 def test_clean_texts_stay_clean(text):
     assert find_all(text) == []
 

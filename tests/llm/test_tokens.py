@@ -47,15 +47,43 @@ def test_store_round_trip(spark, tmp_path):
     assert chunks.count() == used.distinct().count() < used.count()  # each once, and some are used again
 
 
+def copied(spark, a, b, without=None, **changes):
+    """A copy of store a at b; changes are SQL for a column of a table, as table__column."""
+    for name in ("parts/kind=chunk", "recipes", "manifest", "seal"):
+        df = spark.read.parquet(f"{a}/{name}")
+        for key, sql in changes.items():
+            table, column = key.split("__")
+            if table == name.split("/")[0]:
+                df = df.selectExpr(*(f"{sql} AS {c}" if c == column else c for c in df.columns))
+        if without and without[0] == name:
+            df = df.where(without[1])
+        df.write.parquet(f"{b}/{name}")
+    return read_digests(spark, b, PATH).collect()
+
+
 def test_damage_is_found(spark, tmp_path):
-    write_store(make_docs(spark, rows()), f"{tmp_path}/a", PATH)
-    for name in ("recipes", "manifest"):
-        spark.read.parquet(f"{tmp_path}/a/{name}").write.parquet(f"{tmp_path}/b/{name}")
-    chunks = spark.read.parquet(f"{tmp_path}/a/parts/kind=chunk")
-    least = chunks.selectExpr("min(key) AS k").first().k
-    broken = f"CASE WHEN hex(key) = '{least.hex().upper()}' THEN cast('zz' AS binary) ELSE payload END AS payload"
-    chunks.selectExpr("key", broken).write.parquet(f"{tmp_path}/b/parts/kind=chunk")
-    assert not all(r.verified for r in read_digests(spark, f"{tmp_path}/b", PATH).collect())
+    a = f"{tmp_path}/a"
+    write_store(make_docs(spark, rows()), a, PATH)
+    n = len(rows())
+    assert all(r.verified for r in copied(spark, a, f"{tmp_path}/same"))
+    key = spark.read.parquet(f"{a}/parts/kind=chunk").selectExpr("hex(min(key)) AS k").first().k
+    part = spark.read.parquet(f"{a}/recipes").selectExpr("max(part) AS p").first().p
+    altered = {
+        "payload": {"parts__payload": f"CASE WHEN hex(key) = '{key}' THEN cast('zz' AS binary) ELSE payload END"},
+        "count": {"recipes__n_tokens": "CASE WHEN doc_id = 5 THEN n_tokens + 1 ELSE n_tokens END"},
+        "id": {"recipes__doc_id": "CASE WHEN doc_id = 5 THEN 6 ELSE doc_id END"},
+        "keys": {"recipes__keys": "CASE WHEN doc_id = 7 THEN slice(keys, 1, size(keys) - 1) ELSE keys END"},
+        "start": {"manifest__start": "start + 1"},
+        "seal": {"seal__seal": "reverse(seal)"},
+    }
+    for name, changes in altered.items():
+        found = copied(spark, a, f"{tmp_path}/{name}", **changes)
+        assert len(found) == n and not all(r.verified for r in found), name
+    for name, cut in {"recipe": ("recipes", f"part <> {part}"), "manifest": ("manifest", f"part <> {part}"), "chunk": ("parts/kind=chunk", f"hex(key) <> '{key}'")}.items():
+        found = copied(spark, a, f"{tmp_path}/lost-{name}", without=cut)
+        assert found and not all(r.verified for r in found), name
+        if name != "chunk":
+            assert not any(r.verified for r in found), "an incomplete store proves nothing"
 
 
 def test_empty_table(spark, tmp_path):
