@@ -44,6 +44,16 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes a staged table whose readers have all been written themselves: nothing computes it again."""
+    jvm = df.sparkSession.sparkContext._jvm
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/staged-" not in folder:
+            raise ValueError(f"not a staged table: {folder}")
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clean_text(col: str | Column = "text") -> Column:
     """The text, an empty one for null."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
