@@ -38,6 +38,11 @@ SIGNAL_SCORES = {"high_conviction_underweight": -1.0, "underweight": -0.6, "rela
 REGION_MULTIPLIERS = {"underweight": 0.75, "neutral": 1.00, "overweight": 1.20}
 ACTION_MULTIPLIERS = {"high_conviction_underweight": 0.55, "underweight": 0.75, "relative_underweight": 0.90, "market_weight": 1.00, "relative_overweight": 1.15, "overweight": 1.30, "high_conviction_overweight": 1.45}
 DATE_FORMATS = ("yyyy-MM-dd", "yyyy/MM/dd", "dd.MM.yyyy", "MM/dd/yyyy", "dd/MM/yyyy", "yyyy-MM", "MMM yyyy")
+#: Free forms, tried after those: month first, then day first. Signs between the parts are single spaces by then.
+MONTH_FIRST = ("MMM d yyyy", "MMMM d yyyy", "M d yyyy", "M d yy", "yyyy MMM d", "yyyy M d")
+DAY_FIRST = ("d MMM yyyy", "d MMMM yyyy", "d M yyyy", "d MMM yy", "d M yy")
+#: Statuses that count as solved.
+FEASIBLE = ("optimal", "optimal_inaccurate", "feasible")
 
 
 def col(c: str | Column) -> Column:
@@ -58,10 +63,11 @@ def number_token(c: str | Column) -> Column:
 
 
 def date_token(c: str | Column) -> Column:
-    """The first format that fits; `Dec-86` is in the last century from 69 on."""
+    """The first format that fits, then free forms, month first before day first; `Dec-86` is in the last century from 69 on."""
     x = F.trim(col(c))
     short = F.try_to_timestamp(F.concat_ws("-", F.initcap(F.substring_index(x, "-", 1)), F.concat(F.when(F.substring_index(x, "-", -1).try_cast("int") >= 69, "19").otherwise("20"), F.substring_index(x, "-", -1))), F.lit("MMM-yyyy"))
-    found = [F.try_to_timestamp(x, F.lit(f)) for f in DATE_FORMATS]
+    free = F.initcap(F.trim(F.regexp_replace(x, r"[\s,./\-]+", " ")))
+    found = [F.try_to_timestamp(x, F.lit(f)) for f in DATE_FORMATS] + [F.try_to_timestamp(free, F.lit(f)) for f in (*MONTH_FIRST, *DAY_FIRST)]
     return F.to_date(F.when(x.rlike("^[A-Za-z]{3}-[0-9]{2}$"), short).otherwise(F.coalesce(*found)))
 
 
@@ -106,6 +112,45 @@ def ticker(c: str | Column, suffix: str = "") -> Column:
     return F.concat(F.lower(F.regexp_replace(F.trim(col(c)), r"\.", "-")), F.lit(suffix))
 
 
+def ticker_list(c: str | Column) -> Column:
+    """The parts between commas, trimmed and in capitals; empty ones are left out."""
+    return F.filter(F.transform(F.split(col(c), ","), lambda x: F.upper(F.trim(x))), lambda x: x != "")
+
+
+def case_number(c: str | Column) -> Column:
+    """N of `Case n`; null without one."""
+    return F.regexp_extract(col(c), r"Case\s+([0-9]+)", 1).try_cast("int")
+
+
+def industry_name(c: str | Column) -> Column:
+    """The trimmed name; null for blank ones, `nan` and the rows of market totals."""
+    name = F.trim(col(c))
+    low = F.lower(name)
+    return F.when((name != "") & (low != "nan") & ~low.startswith("total market"), name)
+
+
+def feasible(status: str | Column, statuses: Sequence[str] = FEASIBLE) -> Column:
+    """Whether a solver's status counts as solved; a null doesn't."""
+    return F.coalesce(F.lower(col(status)).isin(*statuses), F.lit(False))
+
+
+def exposure_vector(exposures: str | Column, tickers: Sequence[str]) -> Column:
+    """C17: the map's values in the order of tickers, 0 where it has none; null if it has a key that isn't one of them."""
+    known = F.array(*map(F.lit, tickers))
+    unknown = F.size(F.array_except(F.map_keys(col(exposures)), known)) > 0
+    return F.when(~unknown, F.transform(known, lambda t: F.coalesce(F.try_element_at(col(exposures), t).cast("double"), F.lit(0.0))))
+
+
+def padded_start(start: str | Column, months: int = 2) -> Column:
+    """A start two months earlier, so that the first row kept has one before it."""
+    return F.add_months(F.to_date(F.lit(start) if isinstance(start, str) else start), -months)
+
+
+def sample_of(date: str | Column, split: str) -> Column:
+    """`in` before the split, `out` from it on."""
+    return F.when(col(date) < F.to_date(F.lit(split)), "in").otherwise("out")
+
+
 def ratio(a: str | Column, b: str | Column) -> Column:
     """C11: null where the divisor is 0."""
     return F.when(col(b) != 0, col(a) / col(b))

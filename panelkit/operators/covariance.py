@@ -20,6 +20,31 @@ def pairs(returns: DataFrame, keys: list[str], extra: tuple[str, ...] = ()) -> D
     return one.join(two, [*keys, "date"]).where("i <= j")
 
 
+def blocked(returns: DataFrame, size: int = 256) -> DataFrame:
+    """A19 for many assets: i, j, cov, n as `sample` gives. Assets fall into blocks of about size; each pair of blocks is one
+    task, a product of two matrices of dates x assets, instead of a row for each date and pair of assets."""
+    blocks = max(1, -(-returns.select("asset").distinct().count() // size))
+    own = F.pmod(F.xxhash64("asset"), F.lit(blocks)).cast("int")
+    mean = F.avg("r").over(Window.partitionBy("asset"))
+    rows = returns.where("r is not null").select("asset", "date", (F.col("r") - mean).alias("r"), own.alias("own")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = rows.select("asset", "date", "r", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+
+    def multiply(rows: pd.DataFrame) -> pd.DataFrame:
+        p, q = rows["p"].iat[0], rows["q"].iat[0]
+        wide = rows.pivot(index="date", columns="asset", values="r").sort_index(axis=1)
+        side = rows.drop_duplicates("asset").set_index("asset")["own"].reindex(wide.columns).to_numpy()
+        has, x = wide.notna().to_numpy(float), wide.fillna(0.0).to_numpy()
+        a, b, names = side == p, side == q, wide.columns.to_numpy()
+        n = has[:, a].T @ has[:, b]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            cov = (x[:, a].T @ x[:, b] - (x[:, a].T @ has[:, b]) * (has[:, a].T @ x[:, b]) / n) / (n - 1)
+        i, j = np.nonzero(n > 1 if p != q else np.triu(n > 1))
+        one, two = names[a][i], names[b][j]
+        return pd.DataFrame({"i": np.minimum(one, two), "j": np.maximum(one, two), "cov": cov[i, j], "n": n[i, j].astype("int64")})
+
+    return rows.groupBy("p", "q").applyInPandas(multiply, "i string, j string, cov double, n long")
+
+
 def with_correlation(cov: DataFrame, keys: list[str]) -> DataFrame:
     var = cov.where("i = j")
     out = cov.join(var.select(*keys, "i", F.col("cov").alias("vi")), [*keys, "i"]).join(var.select(*keys, F.col("j"), F.col("cov").alias("vj")), [*keys, "j"])
@@ -58,24 +83,80 @@ def ewma_vol(returns: DataFrame, lam: float, keys: list[str]) -> DataFrame:
     return s.select(*keys, "asset", F.sqrt(F.greatest(var, F.lit(1e-12))).alias("vol"))
 
 
-def shrunk(returns: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B006
-    """The published linear shrinkage to a scaled identity, from the pairs' sums alone."""
-    centre = Window.partitionBy(*keys, "asset")
-    p = pairs(returns.withColumn("r", F.col("r") - F.avg("r").over(centre)), keys)
-    s = p.groupBy(*keys, "i", "j").agg(F.avg(F.col("x") * F.col("y")).alias("s"), F.avg((F.col("x") * F.col("y")) ** 2).alias("s4"))
+def shrunk(returns: DataFrame, keys: list[str] = [], standardise: bool = False) -> DataFrame:  # noqa: B006
+    """The published linear shrinkage to a scaled identity, from the pairs' sums alone.
+
+    standardise: returns are divided by their deviations first, and the shrunk matrix, as a correlation, is scaled back.
+    """
+    own = Window.partitionBy(*keys, "asset")
+    centred = F.col("r") - F.avg("r").over(own)
+    p = pairs(returns.withColumn("r", centred / F.stddev_samp("r").over(own) if standardise else centred), keys)
+    s = p.groupBy(*keys, "i", "j").agg(F.avg(F.col("x") * F.col("y")).alias("s"), F.avg((F.col("x") * F.col("y")) ** 2).alias("s4"), F.count("*").alias("n"))
+    out = shrink(s, keys)
+    if not standardise:
+        return out
+    vol = returns.groupBy(*keys, "asset").agg(F.stddev_samp("r").alias("vol"))
+    return mixed(with_correlation(out, keys), vol, keys).join(out.select(*keys, "i", "j", "shrinkage"), [*keys, "i", "j"])
+
+
+def shrink(s: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, i, j, cov, shrinkage from the centred second moments s, the mean squared products s4 and the number n of rows."""
     w = Window.partitionBy(*keys)
     both = F.when(F.col("i") == F.col("j"), 1.0).otherwise(2.0)  # a pair stands for (i, j) and (j, i)
     same = F.when(F.col("i") == F.col("j"), 1.0).otherwise(0.0)
-    n_assets, mean = F.sum(same).over(w), F.sum(same * F.col("s")).over(w) / F.sum(same).over(w)
-    s = s.withColumns({"p": n_assets, "mu": mean})
+    s = s.withColumns({"p": F.sum(same).over(w), "mu": F.sum(same * F.col("s")).over(w) / F.sum(same).over(w)})
     delta = F.sum(both * (F.col("s") - same * F.col("mu")) ** 2).over(w) / F.col("p")
     # the sum over rows of (x x)^2 / n^2: one n is in the average
-    s = s.join(returns.groupBy(*keys).agg(F.countDistinct("date").alias("n")), keys) if keys else s.crossJoin(F.broadcast(returns.agg(F.countDistinct("date").alias("n"))))  # one row
-    beta = F.sum(both * (F.col("s4") - F.col("s") ** 2)).over(w) / (F.col("p") * F.col("n"))
-    s = s.withColumns({"delta": delta, "beta": beta}).withColumn("shrinkage", F.when(F.col("delta") > 0, F.least(F.col("beta"), F.col("delta")) / F.col("delta")).otherwise(0.0))
+    beta = F.sum(both * (F.col("s4") - F.col("s") ** 2)).over(w) / (F.col("p") * F.max("n").over(w))
+    s = s.withColumns({"delta": delta, "beta": beta}).withColumn("shrinkage", F.when(F.col("delta") > 0, F.least("beta", "delta") / F.col("delta")).otherwise(0.0))
     return s.select(*keys, "i", "j", ((1 - F.col("shrinkage")) * F.col("s") + F.col("shrinkage") * F.col("mu") * same).alias("cov"), "shrinkage")
 
 
+def _in_windows(sums: DataFrame, months: int) -> DataFrame:
+    """Sums by month, once for each of the window ends (month) that they are in; age: months before the end. Ends without a
+    full window are left out."""
+    out = sums.withColumn("age", F.explode(F.sequence(F.lit(0), F.lit(months - 1)))).withColumn("month", F.col("month") + F.col("age"))
+    full = sums.select("month").distinct().withColumn("age", F.explode(F.sequence(F.lit(0), F.lit(months - 1)))).withColumn("end", F.col("month") + F.col("age"))
+    ends = full.groupBy("end").agg(F.count("*").alias("k"), F.min("age").alias("newest")).where((F.col("k") == months) & (F.col("newest") == 0))
+    return out.join(F.broadcast(ends.select(F.col("end").alias("month"))), "month", "left_semi")  # a row for each month
+
+
+def shrunk_windows(returns: DataFrame, months: int) -> DataFrame:
+    """A20 over trailing months: returns (month, date, asset, r) give month, i, j, cov for every month that ends a full window.
+
+    Power sums of each pair are taken by month and added up; centred moments follow from them.
+    """
+    p = pairs(returns, ["month"])
+    powers = {f"s{a}{b}": F.sum(F.col("x") ** a * F.col("y") ** b) for a, b in ((1, 0), (0, 1), (2, 0), (0, 2), (1, 1), (2, 1), (1, 2), (2, 2))}
+    by_month = p.groupBy("month", "i", "j").agg(F.count("*").alias("n"), *(v.alias(k) for k, v in powers.items()))
+    s = _in_windows(by_month, months).groupBy("month", "i", "j").agg(*((F.sum(c) if c == "n" else F.sum(c) / F.sum("n")).alias(c) for c in ("n", *powers)))
+    x, y = F.col("s10"), F.col("s01")
+    fourth = F.col("s22") - 2 * y * F.col("s21") + y * y * F.col("s20") - 2 * x * F.col("s12") + 4 * x * y * F.col("s11") + x * x * F.col("s02") - 3 * x * x * y * y
+    return shrink(s.select("month", "i", "j", "n", (F.col("s11") - x * y).alias("s"), fourth.alias("s4")), ["month"])
+
+
+def ewma_windows(returns: DataFrame, lam: float, months: int) -> DataFrame:
+    """A22 over trailing months: month, asset, vol. A month's sums have weights that fall from its own end on; in a window they
+    are multiplied by what falls in the months after, and the window's first row gets the rest of the weights before it."""
+    w = Window.partitionBy("asset", "month")
+    back = F.count("*").over(w) - F.row_number().over(w.orderBy("date"))
+    rows = returns.withColumn("q", F.pow(F.lit(lam), back))
+    sums = rows.groupBy("month", "asset").agg(
+        F.count("*").alias("n"), F.sum("q").alias("s"), F.sum(F.col("q") ** 2).alias("ss"), F.sum(F.col("q") * F.col("r")).alias("sx"), F.sum(F.col("q") * F.col("r") ** 2).alias("sxx"), F.min_by("r", "date").alias("first"),
+    )
+    win = _in_windows(sums, months).withColumn("after", F.sum("n").over(Window.partitionBy("asset", "month").orderBy("age")) - F.col("n"))
+    f, rest = F.pow(F.lit(lam), F.col("after")), 1 - lam
+    oldest = F.col("age") == months - 1
+    q1 = F.pow(F.lit(lam), F.col("after") + F.col("n") - 1)  # the first row's, before it is cut by rest
+    extra = lambda v: F.when(oldest, v).otherwise(0.0)
+    out = win.groupBy("month", "asset").agg(
+        F.sum(rest * f * F.col("s") + extra(q1 * lam)).alias("s"), F.sum(rest**2 * f * f * F.col("ss") + extra(q1 * q1 * (1 - rest**2))).alias("ss"),
+        F.sum(rest * f * F.col("sx") + extra(q1 * lam * F.col("first"))).alias("sx"), F.sum(rest * f * F.col("sxx") + extra(q1 * lam * F.col("first") ** 2)).alias("sxx"),
+    )
+    var = (F.col("sxx") / F.col("s") - (F.col("sx") / F.col("s")) ** 2) / (1 - F.col("ss") / F.col("s") ** 2)
+    return out.select("month", "asset", F.sqrt(F.greatest(var, F.lit(1e-12))).alias("vol"))
+
+
 def mixed(corr: DataFrame, vol: DataFrame, keys: list[str], scale: float = 1.0) -> DataFrame:
     """The correlation of one frequency with the volatilities of another."""
     vi, vj = (vol.select(*keys, F.col("asset").alias(k), F.col("vol").alias(f"v{k}")) for k in "ij")
@@ -97,6 +178,13 @@ def distance(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return joined.groupBy(*keys).agg(out) if keys else joined.agg(out)
 
 
+def all_distances(cov: DataFrame, name: str) -> DataFrame:
+    """Frobenius distance of every pair of named matrices, a few for each panel."""
+    one, two = (cov.select(F.col(name).alias(k), "i", "j", F.col("cov").alias(f"cov_{k}")) for k in ("one", "two"))
+    both = F.when(F.col("i") == F.col("j"), 1.0).otherwise(2.0)
+    return one.join(two, ["i", "j"]).where("one < two").groupBy("one", "two").agg(F.sqrt(F.sum(both * (F.col("cov_one") - F.col("cov_two")) ** 2)).alias("distance"))
+
+
 def matrix(rows: pd.DataFrame, value: str) -> tuple[list, np.ndarray]:
     names = sorted(set(rows.i) | set(rows.j))
     at = {a: k for k, a in enumerate(names)}

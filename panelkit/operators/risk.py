@@ -30,11 +30,17 @@ def performance(df: DataFrame, r: str, keys: list[str], periods: int = 12, ddof:
     )
 
 
-def tail_summary(df: DataFrame, r: str, keys: list[str], alpha: float = 0.05) -> DataFrame:
-    """Total return, quantile VaR, mean at or below it, bias-corrected skew and kurtosis."""
+def tail_summary(df: DataFrame, r: str, keys: list[str], alpha: float = 0.05, risk_free: float = 0.0, periods: int = 52, order: str = "date") -> DataFrame:
+    """Total and yearly return, Sharpe over a risk-free rate, drawdown, quantile VaR, mean at or below it,
+    bias-corrected skew and kurtosis."""
     var = df.groupBy(*keys).agg(F.percentile(r, alpha).alias("var"))
-    joined = df.join(var, keys)
-    return joined.groupBy(*keys).agg(F.count(r).alias("n"), compound(r).alias("total_return"), F.first("var").alias("var"), F.avg(F.when(F.col(r) <= F.col("var"), F.col(r))).alias("cvar"), sample_skew(r).alias("skew"), sample_kurtosis(r).alias("kurtosis"))
+    joined = with_curve(df.where(F.col(r).isNotNull()), r, keys, order).join(var, keys)
+    out = joined.groupBy(*keys).agg(
+        F.count(r).alias("n"), compound(r).alias("total_return"), F.stddev_samp(r).alias("sd"), F.min("drawdown").alias("max_drawdown"), F.first("var").alias("var"),
+        F.avg(F.when(F.col(r) <= F.col("var"), F.col(r))).alias("cvar"), sample_skew(r).alias("skew"), sample_kurtosis(r).alias("kurtosis"),
+    )
+    yearly, vol = F.pow(1 + F.col("total_return"), periods / F.col("n")) - 1, F.col("sd") * periods**0.5
+    return out.withColumns({"annual_return": yearly, "sharpe": F.when(vol > 0, (yearly - risk_free) / vol)}).drop("sd")
 
 
 def weighted_var_cvar(losses: DataFrame, keys: list[str], alpha: float, loss: str = "loss", q: str = "q", tie: str = "scen_id") -> DataFrame:
@@ -52,13 +58,15 @@ def tail_count_cvar(df: DataFrame, r: str, keys: list[str], alpha: float, tie: s
     return df.withColumns({"n": n, "rank": rank}).where(F.col("rank") <= F.ceil(F.round((1 - alpha) * F.col("n"), 9))).groupBy(*keys).agg((-F.avg(r)).alias("cvar"), F.count("*").alias("n_tail"))
 
 
-def characteristics(df: DataFrame, r: str, keys: list[str], alpha: float = 0.95, tau: float = 0.0) -> DataFrame:
-    """Mean, deviation, mean absolute deviation, VaR and CVaR (strictly beyond it), lower partial moment, semivariance."""
+def characteristics(df: DataFrame, r: str, keys: list[str], alpha: float = 0.95, tau: float = 0.0, benchmark: str | None = None) -> DataFrame:
+    """Mean, deviation, mean absolute deviation, VaR and CVaR (strictly beyond it), lower partial moment, semivariance
+    and semideviation; with the column of a benchmark's returns the tracking error, the root mean square of the difference."""
     first = df.groupBy(*keys).agg(F.avg(r).alias("mean"), F.percentile(r, round(1 - alpha, 12)).alias("quantile"))
     x, below = F.col(r) - F.col("mean"), F.greatest(F.lit(tau) - F.col(r), F.lit(0.0))
     sums = df.join(first, keys).groupBy(*keys).agg(
         F.first("mean").alias("mean"), F.stddev_pop(r).alias("sd"), F.avg(F.abs(x)).alias("mad"), (-F.first("quantile")).alias("var"),
-        (-F.avg(F.when(F.col(r) < F.col("quantile"), F.col(r)))).alias("cvar"), F.avg(below).alias("lpm"), F.avg(F.pow(F.least(x, F.lit(0.0)), F.lit(2.0))).alias("semivariance"),
+        (-F.avg(F.when(F.col(r) < F.col("quantile"), F.col(r)))).alias("cvar"), F.avg(below).alias("lpm"), (F.sum(F.pow(F.least(x, F.lit(0.0)), F.lit(2.0))) / F.nullif(F.count(r) - 1, F.lit(0))).alias("semivariance"),
+        *([F.sqrt(F.avg(F.pow(F.col(r) - F.col(benchmark), F.lit(2.0)))).alias("tracking_error")] if benchmark else []),
     )
     return sums.withColumn("semideviation", F.sqrt("semivariance"))
 
@@ -73,6 +81,47 @@ def portfolio_losses(scenarios: DataFrame, candidates: DataFrame) -> DataFrame:
     return scenarios.join(candidates).select("cand_id", "scen_id", "q", (-dot("r", "w")).alias("loss"))
 
 
+def portfolio_metrics(scenarios: DataFrame, candidates: DataFrame, benchmark: tuple[float, ...], alpha: float) -> DataFrame:
+    """cand_id, expected, CVaR of full and of demeaned returns, the same of what is active against the benchmark,
+    distances to it, concentration, turnover from it.
+
+    CVaR moves with a constant added to all losses: demeaned figures are the full ones plus the expected return.
+    """
+    bench = F.array(*map(F.lit, benchmark))
+    x = scenarios.join(candidates).select("cand_id", "scen_id", "q", (-dot("r", "w")).alias("full"), (dot("r", bench) - dot("r", "w")).alias("active"))  # J10
+    sums = x.groupBy("cand_id").agg((-F.sum(F.col("q") * F.col("full"))).alias("expected"), (-F.sum(F.col("q") * F.col("active"))).alias("ahead"))
+    losses = x.select("cand_id", "scen_id", "q", F.explode(F.create_map(F.lit("full"), "full", F.lit("active"), "active")).alias("kind", "loss"))
+    cvar = weighted_var_cvar(losses, ["cand_id", "kind"], alpha).groupBy("cand_id").pivot("kind", ["full", "active"]).agg(F.first("cvar"))
+    gap, add = F.zip_with("w", bench, lambda a, b: a - b), lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, v: s + v)
+    l1, hhi = add(F.transform(gap, F.abs)), dot("w", "w")
+    own = candidates.select("cand_id", l1.alias("l1"), F.sqrt(add(F.transform(gap, lambda v: v * v))).alias("l2"), hhi.alias("hhi"), F.array_max("w").alias("max_weight"), (1 / hhi).alias("effective_n"), l1.alias("turnover"))
+    out = cvar.join(sums, "cand_id").join(own, "cand_id")
+    return out.select(
+        "cand_id", "expected", F.col("full").alias("cvar_full"), (F.col("full") + F.col("expected")).alias("cvar_demeaned"), F.col("active").alias("te_full"),
+        (F.col("active") + F.col("ahead")).alias("te_demeaned"), "l1", "l2", "hhi", "max_weight", "effective_n", "turnover",
+    )
+
+
+def sweep_limits(points: DataFrame, at: str, risk: str, requested: float, buffer: float, factor: float) -> DataFrame:
+    """Lowest, highest and mean risk of a sweep and where they are; the effective absolute limit, which is never under
+    the highest and a buffer; and the limits that a factor of each risk gives."""
+    top = F.max(risk) + buffer
+    return points.agg(
+        F.min(risk).alias("lowest"), F.min_by(at, risk).alias("at_lowest"), F.max(risk).alias("highest"), F.max_by(at, risk).alias("at_highest"), F.avg(risk).alias("mean"),
+        F.greatest(top, F.lit(requested)).alias("effective_limit"), (F.lit(requested) < top).alias("adjusted"), (F.min(risk) * factor).alias("factor_lowest"), (F.max(risk) * factor).alias("factor_highest"),
+    )
+
+
+def mixed_risk(measures: DataFrame, first: str, others: list[str], steps: int) -> DataFrame:
+    """For each other measure and each mix of it with the first, both scaled to 0 .. 1, the candidate of least risk."""
+    ends = measures.agg(*(f(c).alias(f"{n}_{c}") for c in (first, *others) for n, f in (("lo", F.min), ("hi", F.max))))
+    part = lambda c: (F.col(c) - F.col(f"lo_{c}")) / (F.col(f"hi_{c}") - F.col(f"lo_{c}"))
+    scaled = measures.crossJoin(F.broadcast(ends)).select("cand_id", part(first).alias("a"), F.explode(F.create_map(*(x for c in others for x in (F.lit(c), part(c))))).alias("measure", "b"))  # one row
+    mixes = scaled.withColumn("mix", F.explode(F.array(*(F.lit(i / (steps - 1)) for i in range(steps)))))
+    risk = F.col("mix") * F.col("a") + (1 - F.col("mix")) * F.col("b")
+    return mixes.withColumn("risk", risk).groupBy("measure", "mix").agg(F.min_by("cand_id", F.struct(F.round("risk", 9), "cand_id")).alias("cand_id"), F.min("risk").alias("risk"), F.count("*").alias("n"))
+
+
 def diversification(weights: DataFrame, keys: list[str], least: float = 0.01) -> DataFrame:
     """Entropy and concentration of weights in long form."""
     w = F.col("w")
@@ -115,12 +164,28 @@ def terminal_returns(paths: DataFrame, keys: list[str], horizons: tuple[int, ...
     return out.withColumns({f"yearly_{h}": F.pow(1 + F.col(f"ret_{h}"), 12.0 / h) - 1 for h in horizons})
 
 
-def check_scenarios(paths: DataFrame, p: DataFrame) -> DataFrame:
-    """How many rows break each rule: probabilities, their sum, finite returns, one length for all paths."""
+def check_scenarios(paths: DataFrame, p: DataFrame, horizons: tuple[int, ...] | None = None, month: str = "month") -> DataFrame:
+    """How many rows break each rule: probabilities, their sum, finite returns, one length for all paths; of the given
+    horizons those that some path doesn't have, and of those that paths have the ones that aren't given."""
     shape = paths.groupBy("scen_id", "asset").count().agg(F.countDistinct("count").alias("n_lengths"))
     bad = paths.agg(F.count_if(F.col("log_ret").isNull() | F.isnan("log_ret")).alias("not_finite"))
     prob = p.agg(F.count_if(F.col("p") < 0).alias("negative_p"), (F.abs(F.sum("p") - 1) > 1e-8).cast("long").alias("bad_sum"))
-    return shape.crossJoin(bad).crossJoin(prob)  # three tables of one row
+    out = shape.crossJoin(bad).crossJoin(prob)  # three tables of one row
+    if horizons is None:
+        return out
+    n_paths = paths.select("scen_id", "asset").distinct().count()
+    have = paths.groupBy(F.col(month).cast("long").alias("h")).agg(F.countDistinct("scen_id", "asset").alias("n"))
+    given = F.col("h").isin(*horizons)
+    keys = have.agg((F.lit(len(horizons)) - F.count_if(given & (F.col("n") == n_paths))).cast("long").alias("horizons_missing"), F.count_if(~given).alias("horizons_unknown"))
+    return out.crossJoin(keys)  # one row
+
+
+def feasible_summary(df: DataFrame, keys: list[str], feasible: Column, means: list[str], top: str) -> DataFrame:
+    """A1: of each group the rows, the feasible and the infeasible ones, and of the feasible ones the means and the largest
+    value. One aggregate keeps groups without feasible rows, which a filter and a join would have to bring back."""
+    of = lambda c: F.when(feasible, F.col(c))
+    out = df.groupBy(*keys).agg(F.count("*").alias("n"), F.count(of(top)).alias("feasible"), *(F.avg(of(c)).alias(f"avg_{c}") for c in means), F.max(of(top)).alias(f"max_{top}"))
+    return out.withColumn("infeasible", F.col("n") - F.col("feasible"))
 
 
 def ols(df: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame:

@@ -5,6 +5,9 @@ One window specification for each asset serves all features of a table, so a tab
 
 from __future__ import annotations
 
+import functools
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
@@ -98,9 +101,25 @@ def to_panel(long: DataFrame, keys: list[str], value: str = "r", key: str = "ass
 
 
 def null_counts(panel: DataFrame, columns: list[str]) -> DataFrame:
+    """One row, how many values each column lacks."""
     return panel.select(*(F.count_if(F.col(c).isNull()).alias(c) for c in columns))
 
 
+def require_full(panel: DataFrame, columns: list[str], fail: bool = True) -> DataFrame:
+    """The panel; columns that lack values are an error, or a warning and dates that are left out."""
+    lacking = {c: n for c, n in null_counts(panel, columns).first().asDict().items() if n}
+    if lacking and fail:
+        raise ValueError(f"columns lack values: {lacking}")
+    if lacking:
+        warnings.warn(f"columns lack values: {lacking}", stacklevel=2)
+    return panel.dropna(subset=columns)
+
+
+def common_dates(*series: DataFrame) -> DataFrame:
+    """The dates that all series have."""
+    return functools.reduce(DataFrame.intersect, (s.select("date") for s in series))
+
+
 def expanding_regime(value: str, w: WindowSpec, least: int = 36) -> Column:
     """K1: high / middle / low against the quartiles of earlier rows; null before enough of them. High is tested first."""
     past = before(w)
@@ -149,10 +168,19 @@ def with_curve(df: DataFrame, r: str, keys: list[str], order: str = "date") -> D
     return df.withColumn("drawdown", F.col("wealth") / F.max("wealth").over(so_far(w)) - 1)
 
 
+def calendar_window(days: int, *keys: str) -> WindowSpec:
+    """So many days, the row's own the last of them."""
+    return Window.partitionBy(*keys).orderBy(F.unix_date("date")).rangeBetween(1 - days, 0)
+
+
 def rolling_correlation(x: str, y: str, days: int, *keys: str) -> Column:
     """K9: over a calendar window that ends with the row's day."""
-    w = Window.partitionBy(*keys).orderBy(F.unix_date("date")).rangeBetween(1 - days, 0)
-    return F.corr(x, y).over(w)
+    return F.corr(x, y).over(calendar_window(days, *keys))
+
+
+def stacked(parts: dict[str, DataFrame], name: str) -> DataFrame:
+    """The tables one below the other, with the name of each."""
+    return functools.reduce(DataFrame.unionByName, (df.withColumn(name, F.lit(k)) for k, df in parts.items()))
 
 
 def expanding_fit(df: DataFrame, x: str, y: str, keys: list[str], order: str, least: int = 20) -> DataFrame:
@@ -163,6 +191,13 @@ def expanding_fit(df: DataFrame, x: str, y: str, keys: list[str], order: str, le
     return out.where(F.col("rn") >= least).withColumn("forecast", F.col("alpha") + F.col("beta") * F.col(x))
 
 
+def fit_summary(fits: DataFrame, y: str, keys: list[str], order: str) -> DataFrame:
+    """K2: of forecasts and outcomes their correlation, the mean and mean absolute error, and the last alpha, beta and forecast."""
+    error = F.col(y) - F.col("forecast")
+    last = [F.max_by(c, order).alias(f"last_{c}") for c in ("alpha", "beta", "forecast")]
+    return fits.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("forecast", y).alias("corr"), F.avg(error).alias("mean_error"), F.avg(F.abs(error)).alias("mad"), *last)
+
+
 def turnover(weights: DataFrame, keys: list[str], cost: float = 0.001) -> DataFrame:
     """Half the absolute change of weights between dates; null on the first, where the cost is 0."""
     last = F.lag("w").over(Window.partitionBy(*keys, "asset").orderBy("date"))

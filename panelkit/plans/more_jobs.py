@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelkit.functions import columns as C
+from panelkit.operators import joins as J
 from panelkit.operators import risk as R
 from panelkit.operators import series as S
 from panelkit.plans.registry import query, read
@@ -65,11 +66,11 @@ def a30_portfolio_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.portfolio_losses(scenarios(spark, sf_dir), c).groupBy("cand_id").agg((-F.sum(F.col("q") * F.col("loss"))).alias("expected")).join(m, "cand_id")
 
 
-@query(
-    f"""WITH s AS ({SQL_scenarios}), c AS (SELECT cand_id, w FROM ({SQL_lattice}) WHERE list_max(w) <= 0.5), t AS (SELECT year AS g, w FROM (SELECT label::INT AS year, [0.25, 0.25, 0.25, 0.25]::DOUBLE[] AS w FROM embeddings GROUP BY 1)),
-    x AS (SELECT e.label::INT AS g, cand_id, var_samp(list_dot_product(r, w)) AS v FROM embeddings e JOIN s ON vec_id = scen_id, c GROUP BY ALL) SELECT g, arg_min(cand_id, (round(v, 12), cand_id)) AS cand_id, min(v) * 1e4 AS risk, count(*)::BIGINT AS n FROM x GROUP BY 1""",
-    "risk",
-)
+SQL_least_risk = f"""WITH s AS ({SQL_scenarios}), c AS (SELECT cand_id, w FROM ({SQL_lattice}) WHERE list_max(w) <= 0.5),
+x AS (SELECT e.label::INT AS g, cand_id, var_samp(list_dot_product(r, w)) AS v FROM embeddings e JOIN s ON vec_id = scen_id, c GROUP BY ALL) SELECT g, arg_min(cand_id, (round(v, 12), cand_id)) AS cand_id, min(v) * 1e4 AS risk, count(*)::BIGINT AS n FROM x GROUP BY 1"""
+
+
+@query(SQL_least_risk, "risk")
 def b7_l5_minimum_risk_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = scenarios(spark, sf_dir).join(read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("scen_id"), F.col("label").cast("int").alias("g")), "scen_id")
     x = s.join(lattice(spark).where("array_max(w) <= 0.5")).select("g", "cand_id", R.dot("r", "w").alias("p"))  # J10
@@ -133,18 +134,20 @@ def j5_l4_c15_keyed_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH c AS (SELECT cand_id % 7 AS b, cand_id, w FROM ({SQL_lattice})), x AS (SELECT DISTINCT list_transform(w, lambda v: round(v / 2, 1)) AS w FROM c), g AS (SELECT b, min(cand_id) AS cand_id FROM c GROUP BY 1), y AS (SELECT g.b, w FROM g JOIN c USING (cand_id))
-    SELECT a.b AS one, z.b AS two, list_sum(list_transform(range(1, 5), lambda i: abs(a.w[i] - z.w[i]))) AS l1, (SELECT count(*) FROM x)::BIGINT AS n_distinct FROM y a JOIN y z ON a.b < z.b""",
-    "l1",
+    f"""WITH y AS (SELECT g, cand_id, w FROM ({SQL_least_risk}) JOIN ({SQL_lattice}) USING (cand_id)), n AS (SELECT count(DISTINCT list_transform(w, lambda x: round(x, 12))) AS n FROM y),
+    p AS (SELECT a.g AS one, z.g AS two, a.w AS u, z.w AS v FROM y a JOIN y z ON a.g < z.g) SELECT one, two, list_sum(list_transform(range(1, 5), lambda i: abs(u[i] - v[i]))) AS l1, sqrt(list_sum(list_transform(range(1, 5), lambda i: (u[i] - v[i]) ** 2))) AS l2,
+    list_sum(list_transform(range(1, 5), lambda i: list_sum(list_transform(range(i + 1, 5), lambda j: ((u[i] - u[j] > 1e-12 AND v[i] - v[j] < -1e-12) OR (u[i] - u[j] < -1e-12 AND v[i] - v[j] > 1e-12))::INT))))::INT AS flips, n::BIGINT AS n_distinct FROM p, n""",
+    "l1 l2",
 )
 def j11_u5_u6_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weights chosen for each setting, their pairwise distances, and how many distinct rows rounding leaves."""
-    c = lattice(spark).withColumn("b", F.col("cand_id") % 7)
-    distinct = c.select(F.transform("w", lambda v: F.round(v / 2, 1)).alias("w")).dropDuplicates(["w"]).agg(F.count("*").alias("n_distinct"))
-    y = c.groupBy("b").agg(F.min_by("w", "cand_id").alias("w"))
-    l1 = F.aggregate(F.zip_with("a.w", "z.w", lambda p, q: F.abs(p - q)), F.lit(0.0), lambda s, x: s + x)
-    pairs = y.alias("a").join(y.alias("z"), F.col("a.b") < F.col("z.b")).select(F.col("a.b").alias("one"), F.col("z.b").alias("two"), l1.alias("l1"))
-    return pairs.crossJoin(F.broadcast(distinct))  # one row
+    """The weights of least risk of each group: their pairwise distances, how many pairs of assets they order in opposite
+    ways, and how many distinct ones there are after rounding to twelve digits."""
+    y = b7_l5_minimum_risk_by_group(spark, sf_dir).select("g", "cand_id").join(lattice(spark), "cand_id").select("g", "w").cache()
+    distinct = y.select(F.transform("w", lambda x: F.round(x, 12)).alias("w")).dropDuplicates(["w"]).agg(F.count("*").alias("n_distinct"))
+    pairs = y.select(F.col("g").alias("one"), F.col("w").alias("u")).join(y.select(F.col("g").alias("two"), F.col("w").alias("v")), F.col("one") < F.col("two"))  # a row for each group
+    add = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
+    l1, l2 = add(F.zip_with("u", "v", lambda p, q: F.abs(p - q))), F.sqrt(add(F.zip_with("u", "v", lambda p, q: (p - q) * (p - q))))
+    return pairs.crossJoin(F.broadcast(distinct)).select("one", "two", l1.alias("l1"), l2.alias("l2"), J.order_flips("u", "v", 4).alias("flips"), "n_distinct")  # one row
 
 
 @query(

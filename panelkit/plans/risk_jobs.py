@@ -12,7 +12,7 @@ from panelkit.operators import joins as J
 from panelkit.operators import risk as R
 from panelkit.operators import series as S
 from panelkit.plans.registry import query, read
-from panelkit.plans.tables import SQL_daily, SQL_lattice, SQL_monthly, SQL_returns, SQL_scenarios, daily, lattice, monthly, returns, scenarios
+from panelkit.plans.tables import SQL_daily, SQL_lattice, SQL_monthly, SQL_returns, SQL_scenarios, SQL_weekly_returns, daily, lattice, monthly, returns, scenarios
 
 RM, RD = SQL_returns("l_suppkey", "month"), SQL_returns()
 QW = "PARTITION BY asset ORDER BY date"
@@ -29,22 +29,24 @@ def a6_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH v AS (SELECT asset, quantile_cont(r, 0.05) AS var FROM ({RM}) GROUP BY 1) SELECT asset, count(*)::BIGINT AS n, exp(sum(ln(1 + r))) - 1 AS total_return, any_value(var) AS var, avg(r) FILTER (r <= var) AS cvar, skewness(r) AS skew, kurtosis(r) AS kurtosis FROM ({RM}) JOIN v USING (asset) GROUP BY 1""",
-    "total_return var cvar skew kurtosis",
+    f"""WITH v AS (SELECT asset, quantile_cont(r, 0.05) AS var FROM ({RM}) GROUP BY 1) SELECT asset, count(*)::BIGINT AS n, exp(sum(ln(1 + r))) - 1 AS total_return, any_value(var) AS var, avg(r) FILTER (r <= var) AS cvar, skewness(r) AS skew, kurtosis(r) AS kurtosis, min(dd) AS max_drawdown, exp(sum(ln(1 + r)) * 12 / count(*)) - 1 AS annual_return, (exp(sum(ln(1 + r)) * 12 / count(*)) - 1.02) / (stddev_samp(r) * sqrt(12)) AS sharpe
+    FROM (SELECT *, wealth / max(wealth) OVER ({QW}) - 1 AS dd FROM (SELECT *, exp(sum(ln(1 + r)) OVER ({QW})) AS wealth FROM ({RM}))) JOIN v USING (asset) GROUP BY 1""",
+    "total_return var cvar skew kurtosis max_drawdown annual_return sharpe",
 )
 def a8_a12_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.tail_summary(returns(spark, sf_dir, "l_suppkey", "month"), "r", ["asset"])
+    return R.tail_summary(returns(spark, sf_dir, "l_suppkey", "month"), "r", ["asset"], risk_free=0.02, periods=12)
 
 
 @query(
-    f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY r, date) AS k, count(*) OVER (PARTITION BY asset) AS n, avg(r) OVER (PARTITION BY asset) AS m FROM ({RM})), q AS (SELECT asset, quantile_cont(r, 0.05) AS q FROM r GROUP BY 1)
-    SELECT asset, avg(r) AS mean, stddev_pop(r) AS sd, avg(abs(r - m)) AS mad, -any_value(q) AS var, -avg(r) FILTER (r < q) AS cvar, avg(greatest(-r, 0)) AS lpm, avg(least(r - m, 0) ** 2) AS semivariance, -avg(r) FILTER (k <= ceil(round(0.05 * n, 9))) AS tail_mean FROM r JOIN q USING (asset) GROUP BY 1""",
-    "mean sd mad var cvar lpm semivariance tail_mean",
+    f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY r, date) AS k, count(*) OVER (PARTITION BY asset) AS n, avg(r) OVER (PARTITION BY asset) AS m, avg(r) OVER (PARTITION BY date) AS b FROM ({RM})), q AS (SELECT asset, quantile_cont(r, 0.05) AS q FROM r GROUP BY 1)
+    SELECT asset, avg(r) AS mean, stddev_pop(r) AS sd, avg(abs(r - m)) AS mad, -any_value(q) AS var, -avg(r) FILTER (r < q) AS cvar, avg(greatest(-r, 0)) AS lpm, sum(least(r - m, 0) ** 2) / (count(*) - 1) AS semivariance, sqrt(sum(least(r - m, 0) ** 2) / (count(*) - 1)) AS semideviation, sqrt(avg((r - b) ** 2)) AS tracking_error, -avg(r) FILTER (k <= ceil(round(0.05 * n, 9))) AS tail_mean FROM r JOIN q USING (asset) GROUP BY 1""",
+    "mean sd mad var cvar lpm semivariance semideviation tracking_error tail_mean",
 )
 def a13_a14_characteristics(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = returns(spark, sf_dir, "l_suppkey", "month")
     tail = R.tail_count_cvar(r, "r", ["asset"], 0.95, "date").select("asset", F.col("cvar").alias("tail_mean"))
-    return R.characteristics(r, "r", ["asset"]).drop("semideviation").join(tail, "asset")
+    r = r.withColumn("every", F.avg("r").over(Window.partitionBy("date")))
+    return R.characteristics(r, "r", ["asset"], benchmark="every").join(tail, "asset")
 
 
 @query(
@@ -111,13 +113,14 @@ def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH e AS (SELECT user_id AS u, event_type AS t, count(*) AS c FROM events GROUP BY ALL), p AS (SELECT user_id AS u, count(*)::DOUBLE / sum(count(*)) OVER () AS p FROM events GROUP BY 1)
-    SELECT (SELECT count(DISTINCT c) FROM e)::BIGINT AS n_lengths, 0::BIGINT AS not_finite, (SELECT count(*) FROM p WHERE p < 0)::BIGINT AS negative_p, (SELECT (abs(sum(p) - 1) > 1e-8)::BIGINT FROM p) AS bad_sum"""
+    """WITH e AS (SELECT user_id AS u, event_type AS t, count(*) AS c FROM events GROUP BY ALL), p AS (SELECT user_id AS u, count(*)::DOUBLE / sum(count(*)) OVER () AS p FROM events GROUP BY 1), h AS (SELECT m, count(*) AS n FROM (SELECT row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS m FROM events) GROUP BY 1)
+    SELECT (SELECT count(DISTINCT c) FROM e)::BIGINT AS n_lengths, 0::BIGINT AS not_finite, (SELECT count(*) FROM p WHERE p < 0)::BIGINT AS negative_p, (SELECT (abs(sum(p) - 1) > 1e-8)::BIGINT FROM p) AS bad_sum,
+    (SELECT 12 - count(*) FILTER (m <= 12 AND n = (SELECT count(*) FROM e)) FROM h)::BIGINT AS horizons_missing, (SELECT count(*) FILTER (m > 12) FROM h)::BIGINT AS horizons_unknown"""
 )
 def a34_scenario_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read(spark, sf_dir, "events")
     p = events.groupBy(F.col("user_id").alias("scen_id")).agg(F.count("*").alias("n")).join(F.broadcast(events.agg(F.count("*").alias("total")))).select("scen_id", (F.col("n") / F.col("total")).alias("p"))  # one row
-    return R.check_scenarios(_paths(spark, sf_dir), p)
+    return R.check_scenarios(_paths(spark, sf_dir), p, tuple(range(1, 13)))
 
 
 @query(
@@ -130,7 +133,7 @@ def a29_diversification(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH r AS (SELECT * FROM ({RM}) WHERE r < 5), e AS (SELECT min(r) AS lo, max(r) AS hi FROM r), b AS (SELECT asset, greatest(0, least(19, floor((r - lo) / ((hi - lo) / 20)))) AS bin, count(*) AS n FROM r, e GROUP BY 1, 2),
+    f"""WITH r AS ({RM}), e AS (SELECT min(r) AS lo, max(r) AS hi FROM r), b AS (SELECT asset, greatest(0, least(19, floor((r - lo) / ((hi - lo) / 20)))) AS bin, count(*) AS n FROM r, e GROUP BY 1, 2),
     d AS (SELECT asset, CASE WHEN r > 0 THEN -1 ELSE greatest(0, least(18, floor((r - least(lo, -1e-12)) / (-least(lo, -1e-12) / 19)))) END AS bin, count(*) AS n FROM r, e GROUP BY 1, 2),
     x AS (SELECT asset, sum(-p * ln(p)) AS entropy FROM (SELECT asset, n / sum(n) OVER (PARTITION BY asset) AS p FROM b) GROUP BY 1), y AS (SELECT asset, sum(-p * ln(p)) AS downside FROM (SELECT asset, n / sum(n) OVER (PARTITION BY asset) AS p FROM d) GROUP BY 1)
     SELECT asset, entropy, entropy / ln(20) AS normalised, downside FROM x JOIN y USING (asset)""",
@@ -149,7 +152,7 @@ def a27_a28_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     "cov corr",
 )
 def a19_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.with_correlation(V.sample(returns(spark, sf_dir, "l_suppkey", "month")), [])
+    return V.with_correlation(V.blocked(returns(spark, sf_dir, "l_suppkey", "month")), []).select("i", "j", "cov", "corr")
 
 
 @query(
@@ -196,21 +199,24 @@ def a23_a26_mixed_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def a24_a25_denoised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = returns(spark, sf_dir, "l_suppkey", "month")
-    corr = V.with_correlation(V.sample(r), []).withColumn("panel", F.lit("suppliers"))
-    clean = V.denoise(corr.select("panel", "i", "j", "corr"), "panel", 82)
-    both = corr.select("panel", F.lit("sample").alias("kind"), "i", "j", F.col("corr").alias("cov")).unionByName(clean.select("panel", F.lit("denoised").alias("kind"), "i", "j", F.col("corr").alias("cov")))
-    return V.condition_number(both.drop("panel"), "kind")
+    """Suppliers in panels by nation, each small enough for one solve; the random-matrix edge from the number of dates."""
+    r = returns(spark, sf_dir, "l_suppkey", "month").join(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("asset"), F.col("s_nationkey").alias("panel")), "asset")
+    n = r.select("date").distinct().count()
+    corr = V.with_correlation(V.sample(r, ["panel"]), ["panel"]).select("panel", "i", "j", "corr")
+    clean = V.denoise(corr, "panel", n)
+    kinds = S.stacked({"sample": corr, "denoised": clean}, "kind")
+    named = kinds.select(F.concat_ws(":", "kind", F.col("panel").cast("string")).alias("matrix"), "i", "j", F.col("corr").alias("cov"))
+    return V.condition_number(named, "matrix")
 
 
 @query(
-    f"""SELECT k AS freq, asset, count(r)::BIGINT AS n, min(date) AS first_date, max(date) AS last_date, avg(r) AS mean, stddev_samp(r) AS vol, stddev_samp(r) * sqrt(f) AS yearly_vol
-    FROM (SELECT 'day' AS k, 252 AS f, * FROM ({RD}) UNION ALL SELECT 'month', 12, * FROM ({SQL_returns('l_returnflag', 'month')})) GROUP BY k, f, asset""",
-    "mean vol yearly_vol",
+    f"""SELECT k AS freq, asset, count(r)::BIGINT AS n, min(date) AS first_date, max(date) AS last_date, avg(r) AS mean, stddev_samp(r) AS vol, avg(r) * f AS yearly_mean, stddev_samp(r) * sqrt(f) AS yearly_vol
+    FROM (SELECT 'day' AS k, 252 AS f, * FROM ({RD}) UNION ALL SELECT 'month', 12, * FROM ({SQL_returns('l_returnflag', 'month')}) UNION ALL SELECT 'week', 52, * FROM ({SQL_weekly_returns})) GROUP BY k, f, asset""",
+    "mean vol yearly_mean yearly_vol",
 )
 def a37_a38_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [returns(spark, sf_dir, "l_returnflag", unit).withColumns({"freq": F.lit(unit), "f": F.lit(n)}) for unit, n in (("day", 252.0), ("month", 12.0))]
-    return parts[0].unionByName(parts[1]).groupBy("freq", "f", "asset").agg(F.count("r").alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.avg("r").alias("mean"), F.stddev_samp("r").alias("vol")).withColumn("yearly_vol", F.col("vol") * F.sqrt("f")).drop("f")
+    parts = [returns(spark, sf_dir, "l_returnflag", unit).withColumns({"freq": F.lit(unit), "f": F.lit(n)}) for unit, n in (("day", 252.0), ("month", 12.0), ("week", 52.0))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("freq", "f", "asset").agg(F.count("r").alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.avg("r").alias("mean"), F.stddev_samp("r").alias("vol")).withColumns({"yearly_mean": F.col("mean") * F.col("f"), "yearly_vol": F.col("vol") * F.sqrt("f")}).drop("f")
 
 
 @query(
@@ -241,12 +247,16 @@ def a39_current_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH c AS (SELECT cand_id, list_dot_product(w, [0.01, 0.02, 0.03, 0.05]::DOUBLE[]) AS expected, list_dot_product(w, [0.0001, 0.0004, 0.0009, 0.0036]::DOUBLE[]) + cand_id * 1e-9 AS risk FROM ({SQL_lattice})), t AS (SELECT 0.0101 + 0.0013 * i AS target FROM range(30) x(i))
-    SELECT round(target, 6)::DOUBLE AS target, arg_min(cand_id, risk) AS cand_id, min(risk) AS risk FROM t JOIN c ON expected >= target - 1e-12 GROUP BY 1""",
-    "risk",
+    f"""WITH c AS ({SQL_lattice}), s AS ({SQL_scenarios}), m AS (SELECT cand_id, sum(q * list_dot_product(r, w)) AS expected, sqrt(sum(q * list_dot_product(r, w) ** 2) - sum(q * list_dot_product(r, w)) ** 2) + cand_id * 1e-9 AS risk FROM c, s GROUP BY cand_id),
+    t AS (SELECT lo + (hi - lo) * i / 29 AS target FROM (SELECT min(expected) AS lo, max(expected) AS hi FROM m), range(30) x(i)) SELECT target, arg_min(cand_id, risk) AS cand_id, min(risk) AS risk FROM t JOIN m ON expected >= target - 1e-12 GROUP BY 1""",
+    "target risk",
 )
 def j13_l5_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    arr = lambda *x: F.array(*map(F.lit, x))
-    c = lattice(spark).select("cand_id", R.dot("w", arr(0.01, 0.02, 0.03, 0.05)).alias("expected"), (R.dot("w", arr(0.0001, 0.0004, 0.0009, 0.0036)) + F.col("cand_id") * 1e-9).alias("risk"))
-    t = spark.range(30).select(F.round(0.0101 + 0.0013 * F.col("id"), 6).alias("target"))
-    return J.reaching(c, t)
+    """Thirty returns between the candidates' lowest and highest, and the candidate of least deviation that reaches each."""
+    p = scenarios(spark, sf_dir).join(lattice(spark)).select("cand_id", "q", R.dot("r", "w").alias("p"))  # J10: candidates are parameters
+    mean = F.sum(F.col("q") * F.col("p"))
+    m = p.groupBy("cand_id").agg(mean.alias("expected"), F.sqrt(F.sum(F.col("q") * F.col("p") ** 2) - mean * mean).alias("deviation"))
+    m = m.select("cand_id", "expected", (F.col("deviation") + F.col("cand_id") * 1e-9).alias("risk")).cache()
+    ends = m.agg(F.min("expected").alias("lo"), F.max("expected").alias("hi"))
+    t = spark.range(30).join(F.broadcast(ends)).select((F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("id") / 29).alias("target"))  # one row
+    return J.reaching(m, t)

@@ -31,36 +31,43 @@ def c4_c6_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey, round(o_totalprice, 2) AS price, round(o_totalprice, 2) AS coerced, CAST(o_orderdate AS DATE) AS day FROM orders", "price coerced")
 def c1_c3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prices and days written in four ways each, and read back."""
-    k = F.col("o_orderkey") % 4
+    """Prices and days written in several ways each, free forms among them, and read back."""
+    k = F.col("o_orderkey") % 6
     plain = F.format_string("%.2f", "o_totalprice")
     token = F.when(k == 0, F.format_number("o_totalprice", 2)).when(k == 1, F.translate(plain, ".", ",")).when(k == 2, F.concat(F.lit("USD "), plain)).otherwise(F.concat(F.lit(" "), plain))
-    day = F.when(k == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(k == 1, F.date_format("o_orderdate", "dd.MM.yyyy")).when(k == 2, F.date_format("o_orderdate", "MM/dd/yyyy")).otherwise(F.date_format("o_orderdate", "yyyy/MM/dd"))
+    day = F.when(k == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(k == 1, F.date_format("o_orderdate", "dd.MM.yyyy")).when(k == 2, F.date_format("o_orderdate", "MM/dd/yyyy"))
+    day = day.when(k == 3, F.date_format("o_orderdate", "MMM d, yyyy")).when(k == 4, F.lower(F.date_format("o_orderdate", "d-MMMM-yyyy"))).otherwise(F.date_format("o_orderdate", "yyyy/MM/dd"))
     return read(spark, sf_dir, "orders").select("o_orderkey", C.number_token(token).alias("price"), C.to_number(plain).alias("coerced"), C.date_token(day).alias("day"))
 
 
 @query(
     """SELECT o_orderkey, make_date(year(o_orderdate), month(o_orderdate), 1) AS month, CASE WHEN o_totalprice <> 0 THEN 1 / o_totalprice * 1e5 END AS yield_, CASE o_orderpriority WHEN '1-URGENT' THEN 1.0 WHEN '2-HIGH' THEN 0.6 WHEN '5-LOW' THEN -1.0 ELSE 0.0 END::DOUBLE AS score,
-    abs(o_totalprice - 200000) <= 1e-8 + 1e-5 * 200000 AS is_near, exp(ln(1 + o_totalprice / 1e6) * 12 / 36) - 1 AS yearly, lower(replace(o_orderpriority, '.', '-')) || '.us' AS ticker FROM orders""",
+    abs(o_totalprice - 200000) <= 1e-8 + 1e-5 * 200000 AS is_near, exp(ln(1 + o_totalprice / 1e6) * 12 / 36) - 1 AS yearly, lower(replace(o_orderpriority, '.', '-')) || '.us' AS ticker, array_to_string(list_filter(list_transform(string_split(lower(o_orderpriority) || ' , ,' || o_orderstatus || ',x.y', ','), lambda s: upper(trim(s))), lambda s: s <> ''), '|') AS tickers, CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey % 7 END::INT AS case_no FROM orders""",
     "yield_ score yearly",
 )
 def c8_c18_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = F.year("o_orderdate") + F.month("o_orderdate") / 100
     scores = {"1-URGENT": 1.0, "2-HIGH": 0.6, "5-LOW": -1.0}
+    listed = F.concat(F.lower("o_orderpriority"), F.lit(" , ,"), "o_orderstatus", F.lit(",x.y"))
+    case = F.when(F.col("o_orderkey") % 5 > 0, F.concat(F.lit("run of Case "), (F.col("o_orderkey") % 7).cast("string"), F.lit(" done"))).otherwise("no case")
     return read(spark, sf_dir, "orders").select(
         "o_orderkey", C.decimal_month(code).alias("month"), (C.ratio(F.lit(1.0), "o_totalprice") * 1e5).alias("yield_"), C.label_value("o_orderpriority", scores, 0.0).alias("score"),
         C.near("o_totalprice", 200000.0).alias("is_near"), C.annualise(F.col("o_totalprice") / 1e6, 36).alias("yearly"), C.ticker("o_orderpriority", ".us").alias("ticker"),
+        F.array_join(C.ticker_list(listed), "|").alias("tickers"), C.case_number(case).alias("case_no"),
     )
 
 
 @query(
-    """WITH e AS (SELECT user_id, event_type, sum(value) AS v FROM events GROUP BY ALL)
-    SELECT user_id, string_agg(event_type || ':' || printf('%+.2f', v), '; ' ORDER BY event_type) AS exposures, count(*)::BIGINT AS n FROM e GROUP BY 1"""
+    """WITH e AS (SELECT user_id, event_type, sum(value) AS v FROM events WHERE event_type <> 'view' OR user_id % 3 = 0 GROUP BY ALL), t AS (SELECT unnest(['signup', 'click', 'error', 'purchase', 'other']) AS t, unnest(range(5)) AS k), u AS (SELECT DISTINCT user_id FROM e)
+    SELECT user_id, string_agg(event_type || ':' || printf('%+.2f', v), '; ' ORDER BY event_type) AS exposures, CASE WHEN count(*) FILTER (event_type = 'view') = 0 THEN any_value(w.vector) END AS vector, count(*)::BIGINT AS n
+    FROM e LEFT JOIN (SELECT user_id, string_agg(printf('%.2f', v), ' ' ORDER BY k) AS vector FROM (SELECT u.user_id, t.k, coalesce(sum(e.v), 0) AS v FROM u CROSS JOIN t LEFT JOIN e ON e.user_id = u.user_id AND e.event_type = t.t GROUP BY ALL) GROUP BY 1) w USING (user_id) GROUP BY 1"""
 )
 def c16_c17_exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sums = read(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.sum("value").alias("v"))
+    """C17: a vector in the order of known tickers; who has another one (view) gets none."""
+    sums = read(spark, sf_dir, "events").where("event_type <> 'view' or user_id % 3 = 0").groupBy("user_id", "event_type").agg(F.sum("value").alias("v"))
     maps = sums.groupBy("user_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("event_type", "v")))).alias("m"))  # a few types for each user
-    return maps.select("user_id", C.exposures_text("m").alias("exposures"), F.size("m").cast("long").alias("n"))
+    vector = C.exposure_vector("m", ("signup", "click", "error", "purchase", "other"))
+    return maps.select("user_id", C.exposures_text("m").alias("exposures"), F.array_join(F.transform(vector, lambda x: F.format_string("%.2f", x)), " ").alias("vector"), F.size("m").cast("long").alias("n"))
 
 
 @query(f"SELECT * FROM ({D3}) WHERE date IN (SELECT date FROM ({D3}) GROUP BY 1 HAVING count(DISTINCT asset) = (SELECT count(DISTINCT asset) FROM ({D3})))", "close dividends")
@@ -110,15 +117,15 @@ def t5_fill_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH r AS (SELECT asset, date, ln(1 + r) AS r FROM ({SQL_returns()})), fx AS (SELECT date, r AS fx FROM r WHERE asset = 'N')
-    SELECT asset, date, r - fx AS additive, ln(1 + (exp(r) - 1) / (1 + (exp(fx) - 1))) AS exact, r + (fx * 100 - r * 50) / 12 / 100 AS hedged, ln(1 + abs(r) * 100 / 1200) AS cash FROM r JOIN fx USING (date) WHERE asset <> 'N' AND exp(r) > 0.2 AND (exp(r) - 1) / exp(fx) > -0.9""",
+    SELECT asset, date, r - fx AS additive, CASE WHEN 1 + (exp(r) - 1) / exp(fx) > 0 THEN ln(1 + (exp(r) - 1) / exp(fx)) END AS exact, r + (fx * 100 - r * 50) / 12 / 100 AS hedged, ln(1 + abs(r) * 100 / 1200) AS cash FROM r JOIN fx USING (date) WHERE asset <> 'N'""",
     "additive exact hedged cash",
 )
 def t10_t12_currency(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = returns(spark, sf_dir).withColumn("r", F.log1p("r"))
     fx = r.where("asset = 'N'").select("date", F.col("r").alias("fx"))
     own = r.where("asset <> 'N'")
-    both = S.convert(own, fx, ["date"]).withColumnRenamed("r_converted", "additive")
-    both = both.withColumn("exact", F.log1p(F.expm1("r") / (1 + F.expm1("fx"))))  # null where the quotient is -1 or less
+    both = S.convert(own, fx, ["date"]).withColumnRenamed("r_converted", "additive").drop("fx")
+    both = S.convert(both, fx, ["date"], "exact").withColumnRenamed("r_converted", "exact")  # null where the quotient is -1 or less
     both = both.withColumns({"home": F.col("fx") * 100, "foreign": F.col("r") * 50, "rate": F.abs("r") * 100})
     return both.select("asset", "date", "additive", "exact", S.hedged("r", "home", "foreign").alias("hedged"), S.cash_return("rate").alias("cash"))
 
@@ -263,10 +270,8 @@ def j7_next_month(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def j8_trailing_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = monthly(spark, sf_dir).withColumn("pos", F.row_number().over(S.by("asset")).cast("long"))
-    cal = px.where("pos % 6 = 0 and pos >= 12").select("pos", F.col("date").alias("rebalance"), F.col("asset").alias("owner"))
-    left = cal.select(F.col("pos").alias("at"), "rebalance", "owner").withColumn("block", F.explode(F.array_distinct(F.array(F.floor((F.col("at") - 11) / 12), F.floor(F.col("at") / 12)))))
-    right = px.withColumn("block", F.floor(F.col("pos") / 12))
-    hit = right.join(left, (right.asset == left.owner) & (right.block == left.block)).where("pos <= at and pos > at - 12")
+    cal = px.where("pos % 6 = 0 and pos >= 12").select("asset", "pos", F.col("date").alias("rebalance"))
+    hit = J.trailing_rows(cal, px, 12, keys=["asset"])
     return hit.groupBy("asset", "rebalance").agg(F.count("*").alias("n"), F.avg("close").alias("mean"), F.min("date").alias("since"))
 
 

@@ -284,12 +284,12 @@ def b14_sector_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---- B11: signal splits ----
-@query(
-    f"""WITH f AS (SELECT asset, date, close / 1000 AS x1, dividends AS x2, lead(close, 6) OVER ({QW}) / close - 1 AS y FROM ({SQL_monthly()})), u AS (SELECT asset, date, y, 'close' AS signal, x1 AS x FROM f UNION ALL SELECT asset, date, y, 'div', x2 FROM f),
+SQL_signal_study = f"""WITH f AS (SELECT asset, date, close / 1000 AS x1, dividends AS x2, lead(close, 6) OVER ({QW}) / close - 1 AS y FROM ({SQL_monthly()})), u AS (SELECT asset, date, y, 'close' AS signal, x1 AS x FROM f UNION ALL SELECT asset, date, y, 'div', x2 FROM f),
     b AS (SELECT *, ntile(4) OVER (PARTITION BY signal, asset ORDER BY x, date) AS n FROM u WHERE y IS NOT NULL), s AS (SELECT 'all' AS sample, * FROM b UNION ALL SELECT CASE WHEN n IN (1, 4) THEN 'high_low' ELSE 'middle' END, * FROM b)
-    SELECT signal, sample, asset, count(*)::BIGINT AS n, corr(x, y) AS corr, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept FROM s GROUP BY ALL""",
-    "corr slope intercept",
-)
+    SELECT signal, sample, asset, count(*)::BIGINT AS n, corr(x, y) AS corr, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept FROM s GROUP BY ALL"""
+
+
+@query(SQL_signal_study, "corr slope intercept")
 def b11_j12_signal_study(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All signals, split methods and samples in one pass: signals are unpivoted, samples exploded."""
     f = monthly(spark, sf_dir).withColumn("y", S.forward("close", S.by("asset"), 6)).where("y is not null")

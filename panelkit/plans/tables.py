@@ -22,9 +22,14 @@ def monthly(spark: SparkSession, sf_dir: str, key: str = "l_suppkey") -> DataFra
     return bars(daily(spark, sf_dir, key), "month", ("close",), ("dividends",)).withColumnRenamed("period", "date").drop("last_date")
 
 
+def weekly(spark: SparkSession, sf_dir: str, key: str = "l_returnflag") -> DataFrame:
+    """asset, date (the week's Friday), close."""
+    return bars(daily(spark, sf_dir, key), "friday_week").withColumnRenamed("period", "date").drop("last_date")
+
+
 def returns(spark: SparkSession, sf_dir: str, key: str = "l_returnflag", unit: str = "day") -> DataFrame:
     """asset, date, r of consecutive rows."""
-    px = daily(spark, sf_dir, key) if unit == "day" else monthly(spark, sf_dir, key)
+    px = daily(spark, sf_dir, key) if unit == "day" else weekly(spark, sf_dir, key) if unit == "week" else monthly(spark, sf_dir, key)
     return px.withColumn("r", change("close", by("asset"))).where("r is not null").select("asset", "date", "r")
 
 
@@ -56,6 +61,7 @@ def SQL_returns(key: str = "l_returnflag", unit: str = "day") -> str:  # noqa: N
     return f"SELECT * FROM (SELECT asset, date, close / lag(close) OVER (PARTITION BY asset ORDER BY date) - 1 AS r FROM ({px})) WHERE r IS NOT NULL"
 
 
+SQL_weekly_returns = f"SELECT * FROM (SELECT asset, date, close / lag(close) OVER (PARTITION BY asset ORDER BY date) - 1 AS r FROM (SELECT asset, date + CAST((5 - isodow(date) + 7) % 7 AS INTEGER) AS date, arg_max(close, date) AS close FROM ({SQL_daily()}) GROUP BY 1, 2)) WHERE r IS NOT NULL"
 SQL_scenarios = "SELECT vec_id AS scen_id, (label + 1.0)::DOUBLE / sum(label + 1.0) OVER () AS q, list_transform(embedding[1:4], lambda x: x::DOUBLE / 10) AS r FROM embeddings"
 SQL_lattice = "SELECT a * 121 + b * 11 + c AS cand_id, [a / 10, b / 10, c / 10, (10 - a - b - c) / 10]::DOUBLE[] AS w FROM range(11) t1(a), range(11) t2(b), range(11) t3(c) WHERE a + b + c <= 10"
 

@@ -72,12 +72,16 @@ def json_rows(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*clean), {"ignoreNullFields": "false"}).alias("value"))
 
 
-def manifest(results: DataFrame, group: str, status: str, feasible: str = "optimal") -> DataFrame:
-    """Rows, feasible rows and counts by status for each group, as one JSON object."""
+def manifest(results: DataFrame, group: str, status: str, feasible: str = "optimal", volatility: DataFrame | None = None) -> DataFrame:
+    """Rows, feasible rows and counts by status for each group, as one JSON object; with a table (asset, vol) its volatilities."""
     by_status = results.groupBy(group, status).count()
     rows = by_status.groupBy(group).agg(
         F.sum("count").alias("rows"), F.sum(F.when(F.col(status) == feasible, F.col("count")).otherwise(0)).alias("feasible"),
         F.array_sort(F.collect_list(F.struct(F.col(status).alias("status"), F.col("count").alias("n")))).alias("by_status"),
     )
-    # one row for each group
-    return rows.select(F.to_json(F.struct(F.sum("rows").over(Window.partitionBy(F.lit(1))).alias("total"), group, "rows", "feasible", "by_status")).alias("manifest"), group)
+    rows = rows.crossJoin(F.broadcast(rows.agg(F.sum("rows").alias("total"))))  # one row
+    fields = ["total", group, "rows", "feasible", "by_status"]
+    if volatility is not None:
+        rows = rows.crossJoin(F.broadcast(volatility.agg(F.array_sort(F.collect_list(F.struct("asset", "vol"))).alias("volatility"))))  # one row
+        fields.append("volatility")
+    return rows.select(F.to_json(F.struct(*fields)).alias("manifest"), group)
