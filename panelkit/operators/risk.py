@@ -15,18 +15,20 @@ def compound(r: str) -> Column:
     return F.expm1(F.sum(F.log1p(r)))
 
 
-def performance(df: DataFrame, r: str, keys: list[str], periods: int = 12, ddof: int = 1, order: str = "date") -> DataFrame:
-    """A6 (ddof 1), A7 (ddof 0): yearly return and volatility, Sharpe, downside deviation, drawdown, Calmar, hit rate."""
+def performance(df: DataFrame, r: str, keys: list[str], periods: int = 12, ddof: int = 1, order: str = "date", names: str | None = None) -> DataFrame:
+    """A6 (ddof 1), A7 (ddof 0): yearly return and volatility, Sharpe, downside deviation, drawdown, Calmar, hit rate; with
+    the column of the number of names held, its average."""
     sd = F.stddev_samp if ddof else F.stddev_pop
     low = F.when(F.col(r) < 0, F.col(r))
     sums = with_curve(df.where(F.col(r).isNotNull()), r, keys, order).groupBy(*keys).agg(
         F.count(r).alias("n"), F.exp(F.sum(F.log1p(r))).alias("growth"), sd(r).alias("sd"), F.coalesce(F.when(F.count(low) > 1, sd(low)), F.lit(0.0)).alias("sd_low"),
         F.min("drawdown").alias("max_drawdown"), F.avg((F.col(r) > 0).cast("double")).alias("hit_rate"),
+        *([F.avg(names).alias("avg_names")] if names else []),
     )
     yearly, vol = F.pow("growth", periods / F.col("n")) - 1, F.col("sd") * periods**0.5
     return sums.select(
         *keys, "n", yearly.alias("annual_return"), vol.alias("annual_vol"), F.when(vol > 0, yearly / vol).alias("sharpe"), (F.col("sd_low") * periods**0.5).alias("downside"),
-        "max_drawdown", F.when(F.col("max_drawdown") < 0, yearly / -F.col("max_drawdown")).alias("calmar"), "hit_rate",
+        "max_drawdown", F.when(F.col("max_drawdown") < 0, yearly / -F.col("max_drawdown")).alias("calmar"), "hit_rate", *(["avg_names"] if names else []),
     )
 
 

@@ -134,6 +134,17 @@ def z_score(value: str, group: WindowSpec) -> Column:
     return F.when(sd == 0, 0.0).otherwise((F.col(value) - F.avg(value).over(group)) / sd)
 
 
+def scored(df: DataFrame, formulas: dict[str, tuple[tuple[str, float], ...]], *keys: str) -> DataFrame:
+    """K6: for each formula of (column, coefficient) raw_NAME, the first column's z-score with its sign alone, and adj_NAME,
+    the sum of all. Every z-score is taken over the same groups, so one shuffle serves all."""
+    w = Window.partitionBy(*keys)
+    z = {c: z_score(c, w) for f in formulas.values() for c, _ in f}
+    df = df.withColumns({f"z_{c}": x for c, x in z.items()})
+    total = lambda f: sum((k * F.col(f"z_{c}") for c, k in f[1:]), f[0][1] * F.col(f"z_{f[0][0]}"))
+    sign = lambda k: 1.0 if k > 0 else -1.0
+    return df.withColumns({n: x for k, f in formulas.items() for n, x in ((f"raw_{k}", sign(f[0][1]) * F.col(f"z_{f[0][0]}")), (f"adj_{k}", total(f)))}).drop(*(f"z_{c}" for c in z))
+
+
 def percentile_rank(value: str, *keys: str) -> Column:
     """K7: share of the rows at or below, ties at their mean rank."""
     ties = F.count(value).over(Window.partitionBy(*keys, value))

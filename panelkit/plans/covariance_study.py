@@ -69,7 +69,7 @@ def study(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LIST = ", ".join(f"'{a}'" for a in ASSETS)
 SQL_setups = f"""WITH px AS (SELECT *, year(date) * 12 + month(date) AS month FROM ({SQL_daily()}) WHERE date IN (SELECT date FROM ({SQL_daily()}) GROUP BY 1 HAVING count(*) = 3)), day AS (SELECT * FROM (SELECT month, date, asset, close / lag(close) OVER (PARTITION BY asset ORDER BY date) - 1 AS r FROM px) WHERE r IS NOT NULL),
 ends AS (SELECT month, asset, max(date) AS date, arg_max(close, date) AS close FROM px GROUP BY ALL), mon AS (SELECT * FROM (SELECT month, date, asset, close / lag(close) OVER (PARTITION BY asset ORDER BY date) - 1 AS r FROM ends) WHERE r IS NOT NULL),
-src AS (SELECT 'A' AS setup, * FROM mon UNION ALL SELECT 'B', * FROM day), reb AS (SELECT setup, month AS ym FROM src s GROUP BY ALL HAVING (SELECT count(DISTINCT month) FROM src z WHERE z.setup = s.setup AND z.month BETWEEN s.month - 11 AND s.month) = 12),
+src AS (SELECT 'A' AS setup, * FROM mon UNION ALL SELECT 'B', * FROM day), ms AS (SELECT DISTINCT setup, month FROM src), reb AS (SELECT s.setup, s.month AS ym FROM ms s JOIN ms z ON z.setup = s.setup AND z.month BETWEEN s.month - 11 AND s.month GROUP BY ALL HAVING count(*) = 12),
 win AS (SELECT setup, ym, asset, date, r, r - avg(r) OVER (PARTITION BY setup, ym, asset) AS x FROM src JOIN reb USING (setup) WHERE month BETWEEN ym - 11 AND ym), pr AS (SELECT a.setup, a.ym, a.asset AS i, b.asset AS j, avg(a.x * b.x) AS s, avg((a.x * b.x) ** 2) AS s4, count(*) AS n FROM win a JOIN win b USING (setup, ym, date) GROUP BY ALL),
 mu AS (SELECT setup, ym, avg(s) FILTER (i = j) AS mu FROM pr GROUP BY ALL), sh AS (SELECT setup, ym, sum((s - (i = j)::INT * mu) ** 2) / 3 AS delta, sum(s4 - s * s) / (3 * any_value(n)) AS beta, any_value(mu) AS mu FROM pr JOIN mu USING (setup, ym) GROUP BY ALL),
 lw AS (SELECT setup, ym, i, j, (1 - least(beta, delta) / delta) * s + least(beta, delta) / delta * mu * (i = j)::INT AS cov FROM pr JOIN sh USING (setup, ym)), ew AS (SELECT ym, asset, r, pow({LAM}, count(*) OVER (PARTITION BY ym, asset) - row_number() OVER o) * CASE WHEN row_number() OVER o = 1 THEN 1 ELSE 1 - {LAM} END AS w FROM win WHERE setup = 'B' WINDOW o AS (PARTITION BY ym, asset ORDER BY date)),
@@ -79,8 +79,7 @@ cov AS (SELECT 'A' AS setup, ym, i, j, cov FROM lw WHERE setup = 'A' UNION ALL S
 SQL_study = f"""{SQL_setups}, c AS (SELECT i * 11 + j AS cand, [i / 10.0, j / 10.0, (10 - i - j) / 10.0]::DOUBLE[] AS w FROM range(11) t(i), range(11) u(j) WHERE i + j <= 10 AND greatest(i, j, 10 - i - j) <= 6),
 pv AS (SELECT setup, ym, cand, sum(cov * w[list_position([{_LIST}], i)] * w[list_position([{_LIST}], j)]) AS pv FROM cov, c GROUP BY ALL), be AS (SELECT setup, ym, arg_min(cand, (round(pv, 9), cand)) AS cand, arg_min(pv, (round(pv, 9), cand)) AS pv FROM pv GROUP BY ALL),
 mv AS (SELECT month - 1 AS ym, date, max(r) FILTER (asset = 'A') AS a, max(r) FILTER (asset = 'N') AS n, max(r) FILTER (asset = 'R') AS x FROM day GROUP BY ALL), po AS (SELECT setup, ym, cand, w, pv, w[1] * a + w[2] * n + w[3] * x AS p FROM be JOIN c USING (cand) JOIN mv USING (ym)),
-st AS (SELECT setup, ym AS month, cand, w, pv, sum(p * p) AS rv, exp(sum(ln(1 + p))) - 1 AS r FROM po GROUP BY ALL), tu AS (SELECT *, CASE WHEN lag(w) OVER o IS NOT NULL THEN list_sum(list_transform(range(1, 4), lambda k: abs(w[k] - (lag(w) OVER o)[k]))) / 2 END AS turnover FROM st WINDOW o AS (PARTITION BY setup ORDER BY month))"""
-SQL_study = SQL_study.replace("tu AS (SELECT *, CASE WHEN lag(w) OVER o IS NOT NULL THEN list_sum(list_transform(range(1, 4), lambda k: abs(w[k] - (lag(w) OVER o)[k]))) / 2 END AS turnover FROM st WINDOW o AS (PARTITION BY setup ORDER BY month))", "la AS (SELECT *, lag(w) OVER (PARTITION BY setup ORDER BY month) AS v FROM st), tu AS (SELECT * EXCLUDE (v), CASE WHEN v IS NOT NULL THEN (abs(w[1] - v[1]) + abs(w[2] - v[2]) + abs(w[3] - v[3])) / 2 END AS turnover FROM la)")
+st AS (SELECT setup, ym AS month, cand, w, pv, sum(p * p) AS rv, exp(sum(ln(1 + p))) - 1 AS r FROM po GROUP BY ALL), la AS (SELECT *, lag(w) OVER (PARTITION BY setup ORDER BY month) AS v FROM st), tu AS (SELECT * EXCLUDE (v), CASE WHEN v IS NOT NULL THEN (abs(w[1] - v[1]) + abs(w[2] - v[2]) + abs(w[3] - v[3])) / 2 END AS turnover FROM la)"""
 
 
 @query(f"{SQL_study} SELECT setup, month::INT AS month, cand::BIGINT AS cand, pv, rv, abs(ln(greatest(rv, 1e-12) / greatest(pv, 1e-12))) AS ale, r, turnover, r - {COST} * coalesce(turnover, 0) AS net FROM tu", "pv rv ale r turnover net")
@@ -118,7 +117,7 @@ def b4_a41_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""{SQL_setups}, fx AS (SELECT setup, ym, sum(cov * CASE i WHEN 'A' THEN 0.6 WHEN 'N' THEN 0.4 ELSE 0 END * CASE j WHEN 'A' THEN 0.6 WHEN 'N' THEN 0.4 ELSE 0 END) AS pv FROM cov GROUP BY ALL),
     rv AS (SELECT ym, sum(p * p) AS rv FROM (SELECT month - 1 AS ym, date, sum(CASE asset WHEN 'A' THEN 0.6 WHEN 'N' THEN 0.4 ELSE 0 END * r) AS p FROM day GROUP BY ALL) GROUP BY 1)
-    SELECT setup, at::INT AS month, pv, rv, abs(ln(greatest(rv, 1e-12) / greatest(pv, 1e-12))) AS ale FROM fx JOIN rv USING (ym)""",
+    SELECT setup, ym::INT AS month, pv, rv, abs(ln(greatest(rv, 1e-12) / greatest(pv, 1e-12))) AS ale FROM fx JOIN rv USING (ym)""",
     "pv rv ale",
 )
 def b5_estimators_of_fixed_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
