@@ -29,8 +29,8 @@ FORMULAS = {
 SPECS = (Q.Spec("pe", "pe", ("growth", "payout", "beta")), Q.Spec("pbv", "pbv", ("roe",)), Q.Spec("ps", "ps", ("margin", "fgrowth")), Q.Spec("ev", "ev", ("roic", "opm"), lower_is_cheaper=False))
 _LINE = {
     "pe": "avg(l_extendedprice / l_quantity)", "growth": "avg(l_discount)", "payout": "avg(l_tax)", "beta": "stddev_pop(l_quantity) / avg(l_quantity)", "pbv": "avg(l_extendedprice) / 1000", "roe": "avg(l_discount * l_quantity)",
-    "roic": "avg(l_tax * l_quantity)", "coe": "stddev_pop(l_discount)", "margin": "avg(l_extendedprice * (1 - l_discount)) / avg(l_extendedprice)", "fgrowth": "avg(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END)",
-    "ev": "max(l_extendedprice) / avg(l_quantity) / 100", "opm": "avg(CASE WHEN l_linestatus = 'O' THEN 1.0 ELSE 0.0 END)", "capex": "avg(l_linenumber)", "coc": "avg(l_tax * l_discount)",
+    "roic": "avg(l_tax * l_quantity)", "coe": "stddev_pop(l_discount)", "margin": "avg(l_extendedprice * (1 - l_discount)) / avg(l_extendedprice)", "fgrowth": "avg(CASE WHEN l_returnflag = 'R' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END)",
+    "ev": "max(l_extendedprice) / avg(l_quantity) / 100", "opm": "avg(CASE WHEN l_linestatus = 'O' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END)", "capex": "avg(l_linenumber)", "coc": "avg(l_tax * l_discount)",
 }
 SQL_frame = f"""WITH l AS (SELECT p_brand || ' ' || p_type AS name, {', '.join(f'{x} AS {c}' for c, x in _LINE.items())} FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1),
 p AS (SELECT p_brand || ' ' || p_type AS name, avg(p_retailprice) / avg(p_size) AS ps, avg(p_size) AS capex FROM part GROUP BY 1) SELECT name, substr(name, 1, 7) AS region, {', '.join('coalesce(l.capex, p.capex) AS capex' if c == 'capex' else c for c in _LINE)}, ps FROM p FULL JOIN l USING (name)"""

@@ -248,3 +248,44 @@ def test_mixed_measures_and_limits(spark):
     assert out == {0.0: (3, 3), 0.5: (2, 3), 1.0: (1, 3)}
     (r,) = R.sweep_limits(spark.createDataFrame([(1.0, 0.02), (2.0, 0.05)], "at double, c double"), "at", "c", 0.03, 0.01, 0.5).collect()
     assert (r.lowest, r.at_lowest, r.highest, r.at_highest, r.adjusted) == (0.02, 1.0, 0.05, 2.0, True) and math.isclose(r.effective_limit, 0.06)
+
+
+def test_summary_with_excess(spark):
+    by_date = jobs.QUERIES["b2_score_strategy"](spark, SF).toPandas().sort_values("date")
+    found = jobs.QUERIES["b2_summary"](spark, SF).toPandas().set_index("portfolio")
+    yearly = {}
+    for p in ("raw", "enhanced", "benchmark"):
+        r = by_date[p].to_numpy() / 20
+        yearly[p] = np.prod(1 + r) ** (12 / len(r)) - 1
+        wealth = np.cumprod(1 + r)
+        assert math.isclose(found.annual_return[p], yearly[p], rel_tol=1e-4) and math.isclose(found.annual_vol[p], r.std() * math.sqrt(12), rel_tol=1e-4)
+        assert math.isclose(found.max_drawdown[p], (wealth / np.maximum.accumulate(wealth) - 1).min(), abs_tol=1e-4)
+        names = by_date.n if p == "benchmark" else np.ceil(by_date.n * 0.25)
+        assert math.isclose(found.avg_names[p], names.mean(), rel_tol=1e-6)
+    assert all(math.isclose(found.excess[p], yearly[p] - yearly["benchmark"], abs_tol=1e-4) for p in yearly)
+
+
+def test_single_score_model(spark):
+    b = strategies._brands(spark, SF).toPandas()
+    z = lambda x: (x - x.mean()) / x.std(ddof=0)
+    adjusted = (z(b.disc) - z(b.price) + 0.25 * z(b.qty)) / 3
+    x = np.column_stack([np.ones(len(b)), b.disc, b.tax, b.qty])
+    residual = b.price - x @ np.linalg.lstsq(x, b.price, rcond=None)[0]
+    final = pd.Series((0.6 * adjusted + 0.4 * z(-residual)).to_numpy(), b.brand)
+    lo, hi = final.quantile([0.25, 0.75])
+    for r in jobs.QUERIES["b13_relative_value"](spark, SF).collect():
+        assert math.isclose(r.final, final[r.brand], abs_tol=1e-4)
+        assert r.regime == ("cheap" if final[r.brand] >= hi else "expensive" if final[r.brand] <= lo else "neutral") or min(abs(final[r.brand] - lo), abs(final[r.brand] - hi)) < 1e-6
+
+
+def test_drawn_candidates_over_scenarios(spark):
+    from panelkit.plans.tables import dirichlet_candidates, scenarios
+
+    w = {r.cand_id: np.array(r.w) for r in dirichlet_candidates(spark, 8, 400, 0.6).collect()}
+    x = np.array([r.r for r in scenarios(spark, SF, 8).collect()])
+    assert len({tuple(v) for v in w.values()}) == len(w) > 300 and all(abs(v.sum() - 1) < 1e-9 and v.max() <= 0.6 + 1e-9 for v in w.values())
+    found = jobs.QUERIES["b16_dirichlet_risks"](spark, SF).collect()
+    assert len(found) == len(w)
+    for r in found:
+        p = x @ w[r.cand_id]
+        assert abs(r["mean"] - p.mean()) < 2e-6 and abs(r.deviation - p.std()) < 2e-6 and abs(r.hhi - (w[r.cand_id] ** 2).sum()) < 2e-6
