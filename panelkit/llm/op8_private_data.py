@@ -191,6 +191,7 @@ def op8_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array(*map(F.lit, KINDS))
     line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s["kind"]], s["start"], s["end"])), ",")
     base = F.filter("spans", lambda s: s["base"])
-    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    of_kind = lambda k: lambda s: s["kind"] == k
+    counts = [F.size(F.filter(base, of_kind(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
     added = F.size(F.filter("spans", lambda s: ~s["base"])).cast("long").alias("n_added")
     return find_private(table(spark, sf_dir, "documents")).select("doc_id", *counts, F.sha2(line(base), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"), added)
