@@ -557,3 +557,18 @@ def test_leaks_of_frequent_seeds_are_found(spark, around):
 def test_edited_hash_is_of_utf8(spark):
     (r,) = spark.createDataFrame([("é",)], "t string").select(F.sha2("t", 256)).collect()
     assert r[0] == hashlib.sha256("é".encode()).hexdigest()
+
+
+def test_private_data_query_counts_every_kind(spark):
+    from panelkit.llm.op8_private_data import op8_private_data
+
+    sf = "/root/testdata/sf0.001"
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    seen = Counter()
+    for r in op8_private_data(spark, sf).collect():
+        base = brute.base_spans(text[r.doc_id])
+        counts = [sum(k == kind for k, _, _ in base) for kind in range(4)]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == counts
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+        seen.update({k: max(seen[k], n) - seen[k] for k, n in enumerate(counts)})
+    assert max(seen.values()) > 1
