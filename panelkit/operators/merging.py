@@ -43,7 +43,8 @@ def _lit(x: np.ndarray):
 def _with_z(views: DataFrame, names: list[str], horizons: Sequence[int]) -> DataFrame:
     """views with z, the exposures to every segment's assets; a view with an unknown asset or horizon has none and is an error."""
     e = exposure_vector("exposures", names)
-    parts = [F.transform(e, lambda x, h=h: F.when(F.col("horizon") >= h, x).otherwise(0.0)) for h in sorted(horizons)]
+    upto = lambda h: lambda x: F.when(F.col("horizon") >= h, x).otherwise(0.0)
+    parts = [F.transform(e, upto(h)) for h in sorted(horizons)]
     z = F.when(F.col("horizon").isin(*horizons) & (F.col("vol") > 0) & e.isNotNull(), F.concat(*parts))
     return views.withColumn("z", F.coalesce(z, F.raise_error(F.lit("a view has an unknown asset or horizon, or no positive vol")).cast("array<double>")))
 
@@ -53,7 +54,7 @@ def posterior(views: DataFrame, prior: DataFrame, horizons: Sequence[int], key:
     (key, horizon, exposures, forecast, vol)."""
     names, nu, omega = _model(prior, horizons)
     n, inverse = len(nu), np.linalg.pinv(omega)
-    v = _with_z(views, names, horizons).select(key, "z", (1 / F.col("vol") ** 2).alias("q"), (F.col("forecast") - dot("z", _lit(nu))).alias("gap"))
+    v = _with_z(views, names, horizons).select(key, "z", F.try_divide(F.lit(1.0), F.col("vol") ** 2).alias("q"), (F.col("forecast") - dot("z", _lit(nu))).alias("gap"))
     own = v.select(key, "z", "q", "gap", F.posexplode("z").alias("i", "zi")).where("zi <> 0")
     right = own.select(key, "i", F.lit(-1).alias("j"), (F.col("zi") * F.col("q") * F.col("gap")).alias("v"))
     left = own.select(key, "i", "zi", "q", F.posexplode("z").alias("j", "zj")).where("zj <> 0").select(key, "i", "j", (F.col("zi") * F.col("zj") * F.col("q")).alias("v"))

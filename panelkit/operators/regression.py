@@ -66,7 +66,8 @@ def regress_suite(df: DataFrame, specs: Sequence[Spec], by: str) -> tuple[DataFr
         sd = F.col(f"{s.name}_sd")
         out = out.withColumns({f"{s.name}_fitted": fitted, f"{s.name}_residual": residual, f"{s.name}_mispricing": attractive, f"{s.name}_z": F.when(residual.isNotNull(), F.when(sd == 0, 0.0).otherwise(attractive / sd))})
     own = [c.split(" ")[0] for c in columns[1:]] + [f"{s.name}_sd" for s in specs]
-    return out.drop(*own), spark.createDataFrame(summary, f"`{by}` {kind}, spec string, n long, r_squared double, coefficients map<string, double>")
+    out = out.drop(*own)
+    return out.select(*df.columns, *(c for c in out.columns if c not in df.columns)), spark.createDataFrame(summary, f"`{by}` {kind}, spec string, n long, r_squared double, coefficients map<string, double>")
 
 
 def fitted_sql(table: str, key: str, by: str, y: str, xs: Sequence[str]) -> str:
