@@ -12,6 +12,9 @@ from panelkit.llm.op7_jaccard_join import OP7_SQL, op7_jaccard_join
 from panelkit.llm.op8_private_data import op8_private_data
 from panelkit.llm.op9_toxicity import op9_toxicity
 from panelkit.llm.op10_decontaminate import op10_decontaminate
+from panelkit.llm.op11_simhash import op11_simhash_near_dedup
+from panelkit.llm.op12_prefix_trie import OP12_SQL, op12_prefix_trie
+from panelkit.llm.op13_vector_codes import OP13_SQL, op13_vector_codes
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
@@ -24,9 +27,14 @@ QUERIES = {
     "op8_private_data": op8_private_data,
     "op9_toxicity": op9_toxicity,
     "op10_decontaminate": op10_decontaminate,
+    "op11_simhash_near_dedup": op11_simhash_near_dedup,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_vector_codes": op13_vector_codes,
 }
 SQL = {
     "op1_substring_dedup": OP1_SQL,
     "op6_url_filters": OP6_SQL,
     "op7_jaccard_join": OP7_SQL,
+    "op12_prefix_trie": OP12_SQL,
+    "op13_vector_codes": OP13_SQL,
 }

@@ -135,3 +135,78 @@ def sketch(text, bits=2, size=5):
     runs = [w[k : k + size] for k in range(len(w) - size + 1)] if len(w) >= size else [w] if w else []
     found = {xxhash_chain([("long", v) for v in run]) for run in runs}
     return sorted(h for h in found if h % 2**64 < 2 ** (64 - bits))
+
+
+def simhash(text):
+    w = [x.translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")) for x in words(text)]
+    runs = [b" ".join(w[k : k + 3]) for k in range(len(w) - 2)] if len(w) >= 3 else [b" ".join(w)] if w else []
+    hashes = [xxhash.xxh64_intdigest(x, 42) for x in runs]
+    return sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes))
+
+
+def least_reached(ids, linked):
+    """The smallest id that each reaches, all pairs compared."""
+    parent = {i: i for i in ids}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(ids, 2):
+        if linked(a, b):
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+def prefix_trie(turns, heads=4, shared=20):
+    """All prefixes of all conversations, one by one."""
+    own = {}
+    for c, t, role, text in turns:
+        if c is not None:
+            own.setdefault(c, []).append(((t is not None, t or 0), role or "", text or ""))
+    own = {c: [x[1:] for x in sorted(v)] for c, v in own.items()}
+    built = {}
+    for c in own:
+        h = zlib.crc32(str(c).encode()) % heads
+        base = c - (abs(c) % shared) * (1 if c >= 0 else -1)
+        built[c] = own.get(base, [])[:h] + own[c][h:]
+    members = {}
+    for c, s in built.items():
+        for d in range(len(s) + 1):
+            members.setdefault(tuple(s[:d]), []).append(c)
+    saved, leaves, children = (dict.fromkeys(members, 0) for _ in range(3))
+    for p in members:
+        if p:
+            children[p[:-1]] += 1
+    for p, m in members.items():
+        for d in range(len(p) + 1):
+            saved[p[:d]] += (len(m) - 1) * (len(words(p[-1][1])) if p else 0)
+            leaves[p[:d]] += children[p] == 0
+    ends = {p: ",".join(str(c) for c in sorted(m) if len(built[c]) == len(p)) for p, m in members.items()}
+    out = [(min(m), len(p), min(members[p[:-1]]) if p else None, len(m), children[p], leaves[p], saved[p], hashlib.sha256(ends[p].encode()).hexdigest()) for p, m in members.items()]
+    return sorted(out, key=lambda r: r[:2])
+
+
+def vector_codes(rows, parts=8, entries=16, rounds=6):
+    """Whole numbers of any size, all distances; rows of one length with unique ids."""
+    rows = sorted((i, [int(x * 4096 // 1) for x in v], label) for i, v, label in rows)
+    width = len(rows[0][1]) // parts
+    cut = [[v[p * width : (p + 1) * width] for p in range(parts)] for _, v, _ in rows]
+    books = [[c[p] for c in cut[:entries]] for p in range(parts)]
+    far = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b))
+    best = lambda: [[min((far(c[p], e), k) for k, e in enumerate(books[p])) for p in range(parts)] for c in cut]
+    for _ in range(rounds):
+        found = best()
+        for p in range(parts):
+            for k in range(len(books[p])):
+                own = [c[p] for c, f in zip(cut, found) if f[p][1] == k]
+                if own:
+                    books[p][k] = [sum(x) // len(own) for x in zip(*own)]
+    found, by_label = best(), {}
+    errors = [sum(d for d, _ in f) for f in found]
+    for (_, _, label), e in zip(rows, errors):
+        by_label[label] = by_label.get(label, 0) + e
+    seal = hashlib.sha256(",".join(str(x) for b in books for e in b for x in e).encode()).hexdigest()
+    return [(i, "".join(f"{k:02x}" for _, k in f), e, by_label[label], seal) for (i, _, label), f, e in zip(rows, found, errors)]
