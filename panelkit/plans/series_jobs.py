@@ -58,16 +58,17 @@ def c8_c18_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH e AS (SELECT user_id, event_type, sum(value) AS v FROM events WHERE event_type <> 'view' OR user_id % 3 = 0 GROUP BY ALL), t AS (SELECT unnest(['signup', 'click', 'error', 'purchase', 'other']) AS t, unnest(range(5)) AS k), u AS (SELECT DISTINCT user_id FROM e)
-    SELECT user_id, string_agg(event_type || ':' || printf('%+.2f', v), '; ' ORDER BY event_type) AS exposures, CASE WHEN count(*) FILTER (event_type = 'view') = 0 THEN any_value(w.vector) END AS vector, count(*)::BIGINT AS n
+    """WITH e AS (SELECT user_id, event_type, sum(value) AS v FROM events GROUP BY ALL), t AS (SELECT unnest(['signup', 'click', 'error', 'purchase', 'view']) AS t, unnest(range(5)) AS k), u AS (SELECT DISTINCT user_id FROM e)
+    SELECT user_id, string_agg(event_type || ':' || printf('%+.2f', v), '; ' ORDER BY event_type) AS exposures, any_value(w.vector) AS vector, count(*) FILTER (event_type = 'view') = 0 AS is_known, count(*)::BIGINT AS n
     FROM e LEFT JOIN (SELECT user_id, string_agg(printf('%.2f', v), ' ' ORDER BY k) AS vector FROM (SELECT u.user_id, t.k, coalesce(sum(e.v), 0) AS v FROM u CROSS JOIN t LEFT JOIN e ON e.user_id = u.user_id AND e.event_type = t.t GROUP BY ALL) GROUP BY 1) w USING (user_id) GROUP BY 1"""
 )
 def c16_c17_exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C17: a vector in the order of known tickers; who has another one (view) gets none."""
-    sums = read(spark, sf_dir, "events").where("event_type <> 'view' or user_id % 3 = 0").groupBy("user_id", "event_type").agg(F.sum("value").alias("v"))
+    """C17: a vector in the order of known tickers; is_known tells who has a vector without the last of them (view)."""
+    sums = read(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.sum("value").alias("v"))
     maps = sums.groupBy("user_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("event_type", "v")))).alias("m"))  # a few types for each user
-    vector = C.exposure_vector("m", ("signup", "click", "error", "purchase", "other"))
-    return maps.select("user_id", C.exposures_text("m").alias("exposures"), F.array_join(F.transform(vector, lambda x: F.format_string("%.2f", x)), " ").alias("vector"), F.size("m").cast("long").alias("n"))
+    tickers = ("signup", "click", "error", "purchase", "view")
+    vector = F.array_join(F.transform(C.exposure_vector("m", tickers), lambda x: F.format_string("%.2f", x)), " ")
+    return maps.select("user_id", C.exposures_text("m").alias("exposures"), vector.alias("vector"), C.exposure_vector("m", tickers[:-1]).isNotNull().alias("is_known"), F.size("m").cast("long").alias("n"))
 
 
 @query(f"SELECT * FROM ({D3}) WHERE date IN (SELECT date FROM ({D3}) GROUP BY 1 HAVING count(DISTINCT asset) = (SELECT count(DISTINCT asset) FROM ({D3})))", "close dividends")
@@ -264,24 +265,24 @@ def j7_next_month(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH px AS (SELECT *, row_number() OVER ({QW}) AS pos FROM ({SQL_monthly()})), cal AS (SELECT pos, date AS rebalance, asset FROM px WHERE pos % 6 = 0 AND pos >= 12)
+    f"""WITH px AS (SELECT *, row_number() OVER ({QW}) AS pos FROM ({SQL_monthly()})), cal AS (SELECT pos, date AS rebalance, asset FROM px WHERE pos >= 12)
     SELECT cal.asset, rebalance, count(*)::BIGINT AS n, avg(px.close) AS mean, min(px.date) AS since FROM cal JOIN px ON px.asset = cal.asset AND px.pos BETWEEN cal.pos - 11 AND cal.pos GROUP BY 1, 2""",
     "mean",
 )
 def j8_trailing_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = monthly(spark, sf_dir).withColumn("pos", F.row_number().over(S.by("asset")).cast("long"))
-    cal = px.where("pos % 6 = 0 and pos >= 12").select("asset", "pos", F.col("date").alias("rebalance"))
+    cal = px.where("pos >= 12").select("asset", "pos", F.col("date").alias("rebalance"))
     hit = J.trailing_rows(cal, px, 12, keys=["asset"])
     return hit.groupBy("asset", "rebalance").agg(F.count("*").alias("n"), F.avg("close").alias("mean"), F.min("date").alias("since"))
 
 
 @query(
-    """WITH c AS (SELECT c_nationkey AS k, sum(c_acctbal) AS bal, count(*)::DOUBLE AS n FROM customer WHERE c_nationkey % 5 <> 0 GROUP BY 1), s AS (SELECT s_nationkey AS k, sum(s_acctbal) AS bal, max(s_acctbal) AS top FROM supplier GROUP BY 1)
+    """WITH c AS (SELECT c_nationkey AS k, sum(c_acctbal) AS bal, count(*)::DOUBLE AS n FROM customer GROUP BY 1), s AS (SELECT s_nationkey AS k, sum(s_acctbal) AS bal, max(s_acctbal) AS top FROM supplier GROUP BY 1)
     SELECT coalesce(c.k, s.k)::INT AS k, coalesce(c.bal, s.bal) AS balance, coalesce(s.top, c.bal) AS top, n FROM c FULL JOIN s ON c.k = s.k""",
     "balance top n",
 )
 def j6_u2_priority_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = read(spark, sf_dir, "customer").where("c_nationkey % 5 <> 0").groupBy(F.col("c_nationkey").alias("k")).agg(F.sum("c_acctbal").alias("bal"), F.count("*").alias("n"))
+    c = read(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.sum("c_acctbal").alias("bal"), F.count("*").alias("n"))
     s = read(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.sum("s_acctbal").alias("bal"), F.max("s_acctbal").alias("top"))
     return J.by_priority([c, s], "k", {"balance": [(0, "bal"), (1, "bal")], "top": [(1, "top"), (0, "bal")], "n": [(0, "n")]})
 
@@ -299,6 +300,22 @@ def j1_j4_cross_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("n_name").alias("country"), C.country_key("n_name").alias("country_key"), "n", "cap", F.coalesce("erp", F.lit(0.0)).alias("erp"), F.col("r_name").alias("region"))
 
 
-@query("SELECT DISTINCT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
+@query(
+    """SELECT k::BIGINT AS k, coalesce(d.size, p.size, e.size) AS size, coalesce(l.quality, e.label) AS grade, coalesce(p.size, d.size) AS page, l.toxic AS toxic FROM (SELECT doc_id AS k, length(text)::DOUBLE AS size FROM documents) d
+    FULL JOIN (SELECT doc_id AS k, quality::DOUBLE AS quality, toxic::DOUBLE AS toxic FROM labels) l USING (k) FULL JOIN (SELECT vec_id AS k, len(embedding)::DOUBLE AS size, label::DOUBLE AS label FROM embeddings) e USING (k)
+    FULL JOIN (SELECT page_id AS k, length(html)::DOUBLE AS size FROM pages) p USING (k)""",
+    "size grade page toxic",
+)
+def u2_four_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four tables of different key sets; each field from the first of them that has a value."""
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), F.char_length("text").alias("size"))
+    labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("k"), "quality", "toxic")
+    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("k"), F.size("embedding").alias("size"), "label")
+    p = read(spark, sf_dir, "pages").select(F.col("page_id").alias("k"), F.char_length("html").alias("size"))
+    return J.by_priority([d, labels, e, p], "k", {"size": [(0, "size"), (3, "size"), (2, "size")], "grade": [(1, "quality"), (2, "label")], "page": [(3, "size"), (0, "size")], "toxic": [(1, "toxic")]})
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def j14_u4_missing_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.missing_keys(read(spark, sf_dir, "part"), read(spark, sf_dir, "lineitem").where("l_quantity > 45").withColumnRenamed("l_partkey", "p_partkey"), "p_partkey")
+    """The documents that have no label."""
+    return J.missing_keys(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), "doc_id")

@@ -94,42 +94,6 @@ def score_returns(panel: DataFrame) -> DataFrame:
     return picked.groupBy("date").agg(*(F.avg(F.when(F.col(f"in_{s}"), F.col("next"))).alias(s) for s in ("raw", "enhanced")), F.avg("next").alias("benchmark"), F.count("*").alias("n"))
 
 
-# ---- B3: weights that drift, a turnover cap, costs ----
-def simulate(targets: DataFrame, key: str, cap: float = 0.35, cost: float = 0.001, every: int = 3) -> DataFrame:
-    """One row a date of each strategy: net return, turnover. Rows (key, date, asset, target, next), one group a strategy.
-
-    Between rebalances weights drift with returns; at one, the move to the target is scaled down to the cap. The position
-    of a rebalance counts all dates. State goes from date to date, so a strategy is one group; strategies are parallel.
-    """
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        target = rows.pivot(index="date", columns="asset", values="target").fillna(0.0).to_numpy()
-        move = rows.pivot(index="date", columns="asset", values="next").fillna(0.0).to_numpy()
-        dates, w, out = sorted(rows.date.unique()), np.zeros(target.shape[1]), []
-        for k, (date, t, r) in enumerate(zip(dates, target, move)):
-            turned = 0.0
-            if k % every == 0 and t.sum() > 0:
-                turned = np.abs(t - w).sum() / 2
-                new = t if turned <= cap else w + (t - w) * cap / turned
-                new = new / new.sum()
-                turned, w = np.abs(new - w).sum() / 2, new
-            gross = float(w @ r)
-            out.append((rows[key].iloc[0], date, gross, turned, gross - cost * turned))
-            w = w * (1 + r)
-            w = w / w.sum() if w.sum() > 0 else w
-        return pd.DataFrame(out, columns=[key, "date", "gross", "turnover", "net"])
-
-    kind = targets.schema[key].dataType.simpleString()
-    return targets.select(key, "date", "asset", "target", "next").groupBy(key).applyInPandas(run, f"{key} {kind}, date date, gross double, turnover double, net double")
-
-
-@query()
-def b3_constrained_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel = score_panel(monthly(spark, sf_dir))
-    parts = [panel.withColumn("picked", S.top_share(s, ["date"], "asset", least=4)).select(F.lit(s).alias("strategy"), "date", "asset", "next", (F.col("picked").cast("double") / F.sum(F.col("picked").cast("double")).over(Window.partitionBy("date"))).alias("target")) for s in ("raw", "enhanced")]
-    return R.performance(simulate(parts[0].unionByName(parts[1]), "strategy"), "net", ["strategy"], ddof=0)
-
-
 # ---- B5: estimators of a fixed portfolio's variance ----
 @query(
     f"""WITH px AS ({SQL_daily()}), full_ AS (SELECT date FROM px GROUP BY 1 HAVING count(*) = 3), r AS (SELECT * FROM (SELECT asset, date, close / lag(close) OVER ({QW}) - 1 AS r FROM px WHERE date IN (SELECT date FROM full_)) WHERE r IS NOT NULL),

@@ -178,7 +178,7 @@ SQL_regimes = f"SELECT asset, arg_max(regime, date) AS regime, arg_max(dy, date)
 
 
 @query(
-    f"""WITH m AS (SELECT n_nationkey, 'market ' || n_nationkey AS key, n_nationkey::VARCHAR AS proxy FROM nation), c AS (SELECT x.*, n_name FROM ({SQL_countries}) x JOIN nation ON n_nationkey = k WHERE k % 6 > 0)
+    f"""WITH m AS (SELECT n_nationkey, 'market ' || n_nationkey AS key, n_nationkey::VARCHAR AS proxy FROM nation), c AS (SELECT x.*, n_name FROM ({SQL_countries}) x JOIN nation ON n_nationkey = k)
     SELECT key, proxy, coalesce(n_name, key) AS name, signal, regime, dy, CASE WHEN s IS NULL THEN NULL WHEN s >= 0.5 THEN 'overweight' WHEN s <= -0.5 THEN 'underweight' ELSE 'neutral' END AS combined FROM (SELECT key, proxy, n_name, signal, regime, dy,
     list_avg(list_filter([{_CASE('signal', {'overweight': 1.0, 'neutral': 0.0, 'underweight': -1.0}, None).replace('None', 'NULL')}::DOUBLE, {_CASE('regime', {'high': 1.0, 'middle': 0.0, 'low': -1.0}, None).replace('None', 'NULL')}::DOUBLE], lambda v: v IS NOT NULL)) AS s FROM m LEFT JOIN c ON c.k = m.n_nationkey LEFT JOIN ({SQL_regimes}) r ON r.asset = m.proxy)""",
     "dy",
@@ -188,7 +188,7 @@ def b12_market_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     latest regime, and the mean of both scores as the combined signal."""
     a = read(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"), (F.sum(F.abs("c_acctbal")) / 1e6).alias("cap"), F.avg("c_acctbal").alias("pe"), (F.max("c_acctbal") / 1e6).alias("erp"))
     e = a.where("n >= 20 and cap >= 0.02 and pe > 0").select("c_nationkey", (C.ratio(F.lit(100.0), "pe") - F.col("erp")).alias("spread"))
-    e = R.quartile_labels(e, "spread", [], ("underweight", "neutral", "overweight")).where("c_nationkey % 6 > 0")
+    e = R.quartile_labels(e, "spread", [], ("underweight", "neutral", "overweight"))
     country = e.join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("Market-"), F.col("c_nationkey").cast("string")).alias("spelled"), F.col("n_name").alias("name"), F.col("label").alias("signal"))
     markets = read(spark, sf_dir, "nation").select(F.concat(F.lit("market "), F.col("n_nationkey").cast("string")).alias("key"), F.col("n_nationkey").cast("string").alias("proxy"))
     m = monthly(spark, sf_dir).select("asset", "date", (F.col("dividends") / F.col("close")).alias("dy"), F.when(F.col("close") >= 1600, "high").when(F.col("close") <= 1400, "low").otherwise("middle").alias("regime"))

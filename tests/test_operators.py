@@ -12,7 +12,8 @@ from panelkit.operators import covariance as V
 from panelkit.operators import joins as J
 from panelkit.operators import risk as R
 from panelkit.operators import series as S
-from panelkit.plans.strategies import merge_forecasts, regress, simulate
+from panelkit.operators.holdings import simulate
+from panelkit.plans.strategies import merge_forecasts, regress
 from panelkit.sources import files
 
 
@@ -198,10 +199,41 @@ def test_regression_equals_lstsq(spark):
 
 def test_drift_and_turnover_cap(spark):
     rows = [("s", day(k), a, t, r) for k in range(5) for a, t, r in (("x", 1.0 if k < 3 else 0.0, 0.1), ("y", 0.0 if k < 3 else 1.0, 0.0))]
-    out = sorted(simulate(spark.createDataFrame(rows, "s string, date date, asset string, target double, next double"), "s").collect(), key=lambda r: r.date)
+    dates, rebalances = simulate(spark.createDataFrame(rows, "s string, date date, asset string, target double, next double"), "s")
+    out = sorted(dates.collect(), key=lambda r: r.date)
     assert [round(r.turnover, 6) for r in out] == [0.5, 0, 0, 0.35, 0] and abs(out[0].net - (0.1 - 0.0005)) < 1e-12 and abs(out[3].gross - 0.065) < 1e-12
     w = np.array([0.65 * 1.1, 0.35])
     assert abs(out[4].gross - 0.1 * w[0] / w.sum()) < 1e-12
+    assert [(r.n_positions, r.top_positions) for r in sorted(rebalances.collect(), key=lambda r: r.date)] == [(1, "x:100.00%"), (2, "x:65.00% | y:35.00%")]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_simulation_equals_a_loop_when_assets_come_and_go(spark, seed):
+    rng = np.random.default_rng(seed)
+    rows = [("ab"[s], day(k), f"n{i}", float(rng.random() < 0.4), float(rng.normal(0, 0.2)) if rng.random() < 0.9 else None) for s in range(2) for k in range(17) for i in range(6) if rng.random() < 0.8]
+    total = {}
+    for s, d, _, t, n in rows:
+        total[s, d] = total.get((s, d), 0) + (t if n is not None else 0)
+    rows = [(s, d, a, t / total[s, d] if total[s, d] else 0.0, n) for s, d, a, t, n in rows]
+    dates, _ = simulate(spark.createDataFrame(rows, "s string, date date, asset string, target double, next double"), "s", 0.3, 0.01, 4)
+    found = {(r.s, r.date): r for r in dates.collect()}
+    for s in "ab":
+        w, wealth = {}, 1.0
+        for k, d in enumerate(sorted({r[1] for r in rows if r[0] == s and r[4] is not None})):
+            here = {r[2]: r for r in rows if r[:2] == (s, d) and r[4] is not None}
+            now = {a: w.get(a, 0.0) for a in here}
+            now = {a: x / sum(now.values()) if sum(now.values()) > 0 else 0.0 for a, x in now.items()}
+            target, turned = {a: r[3] for a, r in here.items()}, 0.0
+            if k % 4 == 0 and sum(target.values()) > 0:
+                gap = sum(abs(target[a] - now[a]) for a in here) / 2
+                new = target if gap <= 0.3 else {a: now[a] + (target[a] - now[a]) * 0.3 / gap for a in here}
+                new = {a: x / sum(new.values()) for a, x in new.items()}
+                turned, now = sum(abs(new[a] - now[a]) for a in here) / 2, new
+            gross = sum(now[a] * here[a][4] for a in here)
+            wealth *= 1 + gross - 0.01 * turned
+            r = found[s, d]
+            assert np.allclose([r.gross, r.turnover, r.net, r.equity, r.largest_weight], [gross, turned, gross - 0.01 * turned, wealth, max(now.values())], atol=1e-12) and r.n_positions == sum(x > 1e-8 for x in now.values()), (s, k)
+            w = {a: x * (1 + here[a][4]) for a, x in now.items()}
 
 
 def test_forecast_merge_properties(spark):

@@ -212,7 +212,7 @@ def test_free_form_dates_vectors_and_cases(spark):
 
 
 def test_simulated_strategy_equals_a_plain_loop(spark):
-    found = jobs.QUERIES["b3_constrained_strategy"](spark, SF).toPandas().set_index("strategy")
+    found = jobs.QUERIES["b3_constrained_strategy"](spark, SF).toPandas().set_index("portfolio")
     table = strategies.score_panel(strategies.monthly(spark, SF)).select("date", "asset", "raw", "enhanced", "next").toPandas()
     for s in ("raw", "enhanced"):
         w, net = {}, []
@@ -221,6 +221,8 @@ def test_simulated_strategy_equals_a_plain_loop(spark):
             names = list(g.asset[: min(len(g), max(4, math.ceil(0.25 * len(g))))])
             target = {a: 1 / len(names) for a in names}
             turned = 0.0
+            w = {a: w.get(a, 0.0) for a in g.asset}  # who has no row is not held
+            w = {a: x / sum(w.values()) if sum(w.values()) > 0 else 0.0 for a, x in w.items()}
             if k % 3 == 0:
                 gap = {a: target.get(a, 0) - w.get(a, 0) for a in {*target, *w}}
                 turned = sum(map(abs, gap.values())) / 2
