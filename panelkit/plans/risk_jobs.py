@@ -10,6 +10,7 @@ from panelkit.functions import columns as C
 from panelkit.operators import covariance as V
 from panelkit.operators import joins as J
 from panelkit.operators import risk as R
+from panelkit.operators import tails as T
 from panelkit.operators import series as S
 from panelkit.plans.registry import query, read
 from panelkit.plans.tables import SQL_daily, SQL_lattice, SQL_monthly, SQL_returns, SQL_scenarios, SQL_weekly_returns, daily, lattice, monthly, returns, scenarios
@@ -85,7 +86,9 @@ def a16_a17_simple_ols(spark: SparkSession, sf_dir: str) -> DataFrame:
     "var cvar",
 )
 def a11_j10_candidate_cvar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.weighted_var_cvar(R.portfolio_losses(scenarios(spark, sf_dir), lattice(spark).where("array_max(w) <= 0.6")), ["cand_id"], 0.95)
+    s, c = scenarios(spark, sf_dir), T.candidates(lattice(spark).where("array_max(w) <= 0.6"))
+    found, cvar = T.weighted_var_cvar(s, c, 0.95)
+    return T.frame(s, c, {"var": found.var, "cvar": cvar})
 
 
 @query(

@@ -1,12 +1,13 @@
 """Scenario studies over candidate weights: metrics, the benchmark's risk over a sweep, the sweep itself, its tables, and
 searches by mixed measures and by entropy.
 
-Candidates are a parameter table and are crossed with the scenarios once; every grid point is then arithmetic on one row a
-candidate. CVaR moves with a constant that is added to all losses, so demeaned figures follow from full ones.
+Candidates are a parameter table; scenarios pass by them in blocks, and what is left is one row a candidate, on which every grid
+point is arithmetic. CVaR moves with a constant that is added to all losses, so demeaned figures follow from full ones.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,6 +15,9 @@ from pyspark.sql.window import Window
 from panelkit.functions import columns as C
 from panelkit.operators import joins as J
 from panelkit.operators import risk as R
+from panelkit.operators import search as X
+from panelkit.operators import tails as T
+from panelkit.operators.staging import staged
 from panelkit.plans.registry import query
 from panelkit.plans.tables import SQL_lattice, SQL_scenarios, dirichlet_candidates, lattice, scenarios
 
@@ -24,7 +28,7 @@ NEAR_BEST = 0.05
 
 
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.portfolio_metrics(scenarios(spark, sf_dir), lattice(spark), BENCH, 0.95)
+    return T.portfolio_metrics(scenarios(spark, sf_dir), lattice(spark), BENCH, 0.95)
 
 
 _DOT = lambda a, b: f"list_dot_product({a}, {b})"
@@ -130,8 +134,7 @@ def b9_two_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CVaR with the mean absolute deviation and with the lower partial moment, under limits of tracking error, effective
     number, weight and return."""
     c = lattice(spark).where((F.array_max("w") <= 0.7) & (1 / R.dot("w", "w") >= 1.5))
-    x = scenarios(spark, sf_dir).join(c).select("cand_id", R.dot("r", "w").alias("p"), R.dot("r", F.array(*map(F.lit, BENCH))).alias("b"))  # J10
-    k = R.characteristics(x, "p", ["cand_id"], benchmark="b")
+    k = T.characteristics(scenarios(spark, sf_dir), c, benchmark=BENCH)
     floor = k.agg(F.min("mean").alias("least"))
     return R.mixed_risk(k.crossJoin(F.broadcast(floor)).where("tracking_error <= 0.03 and mean >= least"), "cvar", ["mad", "lpm"], 9)  # one row
 
@@ -148,17 +151,12 @@ SQL_means = f"SELECT cand_id, avg({_DOT('r', 'w')}) AS expected FROM ({SQL_scena
 
 def candidate_risks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """cand_id, expected, measure, bins, risk: variance (in thousandths), entropy and downside entropy of every candidate."""
-    s, c = scenarios(spark, sf_dir), lattice(spark).where("array_max(w) <= 0.6")
-    p = s.join(c).select("cand_id", R.dot("r", "w").alias("p"))  # J10
-    edges = R.bin_edges(s.select(F.explode("r").alias("x")), "x")
-    parts = [p.groupBy("cand_id").agg((F.var_samp("p") * 1000).alias("risk")).select("cand_id", F.lit("variance").alias("measure"), F.lit(0).alias("bins"), "risk")]
-    for bins in _BINS:
-        for measure, f in (("entropy", R.histogram_entropy), ("downside", R.downside_entropy)):
-            parts.append(f(p, "p", ["cand_id"], edges, bins).select("cand_id", F.lit(measure).alias("measure"), F.lit(bins).alias("bins"), F.col("entropy").alias("risk")))
-    risks = parts[0]
-    for part in parts[1:]:
-        risks = risks.unionByName(part)
-    return risks.join(p.groupBy("cand_id").agg(F.avg("p").alias("expected")), "cand_id")
+    s, c = scenarios(spark, sf_dir), T.candidates(lattice(spark).where("array_max(w) <= 0.6"))
+    found = T.candidate_risks(s, c, _BINS, R.bin_edges(s.select(F.explode("r").alias("x")), "x"))
+    wide = T.frame(s, c, found | {"variance": found["variance"] * 1000})
+    part = lambda name, m: F.struct(F.lit(name).alias("measure"), F.lit(m).alias("bins"), F.col(f"{name}_{m}" if m else name).alias("risk"))
+    parts = [part("variance", 0), *(part(name, m) for m in _BINS for name in ("entropy", "downside"))]
+    return wide.select("cand_id", "expected", F.explode(F.array(*parts)).alias("x")).select("cand_id", "expected", "x.*")
 
 
 @query(
@@ -198,3 +196,67 @@ def b16_dirichlet_risks(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = dirichlet_candidates(spark, 8, 400, 0.6)
     x = scenarios(spark, sf_dir, 8).join(c).select("cand_id", "w", R.dot("r", "w").alias("p"))  # J10
     return x.groupBy("cand_id", "w").agg(F.avg("p").alias("mean"), F.stddev_pop("p").alias("deviation")).select("cand_id", "mean", "deviation", F.array_max("w").alias("max_weight"), R.dot("w", "w").alias("hhi"))
+
+
+# ---- B6, B8 on nine assets: searches from coarse to fine ----
+NINE, CAP, TARGETS = 9, 0.6, 21
+
+
+def frontier_search(s: DataFrame, assets: int, cap: float = CAP, targets: int = TARGETS, bins: int = 20, steps: int = 5, halvings: int = 3):
+    """Candidates that were evaluated, their values, the measures and the returns to be reached.
+
+    The returns lie between the least and the largest of the coarse lattice's, whose corners the cap allows."""
+    s = s.select("q", "r").transform(staged)
+    edges = R.bin_edges(s.select(F.explode("r").alias("x")), "x")
+    measures, levels = ("variance", f"entropy_{bins}", f"downside_{bins}"), []
+
+    def best(c, values):
+        if not levels:
+            levels.extend(np.linspace(values["expected"].min(), values["expected"].max(), targets))
+        return [X.least(values[m], values["expected"] >= t - 1e-12) for m in measures for t in levels]
+
+    c, values = X.search(lambda c: T.candidate_risks(s, c, (bins,), edges), best, assets, cap, steps, halvings)
+    return c, values, measures, levels
+
+
+@query()
+def b6_nine_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidate of least variance, entropy and downside entropy that reaches each of 21 returns, of nine assets."""
+    c, values, measures, levels = frontier_search(scenarios(spark, sf_dir, NINE), NINE)
+    rows = []
+    for m in measures:
+        for k, t in enumerate(levels):
+            (i,) = X.least(values[m], values["expected"] >= t - 1e-12, 1)
+            w = c.weights[i]
+            rows.append((m, k, float(t), float(values["expected"][i]), float(values[m][i]), int((w > 1e-9).sum()), float(w.max()), w.tolist(), len(c.ids)))
+    return spark.createDataFrame(rows, "measure string, step int, target double, expected double, risk double, n_assets int, max_weight double, weights array<double>, n_candidates int")
+
+
+@query()
+def b8_nine_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three architectures of the sweep on nine assets: stage 1 the highest return under limits of CVaR, turnover and, for B
+    and C, active CVaR; stage 2, for C, the closest to the benchmark of what is near B's best."""
+    s = scenarios(spark, sf_dir, NINE).select("q", "r").transform(staged)
+    bench = [0.2, 0.2, *[0.6 / (NINE - 2)] * (NINE - 2)]
+    base = T.metrics(s, T.Candidates(np.zeros(1, np.int64), np.array([bench])), bench, 0.95)
+    grid = [(f, te, to) for f in FACTORS for te in TE_LIMITS for to in TURNOVER_LIMITS]
+
+    def fits(values, f, te, to, architecture):
+        ok = (values["cvar_full"] <= f * base["cvar_full"][0] + 1e-12) & (values["turnover"] <= to + 1e-9)
+        return ok if architecture == "A" else ok & (values["te_full"] <= te + 1e-12)
+
+    def chosen(values, point, architecture, keep):
+        ok = fits(values, *point, architecture)
+        if architecture != "C" or not ok.any():
+            return X.least(-values["expected"], ok, keep)
+        top = values["expected"][ok].max()
+        return X.least(values["l2"], ok & (values["expected"] >= top - NEAR_BEST * abs(top) - 1e-12), keep)
+
+    c, values = X.search(lambda c: T.metrics(s, c, bench, 0.95), lambda _, values: [chosen(values, p, a, 1) for p in grid for a in "ABC"], NINE, CAP, halvings=2, most_rounds=7)
+    rows = []
+    for point in grid:
+        for a in "ABC":
+            found = chosen(values, point, a, 1)
+            x = [float(values[m][found[0]]) for m in ("expected", "cvar_full", "te_full", "turnover", "l2")] + [c.weights[found[0]].tolist()] if len(found) else [None] * 6
+            rows.append((*point, a, "optimal" if len(found) else "infeasible", *x, int(fits(values, *point, a).sum())))
+    return spark.createDataFrame(rows, "risk_factor double, te_limit double, turnover_limit double, architecture string, status string, expected double, cvar double, te double, turnover double, l2 double, weights array<double>, n_fit int")

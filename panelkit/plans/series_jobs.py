@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from panelkit.functions import columns as C
 from panelkit.operators import joins as J
+from panelkit.operators import ordered as O
 from panelkit.operators import series as S
 from panelkit.plans.registry import query, read
 from panelkit.plans.tables import SQL_daily, SQL_monthly, SQL_returns, daily, monthly, returns
@@ -147,9 +148,33 @@ def t14_u3_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     "dy",
 )
 def k1_expanding_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = S.by("asset")
-    m = monthly(spark, sf_dir).withColumn("dy", S.trailing(F.sum("dividends"), "dividends", w, 12) / F.col("close"))
-    return m.select("asset", "date", "dy", S.expanding_regime("dy", w).alias("regime"))
+    m = monthly(spark, sf_dir).withColumn("dy", S.trailing(F.sum("dividends"), "dividends", S.by("asset"), 12) / F.col("close"))
+    return O.expanding_regimes(m.select("asset", "date", "dy"), "dy", ["asset"], "date")
+
+
+@query(
+    """WITH f AS (SELECT o_orderkey, o_totalprice AS x FROM orders), h AS (SELECT *, quantile_cont(x, [0.25, 0.75]) OVER p AS q, count(x) OVER p AS n FROM f WINDOW p AS (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+    SELECT o_orderkey, CASE WHEN n >= 36 AND x IS NOT NULL THEN CASE WHEN x >= q[2] THEN 'high' WHEN x <= q[1] THEN 'low' ELSE 'middle' END END AS regime, q[1] AS low, q[2] AS high FROM h""",
+    "low high",
+)
+def k1_one_long_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders as one series, against the quartiles of the earlier ones: no task holds more of it than a block."""
+    orders = read(spark, sf_dir, "orders").select(F.lit("all").alias("series"), "o_orderkey", F.col("o_totalprice").alias("x"))
+    found = O.expanding_quantiles(orders, "x", ["series"], "o_orderkey")
+    label = F.when(F.col("x") >= F.col("q1"), "high").when(F.col("x") <= F.col("q0"), "low").otherwise("middle")
+    return found.select("o_orderkey", F.when(F.col("n_before") >= 36, label).alias("regime"), F.col("q0").alias("low"), F.col("q1").alias("high"))
+
+
+@query(
+    """WITH f AS (SELECT *, ntile(4) OVER (ORDER BY x, k) AS bucket, (rank() OVER (ORDER BY level) + (count(*) OVER (PARTITION BY level) - 1) / 2.0) / count(*) OVER () AS pct, row_number() OVER (ORDER BY level DESC, k) AS place, count(*) OVER () AS n FROM (SELECT o_orderkey AS k, o_totalprice AS x, floor(o_totalprice / 10000) AS level FROM orders))
+    SELECT k, bucket::INT AS bucket, pct, place, place <= greatest(1, ceil(n * 0.25)) AS top FROM f""",
+    "pct",
+)
+def k3_k7_k12_l1_one_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal buckets, percentile ranks, places and the best quarter of all orders in one group, over ranges of rows."""
+    orders = read(spark, sf_dir, "orders").select(F.lit("all").alias("g"), F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("x"), F.floor(F.col("o_totalprice") / 10000).alias("level"))
+    ranked = O.percentile_ranks(O.equal_buckets(orders, ["g"], ["x", "k"], 4, "x"), ["g"], "level")
+    return O.top_shares(O.positions(ranked, ["g"], [F.desc("level"), "k"]), ["g"], "level").select("k", "bucket", "pct", "place", "top")
 
 
 @query(

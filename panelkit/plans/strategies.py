@@ -12,6 +12,7 @@ from panelkit.functions import columns as C
 from panelkit.operators import covariance as V
 from panelkit.operators import risk as R
 from panelkit.operators import series as S
+from panelkit.operators import tails as T
 from panelkit.plans.registry import query, read
 from panelkit.plans.tables import SQL_daily, SQL_lattice, SQL_monthly, SQL_returns, SQL_scenarios, lattice, monthly, returns, scenarios
 
@@ -128,13 +129,9 @@ def b5_predicted_and_realised(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def b6_entropy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, c = scenarios(spark, sf_dir), lattice(spark).where("array_max(w) <= 0.6")
-    p = s.join(c).select("cand_id", R.dot("r", "w").alias("p"))  # J10: candidates are parameters
-    low, high = R.bin_edges(s.select(F.explode("r").alias("x")), "x")
-    every = p.select("cand_id", "p", F.explode(F.array(*map(F.lit, (10, 20, 30)))).alias("bins"))
-    bin_ = F.greatest(F.lit(0), F.least(F.col("bins") - 1, F.floor((F.col("p") - low) / (F.lit(high - low) / F.col("bins")))))
-    counts = every.groupBy("cand_id", "bins", bin_.alias("bin")).count()
-    q = counts.withColumn("q", F.col("count") / F.sum("count").over(Window.partitionBy("cand_id", "bins")))
-    h = q.groupBy("bins", "cand_id").agg(F.sum(-F.col("q") * F.log("q")).alias("entropy"))
+    rows, bins = T.candidates(c), (10, 20, 30)
+    wide = T.frame(s, rows, T.candidate_risks(s, rows, bins, R.bin_edges(s.select(F.explode("r").alias("x")), "x")))
+    h = wide.select("cand_id", F.explode(F.array(*(F.struct(F.lit(m).alias("bins"), F.col(f"entropy_{m}").alias("entropy")) for m in bins))).alias("x")).select("cand_id", "x.*")
     return h.groupBy("bins").agg(F.min_by("cand_id", F.struct(F.round("entropy", 9), "cand_id")).alias("cand_id"), F.min("entropy").alias("entropy"), F.count("*").alias("n"))
 
 
@@ -151,8 +148,9 @@ def b8_scenario_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stage 1: the best expected return under each grid point's limits. Stage 2: of those near it the closest to the benchmark."""
     bench = F.array(*map(F.lit, (0.3, 0.3, 0.2, 0.2)))
     c = lattice(spark)
-    losses = R.portfolio_losses(scenarios(spark, sf_dir), c)
-    m = R.weighted_var_cvar(losses, ["cand_id"], 0.95).join(losses.groupBy("cand_id").agg((-F.sum(F.col("q") * F.col("loss"))).alias("expected")), "cand_id").join(c, "cand_id")
+    s, rows = scenarios(spark, sf_dir), T.candidates(c)
+    found, cvar = T.weighted_var_cvar(s, rows, 0.95)
+    m = T.frame(s, rows, {"expected": found.expected, "cvar": cvar}).join(c, "cand_id")
     gap = F.zip_with("w", bench, lambda x, y: x - y)
     add = lambda xs, f: F.aggregate(F.transform(xs, f), F.lit(0.0), lambda s, x: s + x)
     m = m.withColumns({"d2": add(gap, lambda x: x * x), "l1": add(gap, F.abs)})
@@ -174,8 +172,7 @@ def b8_scenario_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def b9_risk_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = lattice(spark).where((F.array_max("w") <= 0.7) & (1 / R.dot("w", "w") >= 1.5))
-    x = scenarios(spark, sf_dir).join(c).select("cand_id", R.dot("r", "w").alias("p"))  # J10
-    k = R.characteristics(x, "p", ["cand_id"]).select("cand_id", "cvar", "mad")
+    k = T.characteristics(scenarios(spark, sf_dir), c).select("cand_id", "cvar", "mad")
     ends = k.agg(*(f(c).alias(f"{n}_{c}") for c in ("cvar", "mad") for n, f in (("lo", F.min), ("hi", F.max))))
     part = lambda c: (F.col(c) - F.col(f"lo_{c}")) / (F.col(f"hi_{c}") - F.col(f"lo_{c}"))
     n = k.crossJoin(F.broadcast(ends)).select("cand_id", part("cvar").alias("a"), part("mad").alias("b"), F.explode(F.array(*(F.lit(i / 8) for i in range(9)))).alias("mix"))  # one row
