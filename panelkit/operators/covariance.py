@@ -1,7 +1,8 @@
 """Covariance of long return tables, as (group, i, j, cov) with i <= j.
 
-Pairs come from a self-join on the date, so its rows are dates x pairs of assets that share them; sums per pair combine
-before the shuffle. Linear algebra on one matrix (asset counts in the hundreds) is a grouped pandas function.
+Sums of pairs are products of blocks of the panel, or, for few assets by month, come from a self-join on the date whose rows
+are dates x pairs of assets; they combine before the shuffle. Eigenvalues are found from products of the matrix, kept as rows of
+pairs, with vectors (`spectrum.py`); small matrices, one for each panel, are solved in a grouped pandas function.
 """
 
 from __future__ import annotations
@@ -45,6 +46,49 @@ def blocked(returns: DataFrame, size: int = 256) -> DataFrame:
     return rows.groupBy("p", "q").applyInPandas(multiply, "i string, j string, cov double, n long")
 
 
+def block_moments(returns: DataFrame, keys: list[str] = [], weight: str | None = None, size: int = 256) -> DataFrame:  # noqa: B006
+    """Sums of each pair of assets over the dates that both have: keys, i, j (i <= j), n; of weights s and their squares ss; of
+    weighted x, y, x y and of (x y) ** 2: sx, sy, sxy, s22.
+
+    Assets fall into blocks of about size; a pair of blocks is one task, its sums are products of matrices of dates x assets.
+    So there is no row for each date and pair of assets. Dates of a task come a few thousand at a time.
+    """
+    counts = returns.groupBy(*keys).agg(F.countDistinct("asset").alias("_k")) if keys else returns.agg(F.countDistinct("asset").alias("_k"))
+    most = counts.agg(F.max("_k")).first()[0] or 1
+    blocks = max(1, -(-most // size))
+    own = F.pmod(F.xxhash64("asset"), F.lit(blocks)).cast("int")
+    rows = returns.where("r is not null").select(*keys, "asset", "date", "r", (F.col(weight) if weight else F.lit(1.0)).alias("w"), own.alias("own"), F.floor(F.unix_date("date") / 4096).alias("span"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = rows.select(*keys, "asset", "date", "r", "w", "own", "span", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+    names = ["n", "s", "ss", "sx", "sy", "sxy", "s22"]
+
+    def multiply(rows: pd.DataFrame) -> pd.DataFrame:
+        p, q = rows["p"].iat[0], rows["q"].iat[0]
+        wide = rows.pivot(index="date", columns="asset", values="r").sort_index(axis=1)
+        w = rows.pivot(index="date", columns="asset", values="w").sort_index(axis=1).fillna(0.0).to_numpy()
+        side = rows.drop_duplicates("asset").set_index("asset")["own"].reindex(wide.columns).to_numpy()
+        has, x = wide.notna().to_numpy(float), wide.fillna(0.0).to_numpy()
+        a, b, labels = side == p, side == q, wide.columns.to_numpy()
+        ha, hb, xa, xb, wa, wb = has[:, a], has[:, b], x[:, a], x[:, b], w[:, a], w[:, b]
+        n = ha.T @ hb
+        i, j = np.nonzero(n > 0 if p != q else np.triu(n > 0))
+        one, two = labels[a][i], labels[b][j]
+        turned = one > two  # blocks go by hash, pairs by name; a pair has the weights of the first by name
+        first = [wa.T @ hb, (wa * wa).T @ hb, (wa * xa).T @ hb, wa.T @ xb, (wa * xa).T @ xb]
+        other = [ha.T @ wb, ha.T @ (wb * wb), ha.T @ (wb * xb), xa.T @ wb, xa.T @ (wb * xb)]
+        sums = {"n": n[i, j], "s22": ((xa * xa).T @ (xb * xb))[i, j]}
+        sums |= {c: np.where(turned, o[i, j], f[i, j]) for c, f, o in zip(names[1:6], first, other)}
+        found = pd.DataFrame({"i": np.minimum(one, two), "j": np.maximum(one, two)} | {c: sums[c] for c in names})
+        for at, k in enumerate(keys):
+            found.insert(at, k, rows[k].iat[0])
+        return found
+
+    kinds = {f.name: f.dataType.simpleString() for f in returns.schema}
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "i string, j string", *(f"{c} double" for c in names)])
+    parts = rows.groupBy(*keys, "p", "q", "span").applyInPandas(multiply, schema)
+    return parts.groupBy(*keys, "i", "j").agg(*(F.sum(c).alias(c) for c in names)).withColumn("n", F.col("n").cast("long"))
+
+
 def with_correlation(cov: DataFrame, keys: list[str]) -> DataFrame:
     var = cov.where("i = j")
     out = cov.join(var.select(*keys, "i", F.col("cov").alias("vi")), [*keys, "i"]).join(var.select(*keys, F.col("j"), F.col("cov").alias("vj")), [*keys, "j"])
@@ -59,9 +103,7 @@ def sample(returns: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B006
 
 def weighted(returns: DataFrame, weight: str, keys: list[str] = []) -> DataFrame:  # noqa: B006
     """Weights normalised to one, corrected by 1 - sum of their squares."""
-    p = pairs(returns, keys, (weight,))
-    w, x, y = F.col(weight), F.col("x"), F.col("y")
-    s = p.groupBy(*keys, "i", "j").agg(F.sum(w).alias("s"), F.sum(w * w).alias("ss"), F.sum(w * x).alias("sx"), F.sum(w * y).alias("sy"), F.sum(w * x * y).alias("sxy"))
+    s = block_moments(returns, keys, weight)
     cov = (F.col("sxy") / F.col("s") - F.col("sx") * F.col("sy") / F.col("s") ** 2) / (1 - F.col("ss") / F.col("s") ** 2)
     return s.select(*keys, "i", "j", cov.alias("cov"))
 
@@ -90,9 +132,8 @@ def shrunk(returns: DataFrame, keys: list[str] = [], standardise: bool = False)
     """
     own = Window.partitionBy(*keys, "asset")
     centred = F.col("r") - F.avg("r").over(own)
-    p = pairs(returns.withColumn("r", centred / F.stddev_samp("r").over(own) if standardise else centred), keys)
-    s = p.groupBy(*keys, "i", "j").agg(F.avg(F.col("x") * F.col("y")).alias("s"), F.avg((F.col("x") * F.col("y")) ** 2).alias("s4"), F.count("*").alias("n"))
-    out = shrink(s, keys)
+    s = block_moments(returns.withColumn("r", centred / F.stddev_samp("r").over(own) if standardise else centred), keys)
+    out = shrink(s.select(*keys, "i", "j", (F.col("sxy") / F.col("n")).alias("s"), (F.col("s22") / F.col("n")).alias("s4"), "n"), keys)
     if not standardise:
         return out
     vol = returns.groupBy(*keys, "asset").agg(F.stddev_samp("r").alias("vol"))

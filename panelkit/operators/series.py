@@ -184,9 +184,32 @@ def calendar_window(days: int, *keys: str) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(F.unix_date("date")).rangeBetween(1 - days, 0)
 
 
-def rolling_correlation(x: str, y: str, days: int, *keys: str) -> Column:
-    """K9: over a calendar window that ends with the row's day."""
-    return F.corr(x, y).over(calendar_window(days, *keys))
+def rolling_correlations(df: DataFrame, x: str, y: str, days: int, keys: list[str], least: int = 2, name: str = "corr") -> DataFrame:
+    """K9: df with the correlation over the calendar window of so many days that ends with the row's; null under `least` pairs
+    or where one side is constant.
+
+    A frame isn't summed up again for each row: sums from the start on are running values, and those at the frame's left end are
+    the last ones before it, found by sorting all left ends among the rows. Both passes only move forward, so the work is linear
+    in rows, whatever the window's length. Values are centred by series first, so that differences of sums keep their digits.
+    """
+    means = df.groupBy(*keys).agg(F.avg(x).alias("_mx"), F.avg(y).alias("_my"))
+    a, b = F.col(x) - F.col("_mx"), F.col(y) - F.col("_my")
+    both = a.isNotNull() & b.isNotNull()
+    parts = {"n": F.lit(1.0), "x": a, "y": b, "xx": a * a, "yy": b * b, "xy": a * b}
+    day = F.unix_date("date")
+    upto = Window.partitionBy(*keys).orderBy(day).rangeBetween(Window.unboundedPreceding, 0)
+    sums = F.struct(*(F.coalesce(F.sum(F.when(both, v)).over(upto), F.lit(0.0)).alias(k) for k, v in parts.items()))
+    rows = df.join(means, keys).withColumn("_sums", sums)
+    ends = rows.select(*keys, (day - days).alias("_day"), F.lit(1).alias("_kind"), F.lit(None).cast(rows.schema["_sums"].dataType).alias("_left"), F.struct(*(F.col(c) for c in df.columns), "_sums").alias("_row"))
+    sources = rows.select(*keys, day.alias("_day"), F.lit(0).alias("_kind"), F.col("_sums").alias("_left"), F.lit(None).cast(ends.schema["_row"].dataType).alias("_row"))
+    before = Window.partitionBy(*keys).orderBy("_day", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    every = sources.union(ends).withColumn("_left", F.last("_left", ignorenulls=True).over(before)).where("_kind = 1")
+    part = lambda k: F.col(f"_row._sums.{k}") - F.coalesce(F.col(f"_left.{k}"), F.lit(0.0))
+    n, scale = part("n"), lambda k: F.col(f"_row._sums.{k}")
+    vx, vy = part("xx") - part("x") ** 2 / n, part("yy") - part("y") ** 2 / n
+    moves = (n >= least) & (vx > 1e-13 * scale("xx")) & (vy > 1e-13 * scale("yy"))
+    corr = F.when(moves, (part("xy") - part("x") * part("y") / n) / F.sqrt(F.when(moves, vx * vy)))
+    return every.select(*(F.col(f"_row.{c}").alias(c) for c in df.columns), corr.alias(name))
 
 
 def stacked(parts: dict[str, DataFrame], name: str) -> DataFrame:

@@ -14,6 +14,8 @@ from panelkit.functions import columns as C
 from panelkit.operators import covariance as V
 from panelkit.operators import risk as R
 from panelkit.operators import series as S
+from panelkit.operators import spectrum as E
+from panelkit.operators.staging import staged
 from panelkit.plans.registry import query
 from panelkit.plans.tables import SQL_daily, SQL_returns, daily, returns
 
@@ -157,12 +159,41 @@ def b19_a25_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.all_distances(estimators(spark, sf_dir), "estimator")
 
 
-@query()
-def b19_a25_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Condition number of each estimator, the denoised one (A24) among them; eigenvalues are beyond SQL."""
-    e = estimators(spark, sf_dir)
-    sample = V.with_correlation(e.where("estimator = 'sample'").select("i", "j", "cov"), [])
+def with_denoised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`estimators` and the sample covariance with its correlation denoised."""
+    e = staged(estimators(spark, sf_dir))
+    sample = staged(V.with_correlation(e.where("estimator = 'sample'").select("i", "j", "cov"), []))
     n = returns(spark, sf_dir, "l_returnflag", "month").select("date").distinct().count()
-    clean = V.denoise(sample.select(F.lit("denoised").alias("estimator"), "i", "j", "corr"), "estimator", n)
+    clean = E.denoise(E.matrix(sample, "corr"), n).rows(sample)
     vol = sample.where("i = j").select(F.col("i").alias("asset"), F.sqrt("cov").alias("vol"))
-    return V.condition_number(e.unionByName(V.mixed(clean, vol, []).withColumn("estimator", F.lit("denoised"))), "estimator")
+    return e.unionByName(V.mixed(clean, vol, []).withColumn("estimator", F.lit("denoised")))
+
+
+@query()
+def b19_a25_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Condition number of each estimator, the denoised one among them; eigenvalues are beyond SQL."""
+    e = staged(with_denoised(spark, sf_dir))
+    names = sorted(r[0] for r in e.select("estimator").distinct().collect())  # a few estimators
+    rows = []
+    for name in names:
+        m = E.matrix(e.where(F.col("estimator") == name))
+        rows.append((name, E.condition(m.product, len(m.names))))
+    return spark.createDataFrame(rows, "estimator string, condition double")
+
+
+@query()
+def b19_all_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frobenius distances of all pairs of the five estimators."""
+    return V.all_distances(staged(with_denoised(spark, sf_dir)), "estimator")
+
+
+@query()
+def a24_one_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All suppliers' monthly returns as one panel: eigenvalues over the random-matrix edge, their largest and sum, the mean of the
+    others, and the condition number of the denoised correlation. The matrix is in no task and not on the driver."""
+    r = staged(returns(spark, sf_dir, "l_suppkey", "month"))
+    corr = staged(V.with_correlation(V.blocked(r).select("i", "j", "cov"), []).select("i", "j", "corr"))
+    clean = E.denoise(E.matrix(corr, "corr"), r.select("date").distinct().count())
+    low, high = E.extremes(clean.product, len(clean.names))
+    row = (len(clean.names), len(clean.values), float(clean.values.max(initial=0.0)), float(clean.values.sum()), clean.rest, high / low)
+    return spark.createDataFrame([row], "n_assets int, n_above int, largest double, sum_above double, rest double, condition double")

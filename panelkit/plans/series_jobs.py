@@ -226,8 +226,7 @@ def k8_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 def k9_rolling_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = returns(spark, sf_dir)
     p = r.where("asset = 'A'").select("date", F.col("r").alias("x")).join(r.where("asset = 'N'").select("date", F.col("r").alias("y")), "date").withColumn("part", (F.year("date") % 2).cast("long"))
-    n = F.count("*").over(Window.partitionBy("part").orderBy(F.unix_date("date")).rangeBetween(-364, 0))
-    return p.select("date", "part", F.when(n >= 30, S.rolling_correlation("x", "y", 365, "part")).alias("corr")).where("corr is not null")
+    return S.rolling_correlations(p, "x", "y", 365, ["part"], 30).select("date", "part", "corr").where("corr is not null")
 
 
 @query(

@@ -190,5 +190,4 @@ def k9_three_samplings(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = {"day": returns(spark, sf_dir), "week": returns(spark, sf_dir, "l_returnflag", "week"), "quarter": quarter.select("asset", "date", "r")}
     r = S.stacked({k: v for k, v in parts.items()}, "freq")
     p = r.groupBy("freq", "date").agg(F.max(F.when(F.col("asset") == "A", F.col("r"))).alias("x"), F.max(F.when(F.col("asset") == "N", F.col("r"))).alias("y")).where("x is not null and y is not null")
-    n = F.count("*").over(S.calendar_window(3650, "freq"))
-    return p.select("freq", "date", F.when(n >= 8, S.rolling_correlation("x", "y", 3650, "freq")).alias("corr")).where("corr is not null")
+    return S.rolling_correlations(p, "x", "y", 3650, ["freq"], 8).select("freq", "date", "corr").where("corr is not null")

@@ -5,9 +5,11 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from panelkit.operators import covariance as V
 from panelkit.operators import ordered as O
 from panelkit.operators import search as X
 from panelkit.operators import series as S
+from panelkit.operators import spectrum as E
 from panelkit.operators import tails as T
 from panelkit.plans import scenario_study
 
@@ -86,3 +88,58 @@ def test_search_is_as_good_as_a_full_lattice_on_four_assets(spark):
         for t in levels[:-1]:
             mine, best = values[m][values["expected"] >= t - 1e-12].min(), every[m][every["expected"] >= t - 1e-12].min()
             assert mine <= best + 0.02 * abs(best), (m, t, mine, best)
+
+
+@pytest.mark.parametrize("days,least", [(10, 2), (40, 5)])
+def test_rolling_correlation_equals_a_window_each(spark, days, least):
+    import datetime
+
+    rng = np.random.default_rng(days)
+    rows = [("ab"[k % 2], datetime.date(2020, 1, 1) + datetime.timedelta(int(d)), None if rng.random() < 0.1 else 1e3 + float(rng.normal()), float(rng.normal()) if d < 60 else 1.0) for k in range(2) for d in np.sort(rng.choice(120, 70, replace=False))]
+    found = {(r.k, r.date): r.corr for r in S.rolling_correlations(spark.createDataFrame(rows, "k string, date date, x double, y double"), "x", "y", days, ["k"], least).collect()}
+    assert len(found) == len(rows)
+    for k, d, _, _ in rows:
+        near = [(x, y) for kk, dd, x, y in rows if kk == k and 0 <= (d - dd).days < days and x is not None]
+        if len(near) < least or len({y for _, y in near}) == 1:
+            assert found[k, d] is None
+        else:
+            assert abs(found[k, d] - np.corrcoef(np.array(near).T)[0, 1]) < 1e-8
+
+
+def correlated(assets, dates, seed):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(dates, assets))
+    x[:, : assets // 3] += 1.5 * rng.normal(size=(dates, 1))
+    return np.corrcoef(x, rowvar=False)
+
+
+@pytest.mark.parametrize("assets", [5, 40])
+def test_eigenvalues_by_products(spark, monkeypatch, assets):
+    monkeypatch.setattr(E, "WIDTH", 4)
+    c = correlated(assets, 60, assets)
+    names = [f"a{k:02d}" for k in range(assets)]
+    df = spark.createDataFrame([(names[i], names[j], float(c[i, j])) for i in range(assets) for j in range(i, assets)], "i string, j string, corr double")
+    m = E.matrix(df, "corr")
+    values, vectors = np.linalg.eigh(c)
+    assert m.names == names and np.allclose(E.extremes(m.product, assets), values[[0, -1]]) and np.isclose(m.trace, assets)
+    edge = (1 + np.sqrt(assets / 60)) ** 2
+    clean = vectors @ np.diag(np.where(values < edge, values[values < edge].mean(), values)) @ vectors.T
+    clean /= np.sqrt(np.outer(np.diag(clean), np.diag(clean)))
+    d = E.denoise(m, 60)
+    assert np.allclose(d.product(np.eye(assets)), clean, atol=1e-9) and np.isclose(E.condition(d.product, assets), np.linalg.cond(clean))
+    assert all(abs(r.corr - clean[names.index(r.i), names.index(r.j)]) < 1e-9 for r in d.rows(df).collect())
+
+
+def test_moments_by_blocks(spark):
+    import datetime
+
+    rng = np.random.default_rng(2)
+    rows = [("pq"[g], f"a{i}", datetime.date(2000, 1, 1) + datetime.timedelta(300 * d), float(rng.normal()), float(rng.random())) for g in range(2) for i in range(9) for d in range(30) if rng.random() < 0.8]
+    df = spark.createDataFrame(rows, "g string, asset string, date date, r double, w double")
+    found = {(r.g, r.i, r.j): r for r in V.block_moments(df, ["g"], "w", size=3).collect()}
+    assert len(found) == 90
+    for (g, i, j), r in found.items():
+        of = lambda a: {d: (x, w) for gg, aa, d, x, w in rows if (gg, aa) == (g, a)}
+        one, two = of(i), of(j)
+        x, y, w = (np.array([f(d) for d in sorted(set(one) & set(two))]) for f in (lambda d: one[d][0], lambda d: two[d][0], lambda d: one[d][1]))
+        assert i <= j and r.n == len(x) and np.allclose([r.s, r.ss, r.sx, r.sy, r.sxy, r.s22], [w.sum(), (w * w).sum(), (w * x).sum(), (w * y).sum(), (w * x * y).sum(), ((x * y) ** 2).sum()])
