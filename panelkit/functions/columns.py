@@ -83,6 +83,13 @@ def country_key(c: str | Column, aliases: Mapping[str, str] = COUNTRY_ALIASES) -
     return label_value(x, aliases, x)
 
 
+def name_key(c: str | Column) -> Column:
+    """C4: a name's words as a string that equals others by their letters alone (collation UNICODE_CI_AI): case, accents, combining
+    marks, ligatures and full-width forms make no difference in joins and groups on it."""
+    words = F.regexp_replace(F.regexp_replace(col(c), "[&\uFF06]", " and "), r"[^\p{L}\p{N}\p{M}]+", " ")
+    return F.collate(F.trim(words), "UNICODE_CI_AI")
+
+
 def label_value(c: str | Column, values: Mapping[str, object], default) -> Column:
     """The value of a label, the default for others and for null."""
     pairs = F.create_map(*(F.lit(v) for kv in values.items() for v in kv))

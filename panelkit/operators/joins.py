@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from panelkit.functions.columns import country_key
+from panelkit.functions.columns import COUNTRY_ALIASES, country_key, name_key
 
 
 def next_period(rebalances: DataFrame, daily: DataFrame, key: str = "asset") -> DataFrame:
@@ -90,12 +90,20 @@ def require(df: DataFrame, wanted: Sequence[str], column: str | None = None, kno
     return df
 
 
-def on_name(left: DataFrame, right: DataFrame, left_name: str, right_name: str) -> DataFrame:
-    """Left with the columns of right whose normalised names are the same; the first of right's rows of one name."""
-    keyed = right.withColumn("name_key", country_key(right_name)).drop(right_name)
-    others = [c for c in keyed.columns if c != "name_key"]
-    keyed = keyed.groupBy("name_key").agg(F.min(F.struct(*others)).alias("x")).select("name_key", "x.*")
-    return left.withColumn("name_key", country_key(left_name)).join(keyed, "name_key", "left")
+def _called(df: DataFrame, name: str, aliases: Mapping[str, str]) -> DataFrame:
+    """df with _called: the name by its letters, or what its alias stands for."""
+    known = df.sparkSession.createDataFrame(list(aliases.items()), "_spelled string, _meant string").select(name_key("_spelled").alias("_spelled"), "_meant")
+    keyed = df.withColumn("_called", name_key(name)).join(F.broadcast(known), F.col("_called") == F.col("_spelled"), "left")  # parameters
+    return keyed.withColumn("_called", F.when(F.col("_meant").isNotNull(), name_key("_meant")).otherwise(F.col("_called"))).drop("_spelled", "_meant")
+
+
+def on_name(left: DataFrame, right: DataFrame, left_name: str, right_name: str, aliases: Mapping[str, str] = COUNTRY_ALIASES) -> DataFrame:
+    """Left with the columns of right whose names are the same by their letters, or by an alias; the first of right's rows of
+    one name. name_key has the name of left in plain words."""
+    others = [c for c in right.columns if c != right_name]
+    keyed = _called(right, right_name, aliases).where("_called is not null").groupBy("_called").agg(F.min(F.struct(*others)).alias("_x")).select("_called", "_x.*")
+    named = _called(left.withColumn("name_key", country_key(left_name, aliases)), left_name, aliases)
+    return named.join(keyed, "_called", "left").select("name_key", *(c for c in (*left.columns, *others)))
 
 
 def side_by_side(df: DataFrame, keys: Sequence[str], part: str, names: tuple[str, str], values: Sequence[str]) -> DataFrame:

@@ -15,10 +15,11 @@ from pyspark.sql.window import Window
 from panelkit.functions import columns as C
 from panelkit.operators import joins as J
 from panelkit.operators import risk as R
+from panelkit.operators import scenario_chain as K
 from panelkit.operators import search as X
 from panelkit.operators import tails as T
 from panelkit.operators.staging import staged
-from panelkit.plans.registry import query
+from panelkit.plans.registry import query, read
 from panelkit.plans.tables import SQL_lattice, SQL_scenarios, dirichlet_candidates, lattice, scenarios
 
 BENCH = (0.3, 0.3, 0.2, 0.2)
@@ -260,3 +261,43 @@ def b8_nine_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
             x = [float(values[m][found[0]]) for m in ("expected", "cvar_full", "te_full", "turnover", "l2")] + [c.weights[found[0]].tolist()] if len(found) else [None] * 6
             rows.append((*point, a, "optimal" if len(found) else "infeasible", *x, int(fits(values, *point, a).sum())))
     return spark.createDataFrame(rows, "risk_factor double, te_limit double, turnover_limit double, architecture string, status string, expected double, cvar double, te double, turnover double, l2 double, weights array<double>, n_fit int")
+
+
+# ---- B18: driver paths to terminal returns, checked on the way ----
+_PATHS = "SELECT l_suppkey AS scen_id, l_returnflag AS asset, ln(1 + (l_discount - l_tax) / 10) AS log_ret, row_number() OVER (PARTITION BY l_suppkey, l_returnflag ORDER BY l_shipdate, l_orderkey, l_linenumber) AS month FROM lineitem"
+_CHANCES = "SELECT s_suppkey AS scen_id, abs(s_acctbal) / sum(abs(s_acctbal)) OVER () AS p FROM supplier"
+HORIZONS = (12, 36, 60)
+
+
+def driver_paths(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A scenario for each supplier with three drivers, a month for each line, and the scenarios' probabilities."""
+    order = Window.partitionBy("l_suppkey", "l_returnflag").orderBy("l_shipdate", "l_orderkey", "l_linenumber")
+    line = read(spark, sf_dir, "lineitem")
+    paths = line.select(F.col("l_suppkey").alias("scen_id"), F.col("l_returnflag").alias("asset"), F.log1p((F.col("l_discount") - F.col("l_tax")) / 10).alias("log_ret"), F.row_number().over(order).alias("month"))
+    s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("scen_id"), F.abs("s_acctbal").alias("m"))
+    total = s.agg(F.sum("m").alias("total"))
+    return paths, s.join(F.broadcast(total)).select("scen_id", (F.col("m") / F.col("total")).alias("p"))  # one row
+
+
+@query(
+    f"""WITH r AS ({_PATHS}), fx AS (SELECT scen_id, month, log_ret AS rate FROM r WHERE asset = 'N'), c AS (SELECT scen_id, asset, month, CASE WHEN asset = 'R' THEN log_ret - rate ELSE log_ret END AS x FROM r JOIN fx USING (scen_id, month) WHERE asset <> 'N' AND month <= {max(HORIZONS)})
+    SELECT scen_id, asset, p, {', '.join(f'exp(sum(x) FILTER (month <= {h})) - 1 AS ret_{h}, exp(sum(x) FILTER (month <= {h}) * 12 / {h}) - 1 AS yearly_{h}' for h in HORIZONS)} FROM c JOIN ({_CHANCES}) USING (scen_id) GROUP BY ALL""",
+    " ".join(["p", *(f"{k}_{h}" for h in HORIZONS for k in ("ret", "yearly"))]),
+)
+def b18_terminal_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FX mapping, paths of 60 months, terminal and yearly returns over one, three and five years; a broken rule is an error."""
+    paths, p = driver_paths(spark, sf_dir)
+    found, counts = K.terminal_returns(paths.where(F.col("month") <= max(HORIZONS)), p, "N", {"R"}, HORIZONS)
+    K.require(counts)
+    return found
+
+
+@query(
+    f"""WITH r AS ({_PATHS}), k AS (SELECT scen_id, asset, max(month) AS n FROM r GROUP BY ALL) SELECT unnest(['broken_paths', 'months_outside', 'negative_p', 'not_finite', 'p_not_finite', 'sum_not_one', 'without_p', 'without_rate']) AS rule,
+    unnest([(SELECT count(*) FROM k WHERE asset <> 'N' AND n <> 24), (SELECT count(*) FROM r WHERE month > 24), 0, 0, 0, 0, 0, (SELECT count(*) FROM r LEFT JOIN (SELECT scen_id, n FROM k WHERE asset = 'N') f USING (scen_id) WHERE asset <> 'N' AND month > coalesce(n, 0))])::BIGINT AS n"""
+)
+def b18_broken_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the chain says of whole paths if they should have 24 months: a count for each rule."""
+    paths, p = driver_paths(spark, sf_dir)
+    _, counts = K.terminal_returns(paths, p, "N", {"R"}, (12, 24))
+    return spark.createDataFrame(sorted(counts.items()), "rule string, n long")

@@ -114,6 +114,20 @@ def j3_j4_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.join(names, "n_nationkey", "left").select(F.coalesce("name", "market").alias("name"), "name_key", "n", "cap", "erp")
 
 
+@query("SELECT n_name AS name, n_nationkey AS a, n_nationkey AS b, n_nationkey AS c FROM nation")
+def c4_j3_names_by_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names in full-width capitals, with combining marks and with ligatures meet the plain ones."""
+    nation = read(spark, sf_dir, "nation")
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    wide = F.translate("n_name", letters + "_", "".join(chr(0xFEE0 + ord(x)) for x in letters) + "\uff3f")
+    marked = F.regexp_replace(F.lower("n_name"), "([aeiou])", "$1\u0301")
+    joined = F.regexp_replace(F.regexp_replace(F.initcap(F.lower("n_name")), "fi", "\ufb01"), "st", "\ufb06")
+    out = nation.select(F.col("n_name").alias("name"))
+    for column, spelled in (("a", wide), ("b", marked), ("c", joined)):
+        out = J.on_name(out, nation.select(spelled.alias("spelled"), F.col("n_nationkey").alias(column)), "name", "spelled").drop("name_key")
+    return out
+
+
 _SIX = "l_returnflag AS f, l_linestatus AS s, year(l_shipdate)::INT AS y, month(l_shipdate)::INT AS m, round(l_discount * 100)::INT AS d, round(l_tax * 100)::INT AS t"
 
 
