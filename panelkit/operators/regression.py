@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+MOST_GROUPS = 100_000  # their coefficients come to the driver
+
+
 @dataclass(frozen=True)
 class Spec:
     """What is explained by what; whether a value under the fitted one is attractive."""
@@ -32,25 +35,34 @@ def regress_suite(df: DataFrame, specs: Sequence[Spec], by: str) -> tuple[DataFr
         used = F.lit(True)
         for c in (s.target, *s.predictors):
             used = used & F.col(c).isNotNull()
-        terms = [F.lit(1.0), *(F.col(c).cast("double") for c in (*s.predictors, s.target))]
+        terms = [F.when(used, F.col(c).cast("double")) for c in (*s.predictors, s.target)]
         cells = [(i, j) for i in range(len(terms)) for j in range(i, len(terms))]
-        sums += [F.sum(F.when(used, terms[i] * terms[j])) for i, j in cells]
+        sums += [F.count(terms[0]), *map(F.avg, terms), *(F.covar_pop(terms[i], terms[j]) for i, j in cells)]  # centred as they are summed up
         layout.append((s, len(terms), cells))
+    groups = df.groupBy(by).agg(*(x.alias(f"_{k}") for k, x in enumerate(sums))).limit(MOST_GROUPS + 1).collect()
+    if len(groups) > MOST_GROUPS:
+        raise ValueError(f"{by} has more than {MOST_GROUPS} groups")
     fits, summary = [], []
-    for row in df.groupBy(by).agg(*(x.alias(f"_{k}") for k, x in enumerate(sums))).collect():  # a row for each group
+    for row in groups:
         at, fit = 1, [row[0]]
         for s, size, cells in layout:
+            n, mean = row[at], np.array([x if x is not None else np.nan for x in row[at + 1 : at + 1 + size]])
+            at += 1 + size
             m = np.zeros((size, size))
             for (i, j), v in zip(cells, row[at : at + len(cells)]):
                 m[i, j] = m[j, i] = v or 0.0
             at += len(cells)
-            n = m[0, 0]
-            beta = np.linalg.lstsq(m[:-1, :-1], m[:-1, -1], rcond=1e-14)[0] if n else np.full(size - 1, np.nan)
-            left = max(0.0, float(m[-1, -1] - beta @ m[:-1, -1])) if n else np.nan
-            total = float(m[-1, -1] - m[0, -1] ** 2 / n) if n else np.nan
-            fit += [*map(float, beta), float(np.sqrt(left / n)) if n else None]
+            # solved in units of each column's deviation; a constant column explains nothing
+            sd = np.sqrt(np.diag(m))
+            moves = sd[:-1] > 1e-12 * np.abs(mean[:-1])
+            unit = np.where(moves, sd[:-1], 1.0)
+            r = np.where(np.outer(moves, moves), m[:-1, :-1] / np.outer(unit, unit), 0.0)
+            slope = np.where(moves, np.linalg.lstsq(r, np.where(moves, m[:-1, -1] / unit, 0.0), rcond=1e-10)[0] / unit, 0.0) if n else np.full(size - 1, np.nan)
+            beta = np.concatenate([[mean[-1] - slope @ mean[:-1]], slope])
+            left = max(0.0, float(m[-1, -1] - 2 * slope @ m[:-1, -1] + slope @ m[:-1, :-1] @ slope)) if n else np.nan
+            fit += [*map(float, beta), float(np.sqrt(left)) if n else None]
             names = ("intercept", *s.predictors)
-            summary.append((row[0], s.name, int(n), float(1 - left / total) if n and total > 0 else None, {k: float(b) for k, b in zip(names, beta)} if n else {}))
+            summary.append((row[0], s.name, int(n), float(1 - left / m[-1, -1]) if n and m[-1, -1] > 0 else None, {k: float(b) for k, b in zip(names, beta)} if n else {}))
         fits.append([None if isinstance(v, float) and np.isnan(v) else v for v in fit])
     spark, kind = df.sparkSession, df.schema[by].dataType.simpleString()
     columns = [f"`{by}` {kind}"] + [f"{s.name}_b{k} double" for s in specs for k in range(len(s.predictors) + 1)]
@@ -80,3 +92,23 @@ def fitted_sql(table: str, key: str, by: str, y: str, xs: Sequence[str]) -> str:
         sql = f"SELECT * REPLACE ({less} AS u{k}) FROM ({sql}) WINDOW p AS (PARTITION BY {by})"
     part = " + ".join(f"coalesce(sum(v * u{k}) OVER p / nullif(sum(u{k} * u{k}) OVER p, 0), 0) * u{k}" for k in range(len(xs)))
     return f"SELECT {key}, {by}, y, avg_y, avg_y + f AS fitted, v - f AS residual FROM (SELECT *, {part} AS f FROM ({sql}) WINDOW p AS (PARTITION BY {by}))"
+
+
+def coefficients_sql(table: str, by: str, y: str, xs: Sequence[str]) -> str:
+    """SQL for by, predictor, coefficient: the last of predictors that are made orthogonal has its own coefficient, so each of them
+    is the last one once."""
+    used = " AND ".join(f"{c} IS NOT NULL" for c in (y, *xs))
+    parts = []
+    for last in range(len(xs)):
+        order = [x for k, x in enumerate(xs) if k != last] + [xs[last]]
+        centred = ", ".join(f"{x} - avg({x}) OVER p AS u{k}" for k, x in enumerate(order))
+        sql = f"SELECT {by}, {y} - avg({y}) OVER p AS v, {centred} FROM {table} WHERE {used} WINDOW p AS (PARTITION BY {by})"
+        for k in range(1, len(order)):
+            less = " - ".join([f"u{k}", *(f"coalesce(sum(u{k} * u{j}) OVER p / nullif(sum(u{j} * u{j}) OVER p, 0), 0) * u{j}" for j in range(k))])
+            sql = f"SELECT * REPLACE ({less} AS u{k}) FROM ({sql}) WINDOW p AS (PARTITION BY {by})"
+        u = f"u{len(order) - 1}"
+        parts.append(f"SELECT {by}, '{xs[last]}' AS predictor, coalesce(sum(v * {u}) / nullif(sum({u} * {u}), 0), 0) AS coefficient FROM ({sql}) GROUP BY 1")
+    slopes = " UNION ALL ".join(parts)
+    means = f"SELECT {by}, avg({y}) AS my, {', '.join(f'avg({x}) AS m_{x}' for x in xs)} FROM {table} WHERE {used} GROUP BY 1"
+    at = " ".join(f"WHEN '{x}' THEN m_{x}" for x in xs)
+    return f"SELECT * FROM ({slopes}) UNION ALL SELECT {by}, 'intercept', any_value(my) - sum(coefficient * CASE predictor {at} END) FROM ({slopes}) JOIN ({means}) USING ({by}) GROUP BY 1"

@@ -132,6 +132,21 @@ def b5_estimators_of_fixed_weights(spark: SparkSession, sf_dir: str) -> DataFram
     return pv.join(rv, "month").withColumn("ale", F.abs(F.log(F.greatest("rv", F.lit(1e-12)) / F.greatest("pv", F.lit(1e-12)))))
 
 
+@query(
+    f"""WITH px AS ({SQL_daily()}), r AS (SELECT asset, close / lag(close) OVER (PARTITION BY asset ORDER BY date) - 1 AS r FROM px WHERE date IN (SELECT date FROM px GROUP BY 1 HAVING count(*) = 3)), m AS (SELECT avg(r) FILTER (asset = 'A') AS a, avg(r) FILTER (asset = 'N') AS n, avg(r) FILTER (asset = 'R') AS x FROM r),
+    c AS (SELECT (i * 11 + j)::VARCHAR AS portfolio, [i / 10.0, j / 10.0, (10 - i - j) / 10.0]::DOUBLE[] AS w FROM range(11) t(i), range(11) u(j) WHERE i + j <= 10 AND greatest(i, j, 10 - i - j) <= 6 UNION ALL SELECT 'equal', [1 / 3, 1 / 3, 1 / 3]::DOUBLE[] UNION ALL SELECT 'fixed', [0.6, 0.4, 0.0]::DOUBLE[])
+    SELECT portfolio, w[1] * a + w[2] * n + w[3] * x AS expected FROM c, m""",
+    "expected",
+)
+def a41_expected_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected return of every candidate and of both baselines, the product of weights and mean returns."""
+    px = S.complete_dates(daily(spark, sf_dir))
+    mean = px.withColumn("r", S.change("close", S.by("asset"))).groupBy().pivot("asset", list(ASSETS)).agg(F.avg("r"))
+    fixed = [("equal", [1 / len(ASSETS)] * len(ASSETS)), ("fixed", [MIX.get(a, 0.0) for a in ASSETS])]
+    weights = candidate_weights(spark).select(F.col("cand").cast("string").alias("portfolio"), "w").union(spark.createDataFrame(fixed, "portfolio string, w array<double>"))
+    return weights.join(F.broadcast(mean.select(F.array(*ASSETS).alias("mean")))).select("portfolio", R.dot("w", "mean").alias("expected"))  # one row
+
+
 # ---- A20, A25, B19: estimators of one panel ----
 _R3 = f"SELECT * FROM ({SQL_returns('l_returnflag', 'month')})"
 SQL_estimators = f"""WITH r AS ({_R3}), z AS (SELECT asset, date, r, (r - avg(r) OVER p) / stddev_samp(r) OVER p AS u, r - avg(r) OVER p AS c, row_number() OVER (PARTITION BY asset ORDER BY date) - count(*) OVER p AS back FROM r WINDOW p AS (PARTITION BY asset)), g AS (SELECT *, u - avg(u) OVER (PARTITION BY asset) AS d, exp(ln(2) / 12 * back) AS w FROM z),

@@ -263,13 +263,19 @@ def b11_j12_signal_study(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---- B15: forecasts merged with a prior ----
+MOST_PAIRS = 500_000  # of assets of a prior, which comes to the driver
+
+
 def merge_forecasts(prior: DataFrame, views: DataFrame, key: str = "scenario") -> DataFrame:
     """Posterior mean and variance of each scenario's assets. prior: i, j, cov, mu (mean of i); views: key, exposures (map),
     forecast, vol. One small Gaussian update for each scenario, scenarios in parallel."""
-    names = [r[0] for r in prior.select("i").union(prior.select("j")).distinct().orderBy("i").collect()]  # the assets of one matrix
+    rows = prior.limit(MOST_PAIRS + 1).collect()
+    if len(rows) > MOST_PAIRS:
+        raise ValueError(f"the prior has more than {MOST_PAIRS} pairs of assets")
+    names = sorted({a for r in rows for a in (r["i"], r["j"])})
     at = {a: k for k, a in enumerate(names)}
     sigma, mu = np.zeros((len(names), len(names))), np.zeros(len(names))
-    for r in prior.collect():
+    for r in rows:
         sigma[at[r["i"]], at[r["j"]]] = sigma[at[r["j"]], at[r["i"]]] = r["cov"]
         if r["i"] == r["j"]:
             mu[at[r["i"]]] = r["mu"]

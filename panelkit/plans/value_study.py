@@ -13,13 +13,14 @@ from panelkit.operators import merging as G
 from panelkit.operators import regression as Q
 from panelkit.operators import risk as R
 from panelkit.operators import series as S
-from panelkit.plans.registry import query, read
+from panelkit.plans.registry import SQL, query, read
 from panelkit.plans.strategies import score_panel, score_returns
 from panelkit.plans.tables import SQL_daily, SQL_monthly, daily, monthly, weekly, returns
 
 QW = "PARTITION BY asset ORDER BY date"
 
 # ---- K6, A18, B13: scores, regressions and their mix ----
+# Weights of the z-scores of each score.
 FORMULAS = {
     "pe": (("pe", -1.0), ("growth", 0.8), ("payout", 0.4), ("beta", -0.6)),
     "pbv": (("pbv", -1.0), ("roe", 1.0), ("roic", 0.4), ("coe", -0.4)),
@@ -85,7 +86,10 @@ def a18_spec_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.select("region", "spec", "n", "r_squared")
 
 
-@query()
+SQL_coefficients = " UNION ALL ".join(f"SELECT region, '{s.name}' AS spec, predictor, coefficient FROM ({Q.coefficients_sql(f'({SQL_frame})', 'region', s.target, s.predictors)})" for s in SPECS)
+
+
+@query(SQL_coefficients, relative="coefficient")
 def a18_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intercept and coefficients of every region and spec, by predictor."""
     _, summary = Q.regress_suite(frame(spark, sf_dir), SPECS, "region")
@@ -297,7 +301,16 @@ def b7_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---- B2: the strategies' summary with excess ----
-@query()
+SQL_scores_by_date = SQL["b2_score_strategy"].removeprefix("SELECT * REPLACE").partition(" FROM (")[2].removesuffix(")")
+
+
+@query(
+    f"""WITH d AS ({SQL_scores_by_date}), r AS (SELECT date, unnest(['raw', 'enhanced', 'benchmark']) AS portfolio, unnest([raw, enhanced, benchmark]) / 20 AS r, unnest([ceil(n * 0.25), ceil(n * 0.25), n::DOUBLE]) AS names FROM d),
+    c AS (SELECT *, exp(sum(ln(1 + r)) OVER (PARTITION BY portfolio ORDER BY date)) AS wealth FROM r), x AS (SELECT *, wealth / max(wealth) OVER (PARTITION BY portfolio ORDER BY date) - 1 AS dd FROM c),
+    s AS (SELECT portfolio, count(*)::BIGINT AS n, exp(sum(ln(1 + r)) * 12 / count(*)) - 1 AS y, stddev_pop(r) * sqrt(12) AS v, CASE WHEN count(*) FILTER (r < 0) > 1 THEN stddev_pop(r) FILTER (r < 0) ELSE 0 END * sqrt(12) AS low, min(dd) AS m, avg((r > 0)::INT) AS h, avg(names) AS k FROM x GROUP BY 1)
+    SELECT portfolio, n, y AS annual_return, v AS annual_vol, CASE WHEN v > 0 THEN y / v END AS sharpe, low AS downside, m AS max_drawdown, CASE WHEN m < 0 THEN y / -m END AS calmar, h AS hit_rate, k AS avg_names, y - (SELECT y FROM s WHERE portfolio = 'benchmark') AS excess FROM s""",
+    "annual_return annual_vol sharpe downside max_drawdown calmar hit_rate avg_names excess",
+)
 def b2_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Performance of the raw, the enhanced and the benchmark portfolio (a twentieth of the tables' moves), the average number
     of names, and the yearly return over the benchmark's."""
