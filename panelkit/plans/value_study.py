@@ -257,7 +257,7 @@ def b11_live_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- B7: monthly rebalances by variance and by entropy ----
 _CANDS = "SELECT i * 11 + j AS cand, i / 10.0 AS wa, j / 10.0 AS wn, (10 - i - j) / 10.0 AS wr FROM range(11) t(i), range(11) u(j) WHERE i + j <= 10 AND greatest(i, j, 10 - i - j) <= 6"
-WEEKS = 156
+WEEKS, BINS = 156, 20
 SQL_rebalance = f"""WITH px AS (SELECT asset, date + CAST((5 - isodow(date) + 7) % 7 AS INTEGER) AS date, arg_max(close, date) AS close FROM ({SQL_daily()}) GROUP BY 1, 2), r AS (SELECT * FROM (SELECT asset, date, close / lag(close) OVER ({QW}) - 1 AS r FROM px) WHERE r IS NOT NULL),
 w AS (SELECT *, row_number() OVER (ORDER BY date) AS pos, year(date) * 12 + month(date) AS m FROM (SELECT date, max(r) FILTER (asset = 'A') AS a, max(r) FILTER (asset = 'N') AS n, max(r) FILTER (asset = 'R') AS x FROM r GROUP BY 1) WHERE a + n + x IS NOT NULL), c AS ({_CANDS}), e AS (SELECT least(min(a), min(n), min(x)) AS lo, greatest(max(a), max(n), max(x)) AS hi FROM w),
 cal AS (SELECT max(pos) AS pos, m FROM w GROUP BY m HAVING max(pos) >= {WEEKS}), p AS (SELECT cal.m, cand, wa * a + wn * n + wr * x AS p FROM cal JOIN w ON w.pos BETWEEN cal.pos - {WEEKS - 1} AND cal.pos, c), b AS (SELECT m, cand, greatest(0, least(19, floor((p - lo) / ((hi - lo) / 20)))) AS bin, count(*) / {WEEKS}.0 AS q FROM p, e GROUP BY ALL),
@@ -275,11 +275,22 @@ def rebalances(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = panel.withColumn("pos", F.row_number().over(Window.orderBy("date")).cast("long"))  # one row a week
     k = spark.range(121).select(F.floor(F.col("id") / 11).alias("i"), (F.col("id") % 11).alias("j"), F.col("id").alias("cand")).where("i + j <= 10 and greatest(i, j, 10 - i - j) <= 6")
     c = F.broadcast(k.select("cand", F.array(F.col("i") / 10, F.col("j") / 10, (10 - F.col("i") - F.col("j")) / 10).alias("w")))  # parameters
-    ends = panel.groupBy("month").agg(F.max("pos").alias("pos")).where(F.col("pos") >= WEEKS).withColumnRenamed("month", "rebalance")
     row = F.array(*names)
-    p = J.trailing_rows(ends, panel, WEEKS).join(c).select(F.col("rebalance").alias("month"), "cand", R.dot(row, "w").alias("p"))
-    edges = panel.agg(F.min(F.least(*names)), F.max(F.greatest(*names))).first()
-    risks = S.stacked({"variance": p.groupBy("month", "cand").agg(F.var_samp("p").alias("risk")), "entropy": R.histogram_entropy(p, "p", ["month", "cand"], (edges[0], edges[1])).select("month", "cand", F.col("entropy").alias("risk"))}, "method")
+    low, high = panel.agg(F.min(F.least(*names)), F.max(F.greatest(*names))).first()
+    # a week is in the windows of the month ends from its own month on, until that of the week WEEKS later: it is added in one
+    # month and taken off in the other, and running sums by candidate are every window's
+    weeks = panel.withColumn("after", F.lead("month", WEEKS).over(Window.orderBy("pos")))  # one row a week
+    steps = F.array(F.struct("month", F.lit(1).alias("sign")), F.struct(F.col("after").alias("month"), F.lit(-1).alias("sign")))
+    p = weeks.join(c).select("cand", R.dot(row, "w").alias("p"), F.explode(steps).alias("s")).where("s.month is not null")
+    bin_ = F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor((F.col("p") - low) / ((high - low) / BINS))))
+    sums = {"n": F.lit(1), "s1": F.col("p"), "s2": F.col("p") * F.col("p")} | {f"b{k}": (bin_ == k).cast("int") for k in range(BINS)}
+    moved = p.groupBy("cand", F.col("s.month").alias("month")).agg(*(F.sum(v * F.col("s.sign")).alias(k) for k, v in sums.items()))
+    so_far = Window.partitionBy("cand").orderBy("month").rowsBetween(Window.unboundedPreceding, 0)  # one row a month
+    inside = moved.select("cand", "month", *(F.sum(k).over(so_far).alias(k) for k in sums)).where(F.col("n") == WEEKS)
+    q = [F.col(f"b{k}") / WEEKS for k in range(BINS)]
+    entropy = sum((F.when(x > 0, -x * F.log(x)).otherwise(0.0) for x in q[1:]), F.when(q[0] > 0, -q[0] * F.log(q[0])).otherwise(0.0))
+    variance = (F.col("s2") - F.col("s1") * F.col("s1") / WEEKS) / (WEEKS - 1)
+    risks = S.stacked({"variance": inside.select("month", "cand", variance.alias("risk")), "entropy": inside.select("month", "cand", entropy.alias("risk"))}, "method")
     best = risks.groupBy("method", "month").agg(F.min_by("cand", F.struct(F.round("risk", 9), "cand")).alias("cand"), F.min("risk").alias("risk")).join(c, "cand")
     after = best.join(panel.withColumn("month", F.col("month") - 1), "month").withColumn("p", R.dot(row, "w"))
     out = after.groupBy("method", "month", "cand", "w", "risk").agg(R.compound("p").alias("r"))
