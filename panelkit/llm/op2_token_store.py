@@ -301,15 +301,29 @@ def read_digests(spark: SparkSession, path: str, tokenizer: str) -> DataFrame:
 
 
 def read_ids(spark: SparkSession, path: str, tokenizer: str) -> DataFrame:
-    """doc_id, row, ids: the documents' whole id streams, rebuilt from recipes and chunks."""
-    chunks, recipes, _ = _tables(spark, path)
-    used = recipes.select("doc_id", "row", F.posexplode("keys").alias("pos", "key")).join(chunks, "key")
-    listed = used.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(F.struct("pos", "payload"))).alias("chunks"))
+    """doc_id, row, ids: the documents' whole id streams, rebuilt from recipes and chunks.
+
+    A store that has lost recipes is an error here; one that has lost or altered chunks is an error when the rows that need
+    them are read. What comes back is complete.
+    """
+    chunks, recipes, manifest = _tables(spark, path)
+    stored = recipes.groupBy("part").agg(F.sum("n_tokens").alias("stored"))
+    if not manifest.join(stored, "part", "full").where("not (n_tokens <=> stored)").isEmpty():
+        raise ValueError(f"recipes are lost in {path}")
+    used = recipes.select("doc_id", "row", "n_tokens", F.posexplode("keys").alias("pos", "key")).join(chunks, "key", "left")
+    listed = used.groupBy("doc_id", "row", "n_tokens").agg(F.array_sort(F.collect_list(F.struct("pos", "key", "payload"))).alias("chunks"))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = _Encoder.of(tokenizer).width
         for batch in batches:
-            ids = [np.frombuffer(b"".join(c["payload"] for c in chunks), width).astype(np.int32) for chunks in batch.column("chunks").to_pylist()]
+            ids = []
+            for doc_id, n, parts in zip(batch.column("doc_id"), batch.column("n_tokens"), batch.column("chunks")):
+                parts = parts.as_py()  # one document at a time
+                if any(c["payload"] is None or _key(c["payload"]) != c["key"] for c in parts):
+                    raise ValueError(f"a chunk of document {doc_id} is lost or altered")
+                ids.append(np.frombuffer(b"".join(c["payload"] for c in parts), width).astype(np.int32))
+                if len(ids[-1]) != n.as_py():
+                    raise ValueError(f"document {doc_id} has {len(ids[-1])} ids, not {n}")
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "row", "ids"])
 
     return listed.mapInArrow(join, "doc_id long, row long, ids array<int>")

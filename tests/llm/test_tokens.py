@@ -86,6 +86,22 @@ def test_damage_is_found(spark, tmp_path):
             assert not any(r.verified for r in found), "an incomplete store proves nothing"
 
 
+def test_reading_ids_from_a_damaged_store_is_an_error(spark, tmp_path):
+    a = f"{tmp_path}/a"
+    write_store(make_docs(spark, rows()), a, PATH)
+    key = spark.read.parquet(f"{a}/parts/kind=chunk").selectExpr("hex(min(key)) AS k").first().k
+    part = spark.read.parquet(f"{a}/recipes").selectExpr("max(part) AS p").first().p
+    damage = {
+        "chunk": {"without": ("parts/kind=chunk", f"hex(key) <> '{key}'")},
+        "recipe": {"without": ("recipes", f"part <> {part}")},
+        "payload": {"parts__payload": f"CASE WHEN hex(key) = '{key}' THEN cast('zz' AS binary) ELSE payload END"},
+    }
+    for name, how in damage.items():
+        copied(spark, a, f"{tmp_path}/{name}", **how)
+        with pytest.raises(Exception, match="lost|altered"):
+            read_ids(spark, f"{tmp_path}/{name}", PATH).collect()
+
+
 def test_empty_table(spark, tmp_path):
     write_store(make_docs(spark, []), f"{tmp_path}/s", PATH)
     assert read_digests(spark, f"{tmp_path}/s", PATH).collect() == []
