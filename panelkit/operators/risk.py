@@ -78,6 +78,22 @@ def dot(r: str | Column, w: str | Column) -> Column:
     return F.aggregate(F.zip_with(r, w, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def asset_moments(s: DataFrame, n: int, keys: tuple[str, ...] = (), q: str | None = None) -> DataFrame:
+    """keys, mu, cov of scenarios r, one row a group: means and sample covariances, or, with probabilities q, expected values and
+    covariances under them. A candidate's mean and variance are products with these, so candidates never meet scenarios."""
+    x = [F.get("r", F.lit(k)) for k in range(n)]
+    if q is None:
+        return s.groupBy(*keys).agg(F.array(*map(F.avg, x)).alias("mu"), F.array(*(F.array(*(F.covar_samp(a, b) for b in x)) for a in x)).alias("cov"), F.count("*").alias("n"))
+    mean = [F.sum(F.col(q) * a) for a in x]
+    cov = F.array(*(F.array(*(F.sum(F.col(q) * a * b) - mean[i] * mean[j] for j, b in enumerate(x))) for i, a in enumerate(x)))
+    return s.groupBy(*keys).agg(F.array(*mean).alias("mu"), cov.alias("cov"), F.count("*").alias("n"))
+
+
+def variance(w: str = "w", cov: str = "cov") -> Column:
+    """w' S w of an array of weights and one of rows."""
+    return dot(F.transform(cov, lambda row: dot(row, w)), w)
+
+
 def portfolio_losses(scenarios: DataFrame, candidates: DataFrame) -> DataFrame:
     """(cand_id, scen_id, q, loss) of every candidate in every scenario: candidates are a table of parameters."""
     return scenarios.join(candidates).select("cand_id", "scen_id", "q", (-dot("r", "w")).alias("loss"))

@@ -10,6 +10,7 @@ from panelkit.functions import columns as C
 from panelkit.operators import joins as J
 from panelkit.operators import risk as R
 from panelkit.operators import series as S
+from panelkit.operators.staging import staged
 from panelkit.plans.registry import query, read
 from panelkit.plans.tables import SQL_daily, SQL_lattice, SQL_monthly, SQL_returns, SQL_scenarios, daily, lattice, monthly, returns, scenarios
 
@@ -63,7 +64,8 @@ def a30_portfolio_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     gap = F.zip_with("w", F.array(*map(F.lit, BENCH)), lambda x, y: x - y)
     add = lambda xs, f: F.aggregate(F.transform(xs, f), F.lit(0.0), lambda s, x: s + x)
     m = c.select("cand_id", add(gap, F.abs).alias("l1"), F.sqrt(add(gap, lambda x: x * x)).alias("l2"), R.dot("w", "w").alias("hhi")).withColumn("turnover", F.col("l1") / 2)
-    return R.portfolio_losses(scenarios(spark, sf_dir), c).groupBy("cand_id").agg((-F.sum(F.col("q") * F.col("loss"))).alias("expected")).join(m, "cand_id")
+    mean = R.asset_moments(scenarios(spark, sf_dir), 4, q="q").select("mu")
+    return c.join(F.broadcast(mean)).select("cand_id", R.dot("w", "mu").alias("expected")).join(m, "cand_id")  # one row
 
 
 SQL_least_risk = f"""WITH s AS ({SQL_scenarios}), c AS (SELECT cand_id, w FROM ({SQL_lattice}) WHERE list_max(w) <= 0.5),
@@ -73,8 +75,8 @@ x AS (SELECT e.label::INT AS g, cand_id, var_samp(list_dot_product(r, w)) AS v F
 @query(SQL_least_risk, "risk")
 def b7_l5_minimum_risk_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = scenarios(spark, sf_dir).join(read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("scen_id"), F.col("label").cast("int").alias("g")), "scen_id")
-    x = s.join(lattice(spark).where("array_max(w) <= 0.5")).select("g", "cand_id", R.dot("r", "w").alias("p"))  # J10
-    v = x.groupBy("g", "cand_id").agg(F.var_samp("p").alias("v"))
+    groups = R.asset_moments(s, 4, ("g",))
+    v = groups.join(F.broadcast(lattice(spark).where("array_max(w) <= 0.5"))).select("g", "cand_id", R.variance().alias("v"))  # parameters
     return v.groupBy("g").agg(F.min_by("cand_id", F.struct(F.round("v", 12), "cand_id")).alias("cand_id"), (F.min("v") * 1e4).alias("risk"), F.count("*").alias("n"))
 
 
@@ -142,7 +144,7 @@ def j5_l4_c15_keyed_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j11_u5_u6_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The weights of least risk of each group: their pairwise distances, how many pairs of assets they order in opposite
     ways, and how many distinct ones there are after rounding to twelve digits."""
-    y = b7_l5_minimum_risk_by_group(spark, sf_dir).select("g", "cand_id").join(lattice(spark), "cand_id").select("g", "w").cache()
+    y = b7_l5_minimum_risk_by_group(spark, sf_dir).select("g", "cand_id").join(lattice(spark), "cand_id").select("g", "w").transform(staged)
     distinct = y.select(F.transform("w", lambda x: F.round(x, 12)).alias("w")).dropDuplicates(["w"]).agg(F.count("*").alias("n_distinct"))
     pairs = y.select(F.col("g").alias("one"), F.col("w").alias("u")).join(y.select(F.col("g").alias("two"), F.col("w").alias("v")), F.col("one") < F.col("two"))  # a row for each group
     add = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)

@@ -20,7 +20,7 @@ def rounded(df: DataFrame, relative: Sequence[str] = ()) -> DataFrame:
     """Doubles to six digits, moved off decimal ties first, so that the order of additions doesn't show; no negative zeros.
     Those of relative have eight digits after the first one instead, whatever their size."""
     plain = lambda c: F.round(F.col(c) + NUDGE, DIGITS) + 0.0
-    digits = lambda c: F.format_string("%.8e", F.col(c)).cast("double")
+    digits = lambda c: F.format_string("%.8e", F.col(c)).try_cast("double")
     return df.select([(digits(c) if c in relative else plain(c)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 

@@ -11,6 +11,7 @@ from panelkit.operators import covariance as V
 from panelkit.operators import joins as J
 from panelkit.operators import risk as R
 from panelkit.operators import tails as T
+from panelkit.operators.staging import staged
 from panelkit.operators import series as S
 from panelkit.plans.registry import query, read
 from panelkit.plans.tables import SQL_daily, SQL_lattice, SQL_monthly, SQL_returns, SQL_scenarios, SQL_weekly_returns, daily, lattice, monthly, returns, scenarios
@@ -256,10 +257,8 @@ def a39_current_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def j13_l5_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Thirty returns between the candidates' lowest and highest, and the candidate of least deviation that reaches each."""
-    p = scenarios(spark, sf_dir).join(lattice(spark)).select("cand_id", "q", R.dot("r", "w").alias("p"))  # J10: candidates are parameters
-    mean = F.sum(F.col("q") * F.col("p"))
-    m = p.groupBy("cand_id").agg(mean.alias("expected"), F.sqrt(F.sum(F.col("q") * F.col("p") ** 2) - mean * mean).alias("deviation"))
-    m = m.select("cand_id", "expected", (F.col("deviation") + F.col("cand_id") * 1e-9).alias("risk")).cache()
+    both = lattice(spark).join(F.broadcast(R.asset_moments(scenarios(spark, sf_dir), 4, q="q")))  # one row
+    m = both.select("cand_id", R.dot("w", "mu").alias("expected"), (F.sqrt(R.variance()) + F.col("cand_id") * 1e-9).alias("risk")).transform(staged)
     ends = m.agg(F.min("expected").alias("lo"), F.max("expected").alias("hi"))
     t = spark.range(30).join(F.broadcast(ends)).select((F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("id") / 29).alias("target"))  # one row
     return J.reaching(m, t)

@@ -195,8 +195,9 @@ def _add(xs: Column) -> Column:
 def b16_dirichlet_risks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drawn and fixed candidates of eight assets, capped and distinct, with mean and deviation over all scenarios."""
     c = dirichlet_candidates(spark, 8, 400, 0.6)
-    x = scenarios(spark, sf_dir, 8).join(c).select("cand_id", "w", R.dot("r", "w").alias("p"))  # J10
-    return x.groupBy("cand_id", "w").agg(F.avg("p").alias("mean"), F.stddev_pop("p").alias("deviation")).select("cand_id", "mean", "deviation", F.array_max("w").alias("max_weight"), R.dot("w", "w").alias("hhi"))
+    both = c.join(F.broadcast(R.asset_moments(scenarios(spark, sf_dir, 8), 8)))  # one row
+    deviation = F.sqrt(R.variance() * (F.col("n") - 1) / F.col("n"))
+    return both.select("cand_id", R.dot("w", "mu").alias("mean"), deviation.alias("deviation"), F.array_max("w").alias("max_weight"), R.dot("w", "w").alias("hhi"))
 
 
 # ---- B6, B8 on nine assets: searches from coarse to fine ----

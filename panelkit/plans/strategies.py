@@ -37,31 +37,27 @@ def yield_strategy(panel: DataFrame) -> DataFrame:
     return by_date.select("date", F.explode(F.array(part("strategy", "held"), part("benchmark", "n"))).alias("x")).select("date", "x.*")
 
 
-def _calm(df: DataFrame) -> DataFrame:
-    """The tables' prices move by half each month; a twentieth of that keeps wealth in range."""
-    return df.withColumn("r", F.col("r") / 20)
-
-
 SQL_yield = f"""WITH f AS (SELECT asset, date, close, CASE WHEN count(dividends) OVER b = 12 THEN sum(dividends) OVER b END / close AS dy, lead(close) OVER w / close - 1 AS nxt FROM ({SQL_monthly()}) WINDOW w AS ({QW}), b AS ({QW} ROWS 11 PRECEDING)),
 h AS (SELECT *, quantile_cont(dy, [0.25, 0.75]) OVER p AS q, count(dy) OVER p AS n FROM f WINDOW p AS ({QW} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 g AS (SELECT asset, date, nxt, CASE WHEN dy >= q[2] THEN 'high' WHEN dy <= q[1] THEN 'low' ELSE 'middle' END AS regime FROM h WHERE n >= 36 AND dy IS NOT NULL AND nxt IS NOT NULL),
 d AS (SELECT date, coalesce(avg(nxt) FILTER (regime = 'high'), avg(nxt)) AS s, avg(nxt) AS b, count(*) AS n, coalesce(nullif(count(*) FILTER (regime = 'high'), 0), count(*)) AS held FROM g GROUP BY 1),
-r AS (SELECT date, 'strategy' AS portfolio, s / 20 AS r, held AS names FROM d UNION ALL SELECT date, 'benchmark', b / 20, n FROM d)"""
+r AS (SELECT date, 'strategy' AS portfolio, s AS r, held AS names FROM d UNION ALL SELECT date, 'benchmark', b, n FROM d)"""
 
 
 @query(
     f"""{SQL_yield}, c AS (SELECT *, exp(sum(ln(1 + r)) OVER (PARTITION BY portfolio ORDER BY date)) AS wealth FROM r), x AS (SELECT *, wealth / max(wealth) OVER (PARTITION BY portfolio ORDER BY date) - 1 AS dd FROM c),
     s AS (SELECT portfolio, count(*)::BIGINT AS n, exp(sum(ln(1 + r)) * 12 / count(*)) - 1 AS y, stddev_pop(r) * sqrt(12) AS v, CASE WHEN count(*) FILTER (r < 0) > 1 THEN stddev_pop(r) FILTER (r < 0) ELSE 0 END * sqrt(12) AS low, min(dd) AS m, avg((r > 0)::INT) AS h, avg(names) AS k FROM x GROUP BY 1)
     SELECT portfolio, n, y AS annual_return, v AS annual_vol, CASE WHEN v > 0 THEN y / v END AS sharpe, low AS downside, m AS max_drawdown, CASE WHEN m < 0 THEN y / -m END AS calmar, h AS hit_rate, k AS avg_names FROM s""",
-    "annual_return annual_vol sharpe downside max_drawdown calmar hit_rate avg_names",
+    "max_drawdown hit_rate avg_names",
+    "annual_return annual_vol sharpe downside calmar",
 )
 def b1_yield_regime_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.performance(_calm(yield_strategy(yield_panel(monthly(spark, sf_dir)))), "r", ["portfolio"], ddof=0, names="names")
+    return R.performance(yield_strategy(yield_panel(monthly(spark, sf_dir))), "r", ["portfolio"], ddof=0, names="names")
 
 
-@query(f"{SQL_yield}, c AS (SELECT date, portfolio, exp(sum(ln(1 + r)) OVER (PARTITION BY portfolio ORDER BY date)) AS wealth FROM r) SELECT a.date, a.wealth AS strategy, b.wealth AS benchmark, a.wealth / b.wealth - 1 AS excess FROM c a FULL JOIN c b ON a.date = b.date AND b.portfolio = 'benchmark' WHERE a.portfolio = 'strategy'", "strategy benchmark excess")
+@query(f"{SQL_yield}, c AS (SELECT date, portfolio, exp(sum(ln(1 + r)) OVER (PARTITION BY portfolio ORDER BY date)) AS wealth FROM r) SELECT a.date, a.wealth AS strategy, b.wealth AS benchmark, a.wealth / b.wealth - 1 AS excess FROM c a FULL JOIN c b ON a.date = b.date AND b.portfolio = 'benchmark' WHERE a.portfolio = 'strategy'", relative="strategy benchmark excess")
 def k13_j2_relative_wealth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    curve = S.with_curve(_calm(yield_strategy(yield_panel(monthly(spark, sf_dir)))), "r", ["portfolio"])
+    curve = S.with_curve(yield_strategy(yield_panel(monthly(spark, sf_dir))), "r", ["portfolio"])
     one, two = (curve.where(F.col("portfolio") == p).select("date", F.col("wealth").alias(p)) for p in ("strategy", "benchmark"))
     return one.join(two, "date", "full_outer").withColumn("excess", F.col("strategy") / F.col("benchmark") - 1)
 

@@ -316,18 +316,19 @@ SQL_scores_by_date = SQL["b2_score_strategy"].removeprefix("SELECT * REPLACE").p
 
 
 @query(
-    f"""WITH d AS ({SQL_scores_by_date}), r AS (SELECT date, unnest(['raw', 'enhanced', 'benchmark']) AS portfolio, unnest([raw, enhanced, benchmark]) / 20 AS r, unnest([ceil(n * 0.25), ceil(n * 0.25), n::DOUBLE]) AS names FROM d),
+    f"""WITH d AS ({SQL_scores_by_date}), r AS (SELECT date, unnest(['raw', 'enhanced', 'benchmark']) AS portfolio, unnest([raw, enhanced, benchmark]) AS r, unnest([ceil(n * 0.25), ceil(n * 0.25), n::DOUBLE]) AS names FROM d),
     c AS (SELECT *, exp(sum(ln(1 + r)) OVER (PARTITION BY portfolio ORDER BY date)) AS wealth FROM r), x AS (SELECT *, wealth / max(wealth) OVER (PARTITION BY portfolio ORDER BY date) - 1 AS dd FROM c),
     s AS (SELECT portfolio, count(*)::BIGINT AS n, exp(sum(ln(1 + r)) * 12 / count(*)) - 1 AS y, stddev_pop(r) * sqrt(12) AS v, CASE WHEN count(*) FILTER (r < 0) > 1 THEN stddev_pop(r) FILTER (r < 0) ELSE 0 END * sqrt(12) AS low, min(dd) AS m, avg((r > 0)::INT) AS h, avg(names) AS k FROM x GROUP BY 1)
     SELECT portfolio, n, y AS annual_return, v AS annual_vol, CASE WHEN v > 0 THEN y / v END AS sharpe, low AS downside, m AS max_drawdown, CASE WHEN m < 0 THEN y / -m END AS calmar, h AS hit_rate, k AS avg_names, y - (SELECT y FROM s WHERE portfolio = 'benchmark') AS excess FROM s""",
-    "annual_return annual_vol sharpe downside max_drawdown calmar hit_rate avg_names excess",
+    "max_drawdown hit_rate avg_names",
+    "annual_return annual_vol sharpe downside calmar excess",
 )
 def b2_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Performance of the raw, the enhanced and the benchmark portfolio (a twentieth of the tables' moves), the average number
+    """Performance of the raw, the enhanced and the benchmark portfolio, the average number
     of names, and the yearly return over the benchmark's."""
     by_date = score_returns(score_panel(monthly(spark, sf_dir)))
     names = F.ceil(F.col("n") * 0.25).cast("double")
-    long = by_date.select("date", F.explode(F.array(*(F.struct(F.lit(p).alias("portfolio"), (F.col(p) / 20).alias("r"), (F.col("n").cast("double") if p == "benchmark" else names).alias("names")) for p in ("raw", "enhanced", "benchmark")))).alias("x")).select("date", "x.*")
+    long = by_date.select("date", F.explode(F.array(*(F.struct(F.lit(p).alias("portfolio"), F.col(p).alias("r"), (F.col("n").cast("double") if p == "benchmark" else names).alias("names")) for p in ("raw", "enhanced", "benchmark")))).alias("x")).select("date", "x.*")
     out = R.performance(long, "r", ["portfolio"], ddof=0, names="names")
     base = out.where("portfolio = 'benchmark'").select(F.col("annual_return").alias("base"))
     return out.crossJoin(F.broadcast(base)).withColumn("excess", F.col("annual_return") - F.col("base")).drop("base")  # one row
