@@ -205,3 +205,13 @@ def k9_three_samplings(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = S.stacked({k: v for k, v in parts.items()}, "freq")
     p = r.groupBy("freq", "date").agg(F.max(F.when(F.col("asset") == "A", F.col("r"))).alias("x"), F.max(F.when(F.col("asset") == "N", F.col("r"))).alias("y")).where("x is not null and y is not null")
     return S.rolling_correlations(p, "x", "y", 3650, ["freq"], 8).select("freq", "date", "corr").where("corr is not null")
+
+
+@query(
+    "SELECT x + 0.0 AS x, y + 0.0 AS y, z + 0.0 AS z, min(vec_id) AS first_id, count(*)::BIGINT AS n FROM (SELECT vec_id, round(embedding[1]::DOUBLE, 1) AS x, round(embedding[2]::DOUBLE, 1) AS y, round(embedding[3]::DOUBLE, 1) AS z FROM embeddings) GROUP BY x + 0.0, y + 0.0, z + 0.0",
+    "x y z",
+)
+def u6_distinct_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points that agree to so many digits are one, with the first of them and how many they are."""
+    e = read(spark, sf_dir, "embeddings").select("vec_id", *(F.round(F.element_at("embedding", k + 1).cast("double"), 1).alias(c) for k, c in enumerate("xyz")))
+    return e.select("vec_id", *((F.col(c) + 0.0).alias(c) for c in "xyz")).groupBy("x", "y", "z").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("n"))
