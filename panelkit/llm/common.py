@@ -95,8 +95,8 @@ def without(docs: DataFrame, gone: DataFrame, once: DataFrame | None = None, id_
 def bitmap(cells: DataFrame, bits: int) -> np.ndarray:
     """Bit set of the column cell (0 to 2 ** bits - 1) as 2 ** (bits - 6) 64-bit words.
 
-    Executors fold the cells into words before the shuffle, so the driver gets at most 2 ** (bits - 3) bytes, whatever
-    the input.
+    Executors fold the cells into words before the shuffle, so the driver gets a word and its number for each 64 cells, at most
+    2 ** (bits - 2) bytes, whatever the input.
     """
     words = (
         cells.groupBy(F.shiftright("cell", 6).alias("word"))

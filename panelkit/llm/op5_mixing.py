@@ -1,8 +1,8 @@
 """Mixing sources by temperature.
 
 Each source's share of the tokens is raised to an exponent and normalised. The exponent is found by bisection (sixty-four
-points a round, each round one small job over the sources): the largest that reaches a target entropy, or the smallest that
-keeps within a repetition limit. Weights become token budgets, and budgets become rows: an epoch of a source is its
+points a round, each round one small job over the sources): the smallest at which the entropy is down to its target, or at which
+repetitions are within their limit. Weights become token budgets, and budgets become rows: an epoch of a source is its
 documents in a hashed order, cut into blocks of about a million tokens; whole epochs are taken whole, the last one up to the
 block, and in it the document, where its budget ends. That end is one row per source, so documents are chosen where they
 are read: no row is shuffled, and no source, however large, is sorted.
