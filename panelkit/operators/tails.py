@@ -218,6 +218,11 @@ def characteristics(s: DataFrame, table: DataFrame, alpha: float = 0.95, tau: fl
     """A14 of every candidate, all scenarios alike: mean, mean absolute deviation, CVaR (the mean strictly beyond the interpolated
     quantile), lower partial moment and, with a benchmark, tracking error."""
     c = candidates(table)
+    return frame(s, c, measures(s, c, alpha, tau, benchmark))
+
+
+def measures(s: DataFrame, c: Candidates, alpha: float = 0.95, tau: float = 0.0, benchmark: Sequence[float] | None = None) -> dict[str, np.ndarray]:
+    """The columns of `characteristics`."""
     s = s.select(F.lit(1.0).alias("q"), F.col("r").cast("array<double>").alias("r"))
     # the quantile of returns lies between the order statistics at and after (n - 1) (1 - alpha): between two losses
     at = lambda n: (n - 1) * round(1 - alpha, 12)
@@ -247,7 +252,7 @@ def characteristics(s: DataFrame, table: DataFrame, alpha: float = 0.95, tau: fl
         out = {"mean": mean, "quantile": quantile, "mad": sums["far"].to_numpy() / t.n, "cvar": -sums["below"].to_numpy() / sums["count"].to_numpy(), "lpm": sums["part"].to_numpy() / t.n}
     if benchmark is not None:
         out["tracking_error"] = np.sqrt(sums["te"].to_numpy() / t.n)
-    return frame(s, c, out)
+    return out
 
 
 def candidate_risks(s: DataFrame, c: Candidates, bins: Sequence[int], edges: tuple[float, float]) -> dict[str, np.ndarray]:

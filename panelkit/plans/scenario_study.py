@@ -264,6 +264,32 @@ def b8_nine_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "risk_factor double, te_limit double, turnover_limit double, architecture string, status string, expected double, cvar double, te double, turnover double, l2 double, weights array<double>, n_fit int")
 
 
+@query()
+def b9_nine_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mixes of CVaR with the mean absolute deviation and with the lower partial moment, nine of each, on nine assets: the candidate
+    of least mixed risk under limits of tracking error, effective number and weight. Measures are scaled by all that fit."""
+    s = scenarios(spark, sf_dir, NINE).select("q", "r").transform(staged)
+    bench = [1 / NINE] * NINE
+    targets = [(m, k / 8) for m in ("mad", "lpm") for k in range(9)]
+
+    def mixed(c, values):
+        ok = (values["tracking_error"] <= 0.03) & (1 / (c.weights**2).sum(1) >= 1.5)
+        unit = {m: (x - x[ok].min()) / max(x[ok].max() - x[ok].min(), 1e-300) for m in ("cvar", "mad", "lpm") for x in [values[m]]}
+        return ok, [mix * unit["cvar"] + (1 - mix) * unit[m] for m, mix in targets]
+
+    def best(c, values):
+        ok, risks = mixed(c, values)
+        return [X.least(risk, ok, 1) for risk in risks]
+
+    c, values = X.search(lambda c: T.measures(s, c, benchmark=bench), best, NINE, CAP, halvings=2, most_rounds=8)
+    ok, risks = mixed(c, values)
+    rows = []
+    for (m, mix), risk in zip(targets, risks):
+        (i,) = X.least(risk, ok, 1)
+        rows.append((m, mix, float(risk[i]), *(float(values[k][i]) for k in ("cvar", m, "mean", "tracking_error")), c.weights[i].tolist(), int(ok.sum())))
+    return spark.createDataFrame(rows, "measure string, mix double, risk double, cvar double, other double, mean double, tracking_error double, weights array<double>, n_fit int")
+
+
 # ---- B18: driver paths to terminal returns, checked on the way ----
 _PATHS = "SELECT l_suppkey AS scen_id, l_returnflag AS asset, ln(1 + (l_discount - l_tax) / 10) AS log_ret, row_number() OVER (PARTITION BY l_suppkey, l_returnflag ORDER BY l_shipdate, l_orderkey, l_linenumber) AS month FROM lineitem"
 _CHANCES = "SELECT s_suppkey AS scen_id, abs(s_acctbal) / sum(abs(s_acctbal)) OVER () AS p FROM supplier"

@@ -143,3 +143,37 @@ def test_moments_by_blocks(spark):
         one, two = of(i), of(j)
         x, y, w = (np.array([f(d) for d in sorted(set(one) & set(two))]) for f in (lambda d: one[d][0], lambda d: two[d][0], lambda d: one[d][1]))
         assert i <= j and r.n == len(x) and np.allclose([r.s, r.ss, r.sx, r.sy, r.sxy, r.s22], [w.sum(), (w * w).sum(), (w * x).sum(), (w * y).sum(), (w * x * y).sum(), ((x * y) ** 2).sum()])
+
+
+def test_rows_of_nine_assets_are_what_they_say(spark):
+    from panelkit import jobs
+    from panelkit.plans.tables import scenarios
+
+    sf = "/root/testdata/sf0.01"
+    rows = scenarios(spark, sf, 9).select("q", "r").collect()
+    q, r = np.array([x.q for x in rows]), np.array([x.r for x in rows])
+
+    def weights(row):
+        w = np.array(row.weights)
+        assert len(w) == 9 and w.min() >= 0 and w.max() <= 0.6 + 1e-9 and abs(w.sum() - 1) < 1e-9
+        return w, r @ w
+
+    for row in jobs.QUERIES["b9_nine_assets"](spark, sf).collect():
+        w, p = weights(row)
+        other = np.abs(p - p.mean()).mean() if row.measure == "mad" else np.maximum(-p, 0).mean()
+        te = np.sqrt(((p - r.mean(1)) ** 2).mean())
+        want = [-p[p < np.quantile(p, 0.05)].mean(), other, p.mean(), te]
+        assert np.allclose([row.cvar, row.other, row.mean, row.tracking_error], want, atol=2e-6) and te <= 0.03 and 1 / (w @ w) >= 1.5
+    for row in jobs.QUERIES["b6_nine_assets"](spark, sf).collect():
+        w, p = weights(row)
+        assert abs(row.expected - p.mean()) < 2e-6 and row.expected >= row.target - 2e-6
+        if row.measure == "variance":
+            assert abs(row.risk - p.var(ddof=1)) < 2e-6
+    for row in jobs.QUERIES["b8_nine_assets"](spark, sf).collect():
+        if row.status == "optimal":
+            w, p = weights(row)
+            order = np.argsort(-p, kind="stable")
+            var = -p[order][np.searchsorted(np.cumsum(q[order]), 0.95 - 1e-12)]
+            cvar = var + (q * np.maximum(-p - var, 0)).sum() / 0.05
+            assert abs(row.cvar - cvar) < 2e-6 and abs(row.expected - q @ p) < 2e-6 and row.turnover <= row.turnover_limit + 1e-6
+            assert row.architecture == "A" or row.te <= row.te_limit + 1e-6
