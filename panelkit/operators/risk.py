@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from panelkit.functions.columns import sample_kurtosis, sample_skew
 from panelkit.operators.series import with_curve
+from panelkit.operators.staging import staged
 
 
 def compound(r: str) -> Column:
@@ -34,7 +35,9 @@ def performance(df: DataFrame, r: str, keys: list[str], periods: int = 12, ddof:
 
 def tail_summary(df: DataFrame, r: str, keys: list[str], alpha: float = 0.05, risk_free: float = 0.0, periods: int = 52, order: str = "date") -> DataFrame:
     """Total and yearly return, Sharpe over a risk-free rate, drawdown, quantile VaR, mean at or below it,
-    bias-corrected skew and kurtosis."""
+    bias-corrected skew and kurtosis. Returns are written once: sums of doubles made a second time can differ in their last
+    digit, and the row at the quantile would fall on either side of it."""
+    df = staged(df)
     var = df.groupBy(*keys).agg(F.percentile(r, alpha).alias("var"))
     joined = with_curve(df.where(F.col(r).isNotNull()), r, keys, order).join(var, keys)
     out = joined.groupBy(*keys).agg(
@@ -62,7 +65,9 @@ def tail_count_cvar(df: DataFrame, r: str, keys: list[str], alpha: float, tie: s
 
 def characteristics(df: DataFrame, r: str, keys: list[str], alpha: float = 0.95, tau: float = 0.0, benchmark: str | None = None) -> DataFrame:
     """Mean, deviation, mean absolute deviation, VaR and CVaR (strictly beyond it), lower partial moment, semivariance
-    and semideviation; with the column of a benchmark's returns the tracking error, the root mean square of the difference."""
+    and semideviation; with the column of a benchmark's returns the tracking error, the root mean square of the difference. Returns are
+    written once, as in `tail_summary`."""
+    df = staged(df)
     first = df.groupBy(*keys).agg(F.avg(r).alias("mean"), F.percentile(r, round(1 - alpha, 12)).alias("quantile"))
     x, below = F.col(r) - F.col("mean"), F.greatest(F.lit(tau) - F.col(r), F.lit(0.0))
     sums = df.join(first, keys).groupBy(*keys).agg(

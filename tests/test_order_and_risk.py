@@ -1,5 +1,7 @@
 """Order statistics over ranges and blocks, tails by histograms and searches, against plain numpy versions."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import Window
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelkit.operators import covariance as V
 from panelkit.operators import ordered as O
+from panelkit.operators import risk as R
 from panelkit.operators import search as X
 from panelkit.operators import series as S
 from panelkit.operators import spectrum as E
@@ -177,3 +180,13 @@ def test_rows_of_nine_assets_are_what_they_say(spark):
             cvar = var + (q * np.maximum(-p - var, 0)).sum() / 0.05
             assert abs(row.cvar - cvar) < 2e-6 and abs(row.expected - q @ p) < 2e-6 and row.turnover <= row.turnover_limit + 1e-6
             assert row.architecture == "A" or row.te <= row.te_limit + 1e-6
+
+
+def test_rows_at_a_quantile_are_judged_by_the_returns_that_gave_it(spark):
+    noise = F.udf(lambda x: x + random.random() * 1e-9, "double").asNondeterministic()  # sums of doubles in another order, but larger
+    df = spark.range(21 * 40).select((F.col("id") % 40).alias("g"), F.to_date(F.lit("2020-01-01")).alias("d"), F.expr("id div 40").cast("int").alias("k"))
+    df = df.select("g", F.date_add("d", F.col("k")).alias("date"), noise((F.col("k") - 10) / 100.0).alias("r"))
+    for r in R.characteristics(df, "r", ["g"]).collect():  # the quantile is the second of 21 returns: one is under it, none between
+        assert abs(r.cvar - 0.1) < 1e-8 and abs(r["var"] - 0.09) < 1e-8
+    for r in R.tail_summary(df, "r", ["g"]).collect():  # two are at or under it
+        assert abs(r.cvar + 0.095) < 1e-8
