@@ -32,10 +32,15 @@ def terminal_returns(paths: DataFrame, p: DataFrame, fx: str, exposed: Collectio
     rows = rows.observe(met, F.count_if(F.col("rate").isNull()).alias("without_rate"))
     rows = rows.withColumn("log_ret", F.when(F.col("asset").isin(list(exposed)), F.col("log_ret") - F.col("rate")).otherwise(F.col("log_ret")))
     sums = [F.expm1(F.sum(F.when(F.col("month") <= h, F.col("log_ret")))).alias(f"ret_{h}") for h in horizons]
-    out = rows.groupBy("scen_id", "asset").agg(F.count("*").alias("n"), F.min("month").alias("first"), F.max("month").alias("last"), F.count_distinct("month").alias("months"), *sums)
+    # the months that a path has, a bit each, 62 to a number: distinct counts would keep all rows of a task in memory
+    starts = range(1, last + 1, 62)
+    bit = lambda k: F.when(F.col("month").between(k, k + 61), F.expr(f"shiftleft(1L, cast(month - {k} AS int))"))
+    months = [F.bit_or(bit(k)).alias(f"_m{k}") for k in starts]
+    out = rows.groupBy("scen_id", "asset").agg(F.count("*").alias("n"), F.min("month").alias("first"), F.max("month").alias("last"), *months, *sums)
     chance = p.select("scen_id", F.col("p").cast("double").alias("p")).observe(chances, F.count_if(~finite("p")).alias("p_not_finite"), F.count_if(F.col("p") < 0).alias("negative_p"), F.sum("p").alias("sum_p"))
     out = out.join(chance, "scen_id", "left")
-    whole = (F.col("n") == last) & (F.col("months") == last) & (F.col("first") == 1) & (F.col("last") == last)
+    seen_months = sum((F.coalesce(F.bit_count(f"_m{k}"), F.lit(0)) for k in starts), F.lit(0))
+    whole = (F.col("n") == last) & (seen_months == last) & (F.col("first") == 1) & (F.col("last") == last)
     out = out.observe(ended, F.count_if(~whole).alias("broken_paths"), F.count_if(F.col("p").isNull()).alias("without_p"))
     yearly = [(F.pow(1 + F.col(f"ret_{h}"), 12.0 / h) - 1).alias(f"yearly_{h}") for h in horizons]
     found = staged(out.select("scen_id", "asset", "p", *(f"ret_{h}" for h in horizons), *yearly))

@@ -38,3 +38,10 @@ def test_chain_and_its_rules(spark):
     assert counts == {"not_finite": 1, "months_outside": 1, "without_rate": 3, "broken_paths": 2, "without_p": 2, "p_not_finite": 0, "negative_p": 1, "sum_not_one": 1}
     with pytest.raises(ValueError, match="without_rate"):
         K.require(counts)
+
+
+def test_months_of_long_paths_are_told_apart(spark):
+    whole = [(0, a, m, 0.01) for a in ("fx", "usd") for m in range(1, 131)]
+    assert not any(chain(spark, whole, [(0, 1.0)], (12, 130))[1].values())
+    twice = [(*r[:2], 3 if r[1:3] == ("usd", 130) else r[2], 0.01) for r in whole]  # 130 rows, but one month twice
+    assert chain(spark, twice, [(0, 1.0)], (12, 130))[1]["broken_paths"] == 1
