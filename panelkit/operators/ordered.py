@@ -3,26 +3,28 @@
 A rank is a position in a table that is sorted over ranges: each range counts its own rows of a group, and the counts of earlier
 ranges are added. So one group may hold all rows.
 
-A quantile of all earlier rows is found by counting ranks. A series is cut into blocks by time and, by rank of value, into
-blocks of values. A table of counts (time block, value block), summed over time, tells for each row in which block of values
-its order statistic lies and which of it; the rows of that block, no more than a block, then give it exactly. Work and rows
-are linear in the series, but for the search in sorted lists of a block. Series of one block need no cutting.
+A quantile of all earlier rows is found by counting. A series is cut into ranges of time and into cells of values, by some of its
+quantiles; one that many rows share is a cell of its own. Counts by range and cell, summed over time, tell for each row of a range in
+which cell its order statistic lies and which of it. A range meets few cells, and only their earlier values are sent to it: what
+is shuffled is the series itself, some times over, and not rows for each statistic. Series of one block need no cutting.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import insort
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelkit.operators.staging import staged
 
-BLOCK = 4096  # rows of a series that are held at a time
+BLOCK = 4096  # rows of a series that is held at a time
+MOST_PARTS, MOST_CUTS = 256, 1024  # ranges of time of all long series, cuts between the values of one
 
 
 def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str = "place") -> DataFrame:
@@ -133,14 +135,29 @@ def _short(df: DataFrame, value: str, keys: Sequence[str], order: str, qs: Seque
     return df.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(run, kinds)
 
 
-def _aims(rows: pd.DataFrame, qs: Sequence[float], blocks: int) -> pd.DataFrame:
-    """Of one time block's rows (pos, vblock, before: counts of each value block before this time block): which statistics of
-    which value block each row wants."""
-    rows = rows.sort_values("pos")
-    counts = np.asarray(rows["before"].iat[0], np.int64).copy()
-    n, out = int(counts.sum()), []
-    at, below = [0] * len(qs) * 2, [0] * len(qs) * 2  # a value block for each statistic, and the counts of those below it
-    for pos, own in zip(rows["pos"].to_numpy(), rows["vblock"].to_numpy()):
+def _cell(x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The cell of each value, in their order: odd ones are the bounds, even ones what lies between; -1 of NaN."""
+    k = np.searchsorted(bounds, x)
+    on = (k < len(bounds)) & (np.append(bounds, np.nan)[k] == x)
+    return np.where(np.isnan(x), -1, 2 * k + on)
+
+
+def _numbers(column: pa.ChunkedArray) -> np.ndarray:
+    return column.cast(pa.float64()).to_numpy()
+
+
+def _bounds(side: pa.Table) -> np.ndarray:
+    return np.unique(np.asarray(side.column("_bounds")[0].as_py() or [], np.float64))
+
+
+def _walk(cells: np.ndarray, before: Sequence[int], qs: Sequence[float]) -> tuple[list[int], list[list[tuple[int, int]]]]:
+    """Of one time block's rows, whose cells are given in order of time after `before` values of each cell: the number of earlier values,
+    and for each row that has some the cells and places in them of its order statistics."""
+    counts = list(before) + [0] * max(0, int(cells.max(initial=-1)) + 1 - len(before))
+    n, sizes, out = sum(counts), [], []
+    at, below = [0] * len(qs) * 2, [0] * len(qs) * 2  # a cell for each statistic, and the counts of those below it
+    for own in cells.tolist():
+        row = []
         if n:
             for k, q in enumerate(qs):
                 for s, want in enumerate(_wanted(n, q)[:2]):
@@ -151,68 +168,82 @@ def _aims(rows: pd.DataFrame, qs: Sequence[float], blocks: int) -> pd.DataFrame:
                     while want >= below[j] + counts[at[j]]:
                         below[j] += counts[at[j]]
                         at[j] += 1
-                    out.append((pos, j, at[j], want - below[j]))
+                    row.append((at[j], want - below[j]))
+        sizes.append(n)
+        out.append(row)
         if own >= 0:
             counts[own] += 1
             n += 1
             for j in range(len(at)):
                 below[j] += own < at[j]
-    return pd.DataFrame(out, columns=["pos", "j", "vblock", "local"])
-
-
-def _picked(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of one value block's rows (pos, x) and what is asked of it (pos, j, local): the statistics."""
-    asked = rows["j"].notna()
-    values, questions = rows[~asked].sort_values("pos"), rows[asked].sort_values("pos")
-    pos, x, seen, done, out = values["pos"].to_numpy(), values["x"].to_numpy(), [], 0, []
-    first = questions["pos"].iat[0] if len(questions) else 0
-    done = bisect_left(pos, first)
-    seen = sorted(x[:done].tolist())
-    for p, j, local in zip(questions["pos"].to_numpy(), questions["j"].to_numpy(), questions["local"].to_numpy()):
-        while done < len(pos) and pos[done] < p:
-            insort(seen, x[done])
-            done += 1
-        out.append((int(p), int(j), seen[int(local)]))
-    return pd.DataFrame(out, columns=["pos", "j", "found"])
-
-
-def _long(df: DataFrame, value: str, keys: Sequence[str], order: str, qs: Sequence[float], block: int) -> DataFrame:
+    return sizes, out
+
+
+def _long(df: DataFrame, value: str, keys: Sequence[str], order: str, qs: Sequence[float], block: int, rows: int, longest: int) -> DataFrame:
     """Series of many blocks; see the module's text."""
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    series = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
-    df = staged(positions(df, keys, [order], "_pos"))
-    ranked = positions(df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, "_pos", F.col(value).cast("double").alias("x")), keys, ["x", "_pos"], "_rank")
-    ranked = staged(ranked.select(*keys, "_pos", "x", F.expr(f"(_rank - 1) div {block}").alias("vblock")))
-    slots = df.select(*keys, "_pos", F.expr(f"(_pos - 1) div {block}").alias("tblock"))
-    slots = staged(_outer(slots, ranked.drop("x"), [*keys, "_pos"]).select(*keys, F.col("_pos").alias("pos"), "tblock", F.coalesce("vblock", F.lit(-1)).cast("long").alias("vblock")))
-
-    counts = slots.where("vblock >= 0").groupBy(*keys, "tblock", "vblock").agg(F.count("*").alias("n"))
-    tblocks = slots.select(*keys, "tblock").distinct()
-    vblocks = ranked.select(*keys, "vblock").distinct()
-    grid = _outer(tblocks.join(vblocks, list(keys)), counts, [*keys, "tblock", "vblock"]).fillna(0, ["n"])
-    carried = Window.partitionBy(*keys, "vblock").orderBy("tblock").rowsBetween(Window.unboundedPreceding, -1)  # a row for each time block
-    grid = grid.withColumn("before", F.coalesce(F.sum("n").over(carried), F.lit(0)))
-    vectors = staged(grid.groupBy(*keys, "tblock").agg(F.transform(F.array_sort(F.collect_list(F.struct("vblock", "before"))), lambda v: v["before"]).alias("before")))
-
-    aims = slots.join(vectors, [*keys, "tblock"])
-    aim_rows = lambda rows: _with_keys(rows, _aims(rows, qs, block), (*keys, "tblock"))
-    aims = staged(aims.groupBy(*keys, "tblock").applyInPandas(aim_rows, f"{series}, tblock long, pos long, j int, vblock long, local long"))
-    hit = aims.select(*keys, "tblock", "vblock").distinct()
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    series = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    parts, cuts = min(MOST_PARTS, -(-rows // (4 * block))), min(MOST_CUTS, -(-longest // block))
+    timed = staged(df.repartitionByRange(parts, *keys, order).withColumn("_part", F.spark_partition_id()))
+    known = df.where(F.col(value).isNotNull() & ~F.isnan(value))
+    bounds = known.groupBy(*keys).agg(F.percentile_approx(F.col(value).cast("double"), [k / (cuts + 1) for k in range(1, cuts + 1)], 16 * MOST_CUTS).alias("_bounds"))
+    bounds = staged(_outer(timed.select(*keys, "_part").distinct(), bounds, keys))
+    of = lambda t: t.groupBy(*keys, "_part")
+
+    def in_cells(left: pa.Table, right: pa.Table) -> pa.Table:
+        return left.append_column("_cell", pa.array(_cell(_numbers(left.column(value)), _bounds(right)).astype(np.int64)))
+
+    timed = staged(of(timed).cogroup(of(bounds)).applyInArrow(in_cells, f"{columns}, _part int, _cell long"))
+
+    def add_up(rows: pd.DataFrame) -> pd.DataFrame:
+        which, at = np.unique(rows["_part"], return_inverse=True)
+        grid, held = np.zeros((len(which), max(int(rows["_cell"].max()) + 1, 0)), np.int64), rows["_cell"].to_numpy() >= 0
+        grid[at[held], rows["_cell"].to_numpy()[held]] = rows["n"].to_numpy()[held]
+        return _with_keys(rows, pd.DataFrame({"_part": which, "_before": list(np.cumsum(grid, 0) - grid)}), keys)
+
+    counts = timed.groupBy(*keys, "_part", "_cell").agg(F.count("*").alias("n"))  # of a series at most a row for each part and cell
+    before = staged(counts.groupBy(*keys).applyInPandas(add_up, f"{series}, _part int, _before array<long>").join(bounds, [*keys, "_part"]))
+
+    def visited(left: pa.Table, right: pa.Table) -> pa.Table:
+        cells = left.sort_by(order).column("_cell").to_numpy()
+        found = sorted({c for row in _walk(cells, right.column("_before")[0].as_py(), qs)[1] for c, _ in row if c % 2 == 0})
+        out = left.select([*keys, "_part"]).take(pa.array([0] * len(found), pa.int64()))
+        return out.append_column("_cell", pa.array(found, pa.int64()))
+
+    wanted = staged(of(timed.select(*keys, "_part", order, "_cell")).cogroup(of(before)).applyInArrow(visited, f"{series}, _part int, _cell long"))
+    even = timed.where("_cell >= 0 and _cell % 2 = 0").select(*keys, F.col("_part").alias("_from"), "_cell", F.col(value).cast("double").alias("_x"))
+    values = even.join(wanted, [*keys, "_cell"]).where("_from < _part")
     none = lambda t: F.lit(None).cast(t)
-    values = ranked.join(hit, [*keys, "vblock"]).select(*keys, "tblock", "vblock", F.col("_pos").alias("pos"), "x", none("int").alias("j"), none("long").alias("local"))
-    asked = aims.select(*keys, "tblock", "vblock", "pos", none("double").alias("x"), "j", "local")
-    pick_rows = lambda rows: _with_keys(rows, _picked(rows), keys)
-    found = values.union(asked).groupBy(*keys, "tblock", "vblock").applyInPandas(pick_rows, f"{series}, pos long, j int, found double")
-    one = lambda j: F.max(F.when(F.col("j") == j, F.col("found")))
-    found = staged(found.groupBy(*keys, F.col("pos").alias("_pos")).agg(*(one(j).alias(f"_s{j}") for j in range(2 * len(qs)))))
-    counted = F.count(F.when(~F.isnan(value), F.col(value))).over(Window.partitionBy(*keys, "_b").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1))
-    first = vectors.select(*keys, F.col("tblock").alias("_b"), F.aggregate("before", F.lit(0).cast("long"), lambda s, x: s + x).alias("_n"))
-    out = _joined(_outer(df, found, [*keys, "_pos"]).withColumn("_b", F.expr(f"(_pos - 1) div {block}")), first, [*keys, "_b"])
-    out = out.withColumn("n_before", counted + F.col("_n"))
-    at = lambda q: (F.col("n_before") - 1) * q
-    q = lambda k: F.col(f"_s{2 * k}") + (F.col(f"_s{2 * k + 1}") - F.col(f"_s{2 * k}")) * (at(qs[k]) - F.floor(at(qs[k])))
-    columns = [c for c in df.columns if c != "_pos"]
-    return out.select(*columns, "n_before", *(q(k).alias(f"q{k}") for k in range(len(qs))))
+    side = before.select(*keys, "_part", "_before", "_bounds", none("long").alias("_cell"), none("double").alias("_x")).union(
+        values.select(*keys, "_part", none("array<long>"), none("array<double>"), "_cell", "_x")
+    )
+
+    def pick(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.sort_by(order)
+        first = right.filter(pc.is_valid(right.column("_before")))
+        bounds, seen = _bounds(first), {}
+        cells, x = left.column("_cell").to_numpy(), _numbers(left.column(value)).tolist()
+        sizes, aims = _walk(cells, first.column("_before")[0].as_py(), qs)
+        for c in {c for row in aims for c, _ in row if c % 2 == 0}:
+            seen[c] = []
+        rest = right.filter(pc.is_null(right.column("_before")))
+        for c, v in zip(rest.column("_cell").to_pylist(), rest.column("_x").to_pylist()):
+            seen[c].append(v)
+        for own in seen.values():
+            own.sort()
+        found = [[] for _ in qs]
+        for n, row, c, v in zip(sizes, aims, cells.tolist(), x):
+            got = [float(bounds[cell // 2]) if cell % 2 else seen[cell][place] for cell, place in row]
+            for k, q in enumerate(qs):
+                found[k].append(_between(got[2 * k], got[2 * k + 1], _wanted(n, q)[2]) if n else None)
+            if c in seen:
+                insort(seen[c], v)
+        out = left.drop_columns(["_part", "_cell"]).append_column("n_before", pa.array(sizes, pa.int64()))
+        for k, q in enumerate(found):
+            out = out.append_column(f"q{k}", pa.array(q, pa.float64()))
+        return out
+
+    return of(timed).cogroup(of(side)).applyInArrow(pick, ", ".join([columns, "n_before long", *(f"q{k} double" for k in range(len(qs)))]))
 
 
 def _with_keys(rows: pd.DataFrame, out: pd.DataFrame, keys: Sequence[str]) -> pd.DataFrame:
@@ -230,11 +261,12 @@ def expanding_quantiles(df: DataFrame, value: str, keys: Sequence[str], order: s
 
     keys aren't null and order is unique in a series; null and NaN values aren't counted, their rows have quantiles all the same.
     """
-    long = df.groupBy(*keys).count().where(F.col("count") > block).select(*keys)
-    if not long.take(1):
+    long = staged(df.groupBy(*keys).count().where(F.col("count") > block))
+    rows, longest = long.agg(F.sum("count"), F.max("count")).first()
+    if not rows:
         return _short(df, value, keys, order, qs)
-    long, df = staged(long), staged(df)
-    return _short(df.join(long, list(keys), "left_anti"), value, keys, order, qs).unionByName(_long(df.join(long, list(keys), "left_semi"), value, keys, order, qs, block))
+    long, df = long.select(*keys), staged(df)
+    return _short(df.join(long, list(keys), "left_anti"), value, keys, order, qs).unionByName(_long(df.join(long, list(keys), "left_semi"), value, keys, order, qs, block, rows, longest))
 
 
 def expanding_regimes(df: DataFrame, value: str, keys: Sequence[str], order: str, least: int = 36, name: str = "regime") -> DataFrame:

@@ -14,6 +14,7 @@ from panelkit.operators import search as X
 from panelkit.operators import series as S
 from panelkit.operators import spectrum as E
 from panelkit.operators import tails as T
+from panelkit.operators.staging import staged
 from panelkit.plans import scenario_study
 
 
@@ -190,3 +191,19 @@ def test_rows_at_a_quantile_are_judged_by_the_returns_that_gave_it(spark):
         assert abs(r.cvar - 0.1) < 1e-8 and abs(r["var"] - 0.09) < 1e-8
     for r in R.tail_summary(df, "r", ["g"]).collect():  # two are at or under it
         assert abs(r.cvar + 0.095) < 1e-8
+
+
+def test_long_series_are_written_a_few_times_only(spark, monkeypatch):
+    rng, written = np.random.default_rng(2), []
+
+    def counting(df):
+        found = staged(df)
+        written.append(found.count())
+        return found
+
+    monkeypatch.setattr(O, "staged", counting)
+    x = np.where(rng.random(6000) < 0.3, 5.0, np.round(rng.normal(5, 2, 6000), 2))
+    df = spark.createDataFrame([("s", t, float(v)) for t, v in enumerate(x)], "k string, t long, x double")
+    found = {r.t: (r.n_before, r.q0, r.q1) for r in O.expanding_quantiles(df, "x", ["k"], "t", block=50).collect()}
+    assert sum(written) < 4 * len(x)  # not a row for each statistic of each row
+    assert all(found[t][0] == t and np.allclose(found[t][1:], np.quantile(x[:t], [0.25, 0.75]), atol=1e-12) for t in range(1, len(x), 37)) and found[0] == (0, None, None)
