@@ -205,12 +205,7 @@ def a23_a26_mixed_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a24_a25_denoised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers in panels by nation, each small enough for one solve; the random-matrix edge from the number of dates."""
     r = returns(spark, sf_dir, "l_suppkey", "month").join(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("asset"), F.col("s_nationkey").alias("panel")), "asset")
-    n = r.select("date").distinct().count()
-    corr = V.with_correlation(V.sample(r, ["panel"]), ["panel"]).select("panel", "i", "j", "corr")
-    clean = V.denoise(corr, "panel", n)
-    kinds = S.stacked({"sample": corr, "denoised": clean}, "kind")
-    named = kinds.select(F.concat_ws(":", "kind", F.col("panel").cast("string")).alias("matrix"), "i", "j", F.col("corr").alias("cov"))
-    return V.condition_number(named, "matrix")
+    return V.panel_conditions(r, "panel", r.select("date").distinct().count())
 
 
 @query(

@@ -98,6 +98,17 @@ def test_denoised_correlation_and_condition_number(spark):
     assert math.isclose(c.condition, values[-1] / values[0], rel_tol=1e-6)
 
 
+def test_conditions_of_panels_without_a_table_of_pairs(spark):
+    df, _ = panel(spark, 12, 60, 0.1)
+    df = df.withColumn("p", F.length("asset"))
+    found = V.panel_conditions(df, "p", 60)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    corr = V.with_correlation(V.sample(df, ["p"]), ["p"]).select("p", "i", "j", "corr")
+    named = S.stacked({"sample": corr, "denoised": V.denoise(corr, "p", 60)}, "kind").select(F.concat_ws(":", "kind", "p").alias("m"), "i", "j", F.col("corr").alias("cov"))
+    want = {r.m: r.condition for r in V.condition_number(named, "m").collect()}
+    assert {r.matrix for r in found.collect()} == set(want) and all(math.isclose(r.condition, want[r.matrix], rel_tol=1e-8) for r in found.collect())
+
+
 def test_regressions_equal_least_squares(spark):
     rng = np.random.default_rng(5)
     rows = [(k, "uv"[k % 2], *(float(v) if rng.random() > 0.1 else None for v in rng.normal(3, 2, 4))) for k in range(200)] + [(900, "w", None, 1.0, 1.0, 1.0)]
