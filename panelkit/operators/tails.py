@@ -49,7 +49,7 @@ def returns_of(r: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 def blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Weights q and returns r of some scenarios at a time, so many that a block of results stays moderate."""
-    step = max(1, (1 << 21) // max(width, 1))
+    step = max(1, (1 << 18) // max(width, 1))
     for batch in batches:
         r = batch.column("r").flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
         q = batch.column("q").to_numpy(zero_copy_only=False)
@@ -101,7 +101,7 @@ def _cut(s: DataFrame, c: Candidates, low: np.ndarray, high: np.ndarray, wanted:
             np.minimum.at(least, cell, x)
             np.maximum.at(most, cell, x)
         cell = np.flatnonzero(n)
-        if len(cell):
+        for cell in np.array_split(cell, -(-len(cell) // (1 << 16))) if len(cell) else ():
             yield _table({"k": at[cell // BINS], "bin": cell % BINS, "n": n[cell], "mass": mass[cell], "total": total[cell], "least": least[cell], "most": most[cell]})
 
     found = s.mapInArrow(run, "k long, bin long, n long, mass double, total double, least double, most double").groupBy("k", "bin")

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -207,3 +208,8 @@ def test_long_series_are_written_a_few_times_only(spark, monkeypatch):
     found = {r.t: (r.n_before, r.q0, r.q1) for r in O.expanding_quantiles(df, "x", ["k"], "t", block=50).collect()}
     assert sum(written) < 4 * len(x)  # not a row for each statistic of each row
     assert all(found[t][0] == t and np.allclose(found[t][1:], np.quantile(x[:t], [0.25, 0.75]), atol=1e-12) for t in range(1, len(x), 37)) and found[0] == (0, None, None)
+
+
+def test_a_block_of_scenarios_is_small_and_histograms_leave_in_slices(spark):
+    batch = pa.RecordBatch.from_pydict({"q": [1.0] * 5000, "r": [[0.1, 0.2]] * 5000})
+    assert max(len(q) for q, _ in T.blocks(iter([batch]), 1024)) * 1024 <= 1 << 18  # arrays of 2 MB, some ten at a time
