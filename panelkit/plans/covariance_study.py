@@ -207,8 +207,8 @@ def a24_one_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All suppliers' monthly returns as one panel: eigenvalues over the random-matrix edge, their largest and sum, the mean of the
     others, and the condition number of the denoised correlation. The matrix is in no task and not on the driver."""
     r = staged(returns(spark, sf_dir, "l_suppkey", "month"))
-    corr = staged(V.with_correlation(V.blocked(r).select("i", "j", "cov"), []).select("i", "j", "corr"))
-    clean = E.denoise(E.matrix(corr, "corr"), r.select("date").distinct().count())
+    corr = E.correlation(r) or E.matrix(staged(V.blocked(r, correlation=True)), "corr")
+    clean = E.denoise(corr, r.select("date").distinct().count())
     low, high = E.extremes(clean.product, len(clean.names))
     row = (len(clean.names), len(clean.values), float(clean.values.max(initial=0.0)), float(clean.values.sum()), clean.rest, high / low)
     return spark.createDataFrame([row], "n_assets int, n_above int, largest double, sum_above double, rest double, condition double")

@@ -17,6 +17,7 @@ from panelkit.operators import merging as G
 from panelkit.operators import regression as Q
 from panelkit.operators import risk as R
 from panelkit.operators import series as S
+from panelkit.operators import spectrum as E
 from panelkit.plans import strategies, value_study
 
 SF = "/root/testdata/sf0.01"
@@ -109,6 +110,15 @@ def test_conditions_of_panels_without_a_table_of_pairs(spark):
     assert {r.matrix for r in found.collect()} == set(want) and all(math.isclose(r.condition, want[r.matrix], rel_tol=1e-8) for r in found.collect())
 
 
+def test_products_with_a_correlation_without_its_pairs(spark):
+    df, wide = panel(spark, 40, 60, 0.03)
+    found = E.correlation(df)
+    x = np.random.default_rng(0).normal(size=(40, 3))
+    assert np.allclose(found.product(x), E.matrix(V.blocked(df, correlation=True), "corr").product(x), atol=1e-10)
+    few, _ = panel(spark, 12, 6, 0.5)
+    assert E.correlation(few) is None  # pairs over two dates, cut at one
+
+
 def test_regressions_equal_least_squares(spark):
     rng = np.random.default_rng(5)
     rows = [(k, "uv"[k % 2], *(float(v) if rng.random() > 0.1 else None for v in rng.normal(3, 2, 4))) for k in range(200)] + [(900, "w", None, 1.0, 1.0, 1.0)]
