@@ -159,3 +159,21 @@ def test_families_compared_in_blocks_lose_no_link(spark, monkeypatch, few, block
             w[rng.randrange(len(w))] = f"x{k}-{rng.random()}"
         rows.append((k, " ".join(w)))
     assert sorted(map(tuple, near_duplicates(make_docs(spark, rows)).collect())) == sorted(brute.jaccard_components(rows))
+
+
+def test_sets_that_share_only_a_passage_leave_their_family(spark, monkeypatch):
+    """Texts tied together by one passage aren't sent to the blocks of their family; near copies among them are, and stay linked."""
+    from panelkit.llm import op7_jaccard_join as op7
+
+    monkeypatch.setattr(op7, "FEW", 2)
+    sent, links = [], op7.family_links
+    monkeypatch.setattr(op7, "family_links", lambda nodes, sets: sent.append(nodes.where("kind = 'family'").select("node").distinct().count()) or links(nodes, sets))
+    rng, passage = random.Random(4), [f"p{k}" for k in range(130)]
+    own = [[f"x{k}-{j}" for j in range(50)] for k in range(30)]
+    rows = [(k, " ".join(passage + w)) for k, w in enumerate(own)]
+    for k in range(3):
+        w = passage + own[k]
+        w[rng.randrange(20, 120)] = f"y{k}"
+        rows.append((100 + k, " ".join(w)))
+    assert sorted(map(tuple, near_duplicates(make_docs(spark, rows)).collect())) == sorted(brute.jaccard_components(rows))
+    assert 0 < sent[0] < 12
