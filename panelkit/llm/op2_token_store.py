@@ -94,7 +94,16 @@ class _Encoder:
     def clear(self) -> None:
         self.code = _Codes()
         self.parts: dict[str, bytes] = {}
-        self.ids, self.lens = np.zeros(0, self.width), np.zeros(0, np.int64)
+        self.ids, self.lens, self.again = np.zeros(0, self.width), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def forget(self, most: int) -> None:
+        """Leaves words that were met again since the last call, most at most. Most distinct words of a corpus are met once."""
+        kept = np.flatnonzero(self.again)[:most]
+        words, size, start = list(self.code), self.lens[kept], (np.cumsum(self.lens) - self.lens)[kept]
+        ids = self.ids[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        self.clear()
+        self.code.update((words[k], code) for code, k in enumerate(kept.tolist()))
+        self.ids, self.lens, self.again = ids, size, np.zeros(len(kept), bool)
 
     def _whole(self, words: list[bytes]) -> list[bytes]:
         return [np.array(e.ids, self.width).tobytes() for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
@@ -112,13 +121,14 @@ class _Encoder:
         plain = _PLAIN(text) or _PLAIN(text.lower())
         return self._model(plain[1]) + (self._model(plain[2]) if plain[2] else b"") if plain else None
 
-    def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, with end_id after each text, and the texts' bounds in them."""
-        if len(self.code) > KEPT_WORDS:
-            self.clear()
+    def encode(self, texts: list[bytes], end_id: int, kept_words: int = KEPT_WORDS) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, with end_id after each text, and the texts' bounds in them. Beyond kept_words words, most are forgotten."""
+        if len(self.code) > kept_words:
+            self.forget(kept_words // 4)
         found = [t.split() for t in texts]
         count = np.fromiter(map(len, found), np.int64, len(found))
         code = np.fromiter(map(self.code.__getitem__, itertools.chain.from_iterable(found)), np.int64, count.sum())
+        self.again[code[code < len(self.again)]] = True
         if new := self.code.new:
             got: list[bytes] = [self._by_model(w) for w in new] if self.by_model else [None] * len(new)
             rest = [k for k, g in enumerate(got) if g is None]
@@ -126,6 +136,7 @@ class _Encoder:
                 got[k] = g
             self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(got), self.width)])
             self.lens = np.concatenate([self.lens, np.fromiter(map(len, got), np.int64, len(got)) // self.width.itemsize])
+            self.again = np.append(self.again, np.zeros(len(new), bool))
             self.code.new = []
         size = self.lens[code]
         into = np.cumsum(size) - size
@@ -167,8 +178,9 @@ def merkle_root(leaves: list[bytes]) -> bytes:
 _PARTS = "kind string, key binary, row long, payload binary, doc_id long, n_tokens long, keys array<binary>, root binary"
 
 
-def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Encodes docs into a new store at path.
+def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", kept_words: int = KEPT_WORDS) -> None:
+    """Encodes docs into a new store at path. A worker keeps the ids of kept_words words, some 300 bytes each: fewer take less
+    memory and more time.
 
     Null texts count as empty ones; an empty text is a stream of end_id alone. Repeated rows and equal ids stay separate
     documents, in a fixed order among themselves; null ids come first. Other columns are ignored.
@@ -185,7 +197,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_
                 data = raw.tobytes()
                 if b"<|" not in data and encoder.by_model:  # case makes no difference but in special tokens
                     data = K.LOWER[raw].tobytes()
-                ids, at = encoder.encode([data[a:b] for a, b in zip(bounds[:-1], bounds[1:])], end_id)
+                ids, at = encoder.encode([data[a:b] for a, b in zip(bounds[:-1], bounds[1:])], end_id, kept_words)
                 recipes, payloads = [], {}
                 for cuts in _cuts(ids, at):
                     keys = []
@@ -329,11 +341,11 @@ def read_ids(spark: SparkSession, path: str, tokenizer: str) -> DataFrame:
     return listed.mapInArrow(join, "doc_id long, row long, ids array<int>")
 
 
-def store_and_read(docs: DataFrame, tokenizer: str | None = None, path: str | None = None) -> DataFrame:
+def store_and_read(docs: DataFrame, tokenizer: str | None = None, path: str | None = None, kept_words: int = KEPT_WORDS) -> DataFrame:
     """Writes docs to a store (in the shared folder unless path is given) and returns what `read_digests` finds there."""
     tokenizer = tokenizer or public_tokenizers.path("word_bpe_49k.json")
     path = path or f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
-    write_store(docs, path, tokenizer)
+    write_store(docs, path, tokenizer, kept_words=kept_words)
     return read_digests(docs.sparkSession, path, tokenizer)
 
 

@@ -22,6 +22,16 @@ def test_words_give_the_ids_of_whole_texts(texts):
     assert [list(ids[a:b]) for a, b in zip(at[:-1], at[1:])] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids + [1] for t in texts]
 
 
+def test_few_kept_words_give_the_same_ids_in_bounded_memory():
+    encoder, rng = _Encoder(PATH), random.Random(2)
+    for k in range(40):
+        texts = [" ".join(rng.choice(["the", "Straße", "onwhingin,", f"w{k}x{rng.random()}"]) for _ in range(60)) for _ in range(3)]
+        ids, at = encoder.encode([t.encode() for t in texts], 1, kept_words=100)
+        assert [list(ids[a:b]) for a, b in zip(at[:-1], at[1:])] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+        assert len(encoder.code) == len(encoder.lens) == len(encoder.again) <= 100 + 180
+    assert b"the" in encoder.code
+
+
 def rows():
     rng = random.Random(1)
     long = " ".join(rng.choice(["onwhingin", "the", "Straße", "a,", "x!!", "<|endoftext|>"]) + rng.choice("abcdef") for _ in range(9_000))
