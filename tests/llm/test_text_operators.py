@@ -177,3 +177,62 @@ def test_sets_that_share_only_a_passage_leave_their_family(spark, monkeypatch):
         rows.append((100 + k, " ".join(w)))
     assert sorted(map(tuple, near_duplicates(make_docs(spark, rows)).collect())) == sorted(brute.jaccard_components(rows))
     assert 0 < sent[0] < 12
+
+
+def test_sets_of_a_slice_are_hashed_and_indexed_together(monkeypatch):
+    """Many short texts take no more calls than one: what a set costs is its elements, and each has what it has on its own."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from panelkit.llm import op7_jaccard_join as op7
+
+    rng, shared = random.Random(6), SimpleNamespace
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(n)) for n in [1, 4, *rng.choices([5, 40, 70, 200], k=298)]]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(300)), "text": texts})
+    classes, wanted = np.random.default_rng(6).integers(0, 4, 1 << 18).astype(np.uint8), np.full(1 << 20, 2**64 - 1, np.uint64)
+    alone = [(np.unique(values), op7.set_hashes(values, bounds, op7.NODE_MASK)[0][0]) for text in texts for _, values, bounds in op7._sets(pa.RecordBatch.from_pydict({"doc_id": [0], "text": [text]}))]
+    calls, mix = [], K.mix
+    monkeypatch.setattr(K, "mix", lambda x: calls.append(len(x)) or mix(x))
+    for option in range(len(OPTIONS)):
+        calls.clear()
+        found = list(op7._entries(iter([batch]), dict.fromkeys(range(op7.BANDS), option), shared(value=classes), shared(value=wanted), lambda values, bounds: op7.set_hashes(values, bounds, op7.NODE_MASK)[0]))
+        assert len(calls) < 50
+        expected = {(int(sig), int(node)) for values, node in alone for band in bands_of(len(values)) for sig in signatures(values, band, option, classes)}
+        assert {(int(s), int(n)) for sig, node in found for s, n in zip(sig, node)} == expected
+
+
+@pytest.mark.parametrize("rows_a_batch", [1, 2, 3, 7, 1000])
+def test_groups_are_compared_from_one_stream(rows_a_batch):
+    """Groups of any size, cut by batches anywhere, next to groups that differ in one part of the key only."""
+    import pyarrow as pa
+
+    from panelkit.llm.op7_jaccard_join import compare_groups
+
+    rng, rows, expected_n, expected_tied = random.Random(8), [], {}, set()
+    for key in [("family", 1, 0, 0), ("group", 1, 0, 0), ("group", 2, 0, 0), ("group", 2, 0, 1), ("group", 2, 1, 1), ("group", 3, 0, 0), ("group", 4, 0, 1)]:
+        base, members = rng.sample(range(10**9), 60), []
+        for _ in range(rng.choice([2, 3, 9])):
+            own = sorted({*rng.sample(base, 60 - rng.choice([0, 3, 7, 20])), *rng.sample(range(10**9), rng.choice([0, 2]))})
+            members.append((len(rows) + len(members), rng.randrange(1, 4), own, 0 if key[2] == key[3] else rng.randrange(2)))
+        rows += [(*key, side, node, docs, False, 0, 0, False, False, own) for node, docs, own, side in members]
+        for node, _, own, side in members:
+            near = [(m, d) for m, d, o, s in members if m != node and (key[2] == key[3] or s != side) and 100 * len({*o} & {*own}) >= 75 * len({*o} | {*own})]
+            if near:
+                expected_n[node] = sum(d for _, d in near)
+            expected_tied |= {frozenset((node, m)) for m, _ in near}
+    names = ["kind", "family", "p", "q", "side", "node", "docs", "guest", "own", "above", "has_own", "has_above", "set"]
+    table = pa.table(dict(zip(names, map(list, zip(*rows)))))
+    found = [r for out in compare_groups(iter(table.to_batches(rows_a_batch))) for r in out.to_pylist()]
+    assert {r["a"]: r["n"] for r in found if r["b"] is None} == expected_n
+    forest = {frozenset((r["a"], r["b"])) for r in found if r["b"] is not None}
+
+    def components(edges):
+        root = {node: node for edge in expected_tied for node in edge}
+        for _ in root:
+            for edge in edges:
+                least = min(root[x] for x in edge)
+                root.update(dict.fromkeys(edge, least))
+        return root
+
+    assert components(forest) == components(expected_tied) and list(compare_groups(iter([]))) == []
