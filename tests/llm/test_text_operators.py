@@ -202,6 +202,47 @@ def test_sets_of_a_slice_are_hashed_and_indexed_together(monkeypatch):
         assert {(int(s), int(n)) for sig, node in found for s, n in zip(sig, node)} == expected
 
 
+@pytest.mark.parametrize(("most", "held"), [(1 << 22, 1 << 20), (50, 30)])
+def test_entries_of_one_node_are_written_nowhere(spark, monkeypatch, most, held):
+    """With a bitmap that rules nothing out, as on a large input, only what two nodes have is kept; ranges and wide entries in parts."""
+    from collections import defaultdict
+
+    import pyarrow as pa
+
+    from panelkit.llm import op7_jaccard_join as op7
+
+    monkeypatch.setattr(op7, "MOST", most)
+    monkeypatch.setattr(op7, "HELD_ENTRIES", held)
+    monkeypatch.setattr(op7, "FEW", 4)
+    rng, share = random.Random(3), spark.sparkContext.broadcast
+    passage, other = [f"p{k}" for k in range(30)], [f"q{k}" for k in range(30)]
+    rows = [(k, " ".join([f"x{k}-{j}" for j in range(60)] + (passage if k < 20 else other if k < 23 else []))) for k in range(60)]
+    rows += [(100 + k, rows[k][1]) for k in range(5)]
+    rng.shuffle(rows)
+    classes, full = np.zeros(1 << 18, np.uint8), np.full(1 << 20, 2**64 - 1, np.uint64)
+    options, node_of = dict.fromkeys(range(op7.BANDS), 2), lambda values, bounds: op7.set_hashes(values, bounds, 2**64 - 1)[0]
+    docs = make_docs(spark, rows).select("doc_id", "text").repartition(5)
+    expected = defaultdict(set)
+    for sig, node in op7._entries(iter([pa.RecordBatch.from_pylist([{"doc_id": i, "text": t} for i, t in rows])]), options, share(classes), share(full), node_of):
+        for s, n in zip(sig.view(np.int64).tolist(), node.tolist()):
+            expected[s].add(n)
+    expected = {s: n for s, n in expected.items() if len(n) > 1}
+    found, tied = defaultdict(set), defaultdict(set)
+    rows_out = op7.indexed(docs, options, share(classes), share(full), node_of, share(full), 26, 2).collect()
+    for r in rows_out:
+        found[r.sig].add(r.node)
+        tied[r.sig].add(frozenset((r.node, r["head"])))
+        assert r["head"] in expected[r.sig] and (r.width == len(expected[r.sig]) if len(expected[r.sig]) <= 4 else r.width > 4)
+    widths = {len(n) for n in expected.values()}
+    assert found == expected and min(widths) < 4 and max(widths) == 20
+    for s, links in tied.items():  # heads of several parts are tied to each other
+        reached = {min(expected[s])}
+        while len(more := reached.union(*(x for x in links if x & reached))) > len(reached):
+            reached = more
+        assert reached == expected[s]
+    assert most > 50 or len(rows_out) > sum(map(len, expected.values()))
+
+
 @pytest.mark.parametrize("rows_a_batch", [1, 2, 3, 7, 1000])
 def test_groups_are_compared_from_one_stream(rows_a_batch):
     """Groups of any size, cut by batches anywhere, next to groups that differ in one part of the key only."""
