@@ -209,6 +209,6 @@ def a24_one_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = staged(returns(spark, sf_dir, "l_suppkey", "month"))
     corr = E.correlation(r) or E.matrix(staged(V.blocked(r, correlation=True)), "corr")
     clean = E.denoise(corr, r.select("date").distinct().count())
-    low, high = E.extremes(clean.product, len(clean.names))
+    low, high = clean.extremes()
     row = (len(clean.names), len(clean.values), float(clean.values.max(initial=0.0)), float(clean.values.sum()), clean.rest, high / low)
     return spark.createDataFrame([row], "n_assets int, n_above int, largest double, sum_above double, rest double, condition double")

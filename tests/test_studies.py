@@ -6,6 +6,7 @@ import warnings
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,6 +120,29 @@ def test_products_with_a_correlation_without_its_pairs(spark):
     assert E.correlation(few) is None  # pairs over two dates, cut at one
 
 
+def test_pairs_that_are_cut_at_one_need_no_table_of_all_pairs(spark):
+    df, wide = panel(spark, 60, 60, 0.03)
+    dates, names = wide.index, sorted(wide.columns)
+    full = [a for a in names if wide[a].notna().all()]
+    lone = [a for a in names if 50 < wide[a].notna().sum() < 60 and wide[a].notna().iloc[7]][:3]
+    day = F.col("date") == F.lit(dates[7])  # one date's returns are so large that assets correlate by it alone
+    df = df.withColumn("r", F.when(day & F.col("asset").isin(*lone, *full[:2]), 1e4).otherwise(F.col("r")))
+    expected = E.matrix(V.blocked(df, correlation=True), "corr")
+    plain = V.with_correlation(V.sample(df), []).where("i < j and abs(corr) = 1").count()
+    assert plain  # some are cut
+    for size in (3, 256):
+        x = np.random.default_rng(0).normal(size=(60, 3))
+        found = E.correlation(df)
+        assert found is not None and found.names == expected.names and np.allclose(found.product(x), expected.product(x), atol=1e-10)
+        cut = [(r.i, r.j) for r in V.tiles(df, listed, "i string, j string", size, outside=True).collect()]
+        assert len(set(cut)) == len(cut) == plain
+
+
+def listed(tiles):
+    for t in tiles:
+        yield pa.RecordBatch.from_arrays([pa.array(t.names[t.i], pa.string()), pa.array(t.names[t.j], pa.string())], ["i", "j"])
+
+
 def test_regressions_equal_least_squares(spark):
     rng = np.random.default_rng(5)
     rows = [(k, "uv"[k % 2], *(float(v) if rng.random() > 0.1 else None for v in rng.normal(3, 2, 4))) for k in range(200)] + [(900, "w", None, 1.0, 1.0, 1.0)]
