@@ -203,7 +203,7 @@ def a23_a26_mixed_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def a24_a25_denoised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers in panels by nation, each small enough for one solve; the random-matrix edge from the number of dates."""
+    """Suppliers in panels by nation, the returns of each in one task; the random-matrix edge from the number of dates."""
     r = returns(spark, sf_dir, "l_suppkey", "month").join(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("asset"), F.col("s_nationkey").alias("panel")), "asset").transform(staged)
     return V.panel_conditions(r, "panel", r.select("date").distinct().count())
 

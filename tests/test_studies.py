@@ -2,6 +2,7 @@
 
 import datetime
 import math
+import tracemalloc
 import warnings
 
 import numpy as np
@@ -143,6 +144,24 @@ def listed(tiles):
         yield pa.RecordBatch.from_arrays([pa.array(t.names[t.i], pa.string()), pa.array(t.names[t.j], pa.string())], ["i", "j"])
 
 
+def test_conditions_of_a_large_panel_need_no_matrix():
+    rng = np.random.default_rng(1)
+    size, dates = 1500, 60
+    x = rng.normal(size=(size, 3)) @ rng.normal(size=(3, dates)) + 2 * rng.normal(size=(size, dates))
+    has = (rng.random((size, dates)) > 0.02 * (rng.random((size, 1)) < 0.4)).astype(float)
+    x = (x - ((x * has).sum(1) / has.sum(1))[:, None]) * has
+    tracemalloc.start()
+    sample, denoised = V.conditions(x, has, dates)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    m, _ = V.cross(x, has, x, has)
+    m = np.clip(m / np.sqrt(np.outer(np.diag(m), np.diag(m))), -1, 1)
+    assert peak < 3 * m.nbytes and math.isclose(denoised, V._condition(V._denoised(m, dates, "usual")), rel_tol=1e-8) and math.isclose(sample, V._condition(m), rel_tol=1e-8)
+    found = E.denoise(E.Matrix([""] * size, lambda v: m @ v, float(size)), dates)
+    assert len(found.values) == (np.linalg.eigvalsh(m) >= (1 + (size / dates) ** 0.5) ** 2).sum() > 0
+    assert np.allclose(found.extremes(), np.linalg.eigvalsh(found.product(np.eye(size)))[[0, -1]], rtol=1e-9)
+
+
 def test_regressions_equal_least_squares(spark):
     rng = np.random.default_rng(5)
     rows = [(k, "uv"[k % 2], *(float(v) if rng.random() > 0.1 else None for v in rng.normal(3, 2, 4))) for k in range(200)] + [(900, "w", None, 1.0, 1.0, 1.0)]
